@@ -51,38 +51,7 @@ FROM {_b} GROUP BY id""",
     def _k7(spark, sf, b=_b):
         return snap.snapshot(ev(spark, sf, b), defs(spark))
 
-    _pivot = ",\n       ".join(
-        f"CAST(count(*) FILTER (WHERE o.ed_id = {k}) AS BIGINT) AS count_ed_{k}, (count(*) FILTER (WHERE o.ed_id = {k}) > 0) AS seen_ed_{k}"
-        for k in EVENT_IDS
-    )
-    query(
-        f"k7_snapshot_{_b}",
-        sql=with_ctes(_b, "defs", extra=_frame_sql(_b))
-        + f""", o AS (
-  SELECT e.id, e.us, e.ed_id, d.milestone_number,
-         row_number() OVER (PARTITION BY e.id ORDER BY e.us, e.ed_id) AS rn_first,
-         row_number() OVER (PARTITION BY e.id ORDER BY e.us DESC, e.ed_id DESC) AS rn_last
-  FROM {_b} e JOIN c ON e.id = c.id LEFT JOIN defs d ON d.ed_id = e.ed_id
-  WHERE e.us <= c.cutoff_us),
-g AS (
-  SELECT o.id, CAST(count(*) AS BIGINT) AS n_events_observed,
-       CAST(count(DISTINCT o.ed_id) AS BIGINT) AS n_unique_event_types_observed,
-       max(CASE WHEN rn_first = 1 THEN o.us END) AS first_us, max(CASE WHEN rn_first = 1 THEN o.ed_id END) AS first_ed_id,
-       max(CASE WHEN rn_last = 1 THEN o.us END) AS last_us2, max(CASE WHEN rn_last = 1 THEN o.ed_id END) AS last_ed_id,
-       max(o.milestone_number) AS max_milestone_seen, bool_or(o.ed_id = 28) AS leaked_success,
-       {_pivot}
-  FROM o GROUP BY o.id)
-SELECT g.* EXCLUDE (first_us, last_us2),
-       make_timestamp(c.cutoff_us) AS cutoff_time, make_timestamp(c.terminal_us) AS journey_terminal_time,
-       c.journey_terminal_reason, c.label_order_shipped, c.sampling_weight_days,
-       greatest((c.cutoff_us - g.first_us) / {float(_DAY)}, 0.0) AS observed_duration_days,
-       greatest((c.cutoff_us - g.last_us2) / {float(_DAY)}, 0.0) AS days_since_last_event,
-       hour(make_timestamp(c.cutoff_us)) AS cutoff_hour_utc, isodow(make_timestamp(c.cutoff_us)) - 1 AS cutoff_dayofweek_utc,
-       month(make_timestamp(c.cutoff_us)) AS cutoff_month_utc, dayofyear(make_timestamp(c.cutoff_us)) AS cutoff_dayofyear_utc,
-       f.event_name AS first_event_name, f.stage AS first_stage, l.event_name AS last_event_name, l.stage AS last_stage
-FROM g JOIN c ON g.id = c.id
-LEFT JOIN defs f ON f.ed_id = g.first_ed_id LEFT JOIN defs l ON l.ed_id = g.last_ed_id""",
-    )(_k7)
+    query(f"k7_snapshot_{_b}", sql=with_ctes(f"snap_{_b}") + f"SELECT * FROM snap_{_b}")(_k7)
 
 
 @query(

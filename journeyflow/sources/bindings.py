@@ -93,10 +93,55 @@ def binding(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def daily_lines(spark: SparkSession, sf_dir: str, by_flag: bool = False) -> DataFrame:
-    """(series, date, y) -- lines shipped per day; series 'all' or the return flag."""
+    """(series, date, y) -- lines shipped per day; series 'all' or the return flag.
+    ``date`` is the day as a midnight TIMESTAMP_NTZ."""
     li = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_returnflag")
     series = F.col("l_returnflag") if by_flag else F.lit("all")
     return (
-        li.groupBy(series.alias("series"), F.to_date("l_shipdate").alias("date"))
+        li.groupBy(series.alias("series"), F.to_date("l_shipdate").cast("timestamp_ntz").alias("date"))
         .agg(F.count(F.lit(1)).cast("double").alias("y"))
     )
+
+
+# Fixed-coefficient logistic scorers standing for several models (FIXTURES.md binding P).
+# Each entry: (intercept, weights for x1..x5).
+FIXED_MODELS = {
+    "m1": (-2.0, (0.8, -0.5, 0.4, 0.6, -0.3)),
+    "m2": (-1.5, (0.5, -0.8, 0.6, 0.3, 0.0)),
+    "m3": (-2.5, (1.0, -0.3, 0.2, 0.9, -0.6)),
+}
+
+
+def score_features(snap: DataFrame) -> DataFrame:
+    """x1..x5 of the fixed scorers from a K7 snapshot."""
+    return snap.select(
+        "id",
+        F.col("label_order_shipped").alias("y"),
+        F.log1p(F.col("n_events_observed").cast("double")).alias("x1"),
+        F.log1p(F.col("days_since_last_event")).alias("x2"),
+        F.coalesce(F.col("max_milestone_seen"), F.lit(0.0)).alias("x3"),
+        F.log1p((F.col("count_ed_11") + F.col("count_ed_6") + F.col("count_ed_5")).cast("double")).alias("x4"),
+        (F.col("observed_duration_days") / 365.0).alias("x5"),
+    )
+
+
+def logit_score(feat: DataFrame, model: str) -> Column:
+    b0, w = FIXED_MODELS[model]
+    z = F.lit(b0)
+    for i, wi in enumerate(w):
+        z = z + F.lit(wi) * F.col(f"x{i + 1}")
+    return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 6)
+
+
+def scores(spark: SparkSession, sf_dir: str, models=("m1", "m2", "m3"), with_features: bool = False) -> DataFrame:
+    """P: (model, id, y, p) for the fixed scorers over the J2 snapshot (p rounded to 6 places)."""
+    from journeyflow.operators.snapshot import snapshot
+    from journeyflow.schema import event_definitions
+
+    feat = score_features(snapshot(j2_events(spark, sf_dir), event_definitions(spark)))
+    xs = [f"x{i}" for i in range(1, 6)] if with_features else []
+    parts = [feat.select(F.lit(m).alias("model"), "id", "y", logit_score(feat, m).alias("p"), *xs) for m in models]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
