@@ -29,22 +29,26 @@ def _window_steps(df: DataFrame, n: int, keep: str, cols: JourneyCols) -> DataFr
 
 def _collect(s: DataFrame, fields: dict[str, Column], cols: JourneyCols) -> DataFrame:
     g = s.groupBy(cols.id).agg(F.array_sort(F.collect_list(F.struct(F.col("_step"), *[e.alias(k) for k, e in fields.items()]))).alias("_a"))
-    return g.select(cols.id, *[F.transform("_a", lambda x, k=k: x[k]).alias(k) for k in fields])
+    return g.select(cols.id, *[F.transform("_a", _field(k)).alias(k) for k in fields])
+
+
+def _field(k: str):
+    return lambda x: x[k]
 
 
 def pad_sequences(df: DataFrame, n: int = 128, keep: str = "last", side: str = "right", log_deltas: bool = True,
                   mask_pad_true: bool = False, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
     """M1-M3: per id the kept steps (``keep`` last or first n) as ``event_arr`` and ``delta_arr``
-    (whole seconds since the previous step, log1p when ``log_deltas``), padded with zeros on
+    (whole seconds since the previous step as BIGINT, or their log1p when ``log_deltas``), padded with zeros on
     ``side`` to length n, and ``mask_arr`` (1 = real, 0 = pad; inverted when ``mask_pad_true``)."""
     s = _window_steps(df, n, keep, cols)
-    d = F.log1p(F.col("gap_s").cast("double")) if log_deltas else F.col("gap_s").cast("double")
+    d = F.log1p(F.col("gap_s").cast("double")) if log_deltas else F.col("gap_s")
     a = _collect(s, {"ev": F.col(cols.event), "dl": d}, cols)
     real, padv = (0, 1) if mask_pad_true else (1, 0)
     return a.select(
         cols.id,
         pad("ev", n, side, 0).alias("event_arr"),
-        pad("dl", n, side, 0.0).alias("delta_arr"),
+        pad("dl", n, side, 0.0 if log_deltas else 0).alias("delta_arr"),
         pad_mask("ev", n, side, real, padv).alias("mask_arr"),
         F.size("ev").alias("n_real"),
     )
