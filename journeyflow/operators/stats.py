@@ -257,10 +257,15 @@ def class_balance(df: DataFrame, label: str = "y") -> DataFrame:
     )
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation; NULL (not an error) when a column is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair, long format (a, b, corr)."""
     pairs = [(a, b) for a in cols for b in cols]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
+    one = df.agg(*[safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
     long = one.unpivot([], [f"{a}__{b}" for a, b in pairs], "pair", "corr")
     return long.select(F.split_part("pair", F.lit("__"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("__"), F.lit(2)).alias("b"), "corr")
 
