@@ -36,7 +36,7 @@ def _family(dtype) -> str:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if isinstance(v, float) or isinstance(v, np.floating):
         if math.isnan(v):
