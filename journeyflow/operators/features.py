@@ -89,12 +89,13 @@ def _whole_seconds(diff_us: Column) -> Column:
     return ((diff_us - diff_us % US_PER_SEC) / US_PER_SEC).cast("long")
 
 
-def step_inputs(df: DataFrame, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
+def step_inputs(df: DataFrame, cols: JourneyCols = DEFAULT_COLS, index: str | None = None) -> DataFrame:
     """Per event: ``abs_s`` (whole seconds since the first event), ``gap_s`` (since the previous
-    event, 0 first), ``total_s`` (abs of the last event) -- via one frame join + ordered scan."""
+    event, 0 first), ``total_s`` (abs of the last event), optionally the 1-based step ``index``
+    -- via one frame join + one ordered scan."""
     df = with_us(df, cols)
     fr = df.groupBy(cols.id).agg(F.min("us").alias("_start"), F.max("us").alias("_last"))
-    s = ordered_scan(df, cols.id, "us", [cols.event], prev=["us"]).join(fr, cols.id)
+    s = ordered_scan(df, cols.id, "us", [cols.event], prev=["us"], index=index).join(fr, cols.id)
     return s.select(
         "*",
         _whole_seconds(F.col("us") - F.col("_start")).alias("abs_s"),

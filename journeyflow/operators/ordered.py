@@ -85,3 +85,43 @@ def running_flag_groups(
     """Running count of ``flag`` (a 0/1 Column) per key: a group number that starts a new
     group wherever the flag is 1 (sessionisation)."""
     return ordered_scan(df, key, order_us, tie, running={name: flag.cast("long")}, bucket_us=bucket_us)
+
+
+def session_numbers(
+    df: DataFrame,
+    key: str | Sequence[str],
+    order_us: str,
+    tie: Sequence[str],
+    gap_us: int,
+    name: str = "session",
+    bucket_us: int = DEFAULT_BUCKET_US,
+) -> DataFrame:
+    """1-based session number per key: a new session starts at the first event and after every
+    gap strictly above ``gap_us``. One fused two-level scan (no chained scans):
+
+    * rows, windowed inside (key, bucket): starts inside the bucket, running;
+    * per bucket: first / last time and the count of inside starts;
+    * per key over its buckets: the boundary start of each bucket (its first event vs the
+      previous bucket's last) and the running total of starts before the bucket.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    t = F.col(order_us)
+
+    def inside(frame: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys, "_bkt").orderBy(order_us, *tie)
+        lag = F.lag(order_us).over(w)
+        flag = F.when(lag.isNull(), F.lit(0)).otherwise(((t - lag) > gap_us).cast("int"))
+        return frame.withColumn("_in", flag).withColumn(
+            "_in_cum", F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    d = inside(df.withColumn("_bkt", F.floor(t / F.lit(bucket_us))))
+    summ = d.groupBy(*keys, "_bkt").agg(F.min(order_us).alias("_f"), F.max(order_us).alias("_l"), F.sum("_in").alias("_n_in"))
+    w2 = Window.partitionBy(*keys).orderBy("_bkt")
+    prev_last = F.lag("_l").over(w2)
+    boundary = F.when(prev_last.isNull(), F.lit(1)).otherwise(((F.col("_f") - prev_last) > gap_us).cast("int"))
+    summ = summ.select(*keys, "_bkt", boundary.alias("_bd"), "_n_in")
+    summ = summ.select(*keys, "_bkt", "_bd", F.coalesce(
+        F.sum(F.col("_bd") + F.col("_n_in")).over(w2.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    out = d.join(summ, [*keys, "_bkt"], "inner")
+    return out.withColumn(name, (F.col("_off") + F.col("_bd") + F.col("_in_cum")).cast("long")).drop(
+        "_bkt", "_in", "_in_cum", "_bd", "_off")

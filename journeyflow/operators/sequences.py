@@ -17,8 +17,7 @@ from journeyflow.schema import DEFAULT_COLS, JourneyCols
 
 
 def _window_steps(df: DataFrame, n: int, keep: str, cols: JourneyCols) -> DataFrame:
-    s = step_inputs(df, cols)
-    s = ordered_scan(s, cols.id, "us", [cols.event], index="_step")
+    s = step_inputs(df, cols, index="_step")
     if keep == "last":
         cnt = s.groupBy(cols.id).agg(F.count(F.lit(1)).alias("_n"))
         s = s.join(cnt, cols.id).where(F.col("_step") > F.col("_n") - n).drop("_n")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from journeyflow.functions.scalar import hash_uniform
-from journeyflow.operators.ordered import ordered_scan
+from journeyflow.operators.ordered import ordered_scan, session_numbers
 from journeyflow.operators.project import bounded_broadcast
 from journeyflow.schema import (
     DEFAULT_COLS,
@@ -334,12 +334,7 @@ def oversample_by_days(df: DataFrame, seed: int = 42, max_copies: int | None = N
 def sessionize(df: DataFrame, gap_seconds: int, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
     """Split each journey into sessions at gaps above ``gap_seconds``; adds ``session``
     (1-based) via the skew-safe ordered scan."""
-    df = with_us(df, cols)
-    s = ordered_scan(df, cols.id, "us", [cols.event], prev=["us"])
-    s = s.withColumn(
-        "_new", (F.col("prev_us").isNull() | ((F.col("us") - F.col("prev_us")) > gap_seconds * 1_000_000)).cast("long")
-    ).drop("prev_us")
-    return ordered_scan(s, cols.id, "us", [cols.event], running={"session": F.col("_new")}).drop("_new")
+    return session_numbers(with_us(df, cols), cols.id, "us", [cols.event], gap_seconds * 1_000_000, name="session")
 
 
 def session_summary(df: DataFrame, gap_seconds: int, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:

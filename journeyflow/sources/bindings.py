@@ -16,7 +16,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from journeyflow.operators.ordered import ordered_scan
+from journeyflow.operators.ordered import session_numbers
 from journeyflow.schema import US_PER_HOUR, US_PER_SEC, from_us, to_us
 from journeyflow.session import tune_session
 
@@ -42,11 +42,7 @@ def _j1_event_id(event_type: Column, event_id: Column) -> Column:
 def j1_events(spark: SparkSession, sf_dir: str, keep_event_id: bool = False) -> DataFrame:
     """``id = user_id || '-' || session number``; sessions split at a gap over 12 h."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", to_us("ts").alias("us"))
-    scanned = ordered_scan(ev, "user_id", "us", ["event_id"], prev=["us"])
-    flagged = scanned.withColumn(
-        "_new", (F.col("prev_us").isNull() | ((F.col("us") - F.col("prev_us")) > SESSION_GAP_US)).cast("long")
-    ).drop("prev_us")
-    sess = ordered_scan(flagged, "user_id", "us", ["event_id"], running={"sid": F.col("_new")})
+    sess = session_numbers(ev, "user_id", "us", ["event_id"], SESSION_GAP_US, name="sid")
     out = sess.select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("sid").cast("string")).alias("id"),
         from_us("us").cast("timestamp").alias("event_timestamp"),
