@@ -246,10 +246,27 @@ def cv_summary(per_fold: DataFrame, metric: str, group: Sequence[str] = ()) -> D
 
 
 def model_comparison(scores: DataFrame, model: str = "model", p: str = "p", y: str = "y", t: float = 0.5) -> DataFrame:
-    """Q12: Brier, log loss, AUC, AP and accuracy per model."""
+    """Q12: Brier, log loss, AUC, AP and accuracy per model.
+
+    Two passes: one aggregate for the pointwise metrics, one distinct-score table with a single
+    ascending ordered scan; AP's descending counts are totals minus the ascending ones."""
     g = [model]
-    out = brier(scores, p, y, g).join(log_loss(scores, p, y, 1e-15, g), g).join(roc_auc(scores, p, y, None, g), g)
-    return out.join(average_precision(scores, p, y, g), g).join(accuracy(scores, t, p, y, None, g), g)
+    point = scores.groupBy(model).agg(
+        F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"),
+        F.avg(log_loss_expr(p, y, 1e-15)).alias("log_loss"),
+        F.avg(((F.col(p) >= t).cast("int") == F.col(y)).cast("double")).alias("accuracy"))
+    tab = _score_table(scores, p, y, None, g)
+    s = ordered_scan(tab, g, "_s", [], running={"_cp": F.col("_pos"), "_cn": F.col("_neg")}, bucket_us=_SCORE_BUCKET)
+    tot = tab.groupBy(model).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+    j = s.join(F.broadcast(tot), model)  # one row per model
+    tp = F.col("_P") - F.col("_cp") + F.col("_pos")
+    fp = F.col("_N") - F.col("_cn") + F.col("_neg")
+    rank = j.groupBy(model).agg(
+        F.sum(F.col("_pos") * (F.col("_cn") - F.col("_neg") + 0.5 * F.col("_neg"))).alias("_auc"),
+        F.sum(F.col("_pos") * tp / (tp + fp)).alias("_ap"), F.first("_P").alias("_P"), F.first("_N").alias("_N"))
+    rank = rank.select(model, F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_auc") / (F.col("_P") * F.col("_N"))).alias("roc_auc"),
+                       F.when(F.col("_P") > 0, F.col("_ap") / F.col("_P")).alias("average_precision"))
+    return point.join(rank, g).select(model, "brier", "log_loss", "roc_auc", "average_precision", "accuracy")
 
 
 def mse(df: DataFrame, pred: str, actual: str, group: Sequence[str] = ()) -> DataFrame:

@@ -39,8 +39,43 @@ def _j1_event_id(event_type: Column, event_id: Column) -> Column:
     ).cast("int")
 
 
+def _fs_stamp(spark: SparkSession, path: str) -> str:
+    """Length + modification time of a file or folder (Hadoop FS, works for any cluster path)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    st = fs.getFileStatus(p)
+    return f"{st.getLen()}-{st.getModificationTime()}"
+
+
+def materialized(spark: SparkSession, name: str, sources: list[str], build) -> DataFrame:
+    """A derived table written once per input version under ``spark.checkpoint.dir`` and read
+    back: later queries scan a small parquet table instead of re-deriving it (and Spark never
+    has to recompute a long lineage twice inside one plan)."""
+    import hashlib
+
+    from journeyflow.session import ensure_checkpoint_dir
+
+    stamp = "|".join(f"{s}:{_fs_stamp(spark, s)}" for s in sources)
+    digest = hashlib.sha1(f"{name}|{stamp}".encode()).hexdigest()[:16]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/journeyflow-derived/{name}-{digest}"
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
+        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def j1_events(spark: SparkSession, sf_dir: str, keep_event_id: bool = False) -> DataFrame:
-    """``id = user_id || '-' || session number``; sessions split at a gap over 12 h."""
+    """``id = user_id || '-' || session number``; sessions split at a gap over 12 h.
+    The binding is a derived table: it is materialised once per events file."""
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    j = materialized(spark, "j1", [src], lambda: _j1_build(spark, sf_dir))
+    return j if keep_event_id else j.drop("event_id")
+
+
+def _j1_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", to_us("ts").alias("us"))
     sess = session_numbers(ev, "user_id", "us", ["event_id"], SESSION_GAP_US, name="sid")
     out = sess.select(
@@ -48,7 +83,7 @@ def j1_events(spark: SparkSession, sf_dir: str, keep_event_id: bool = False) ->
         from_us("us").cast("timestamp").alias("event_timestamp"),
         _j1_event_id(F.col("event_type"), F.col("event_id")).alias("ed_id"),
         "us",
-        *(["event_id"] if keep_event_id else []),
+        "event_id",
     )
     return out
 
@@ -136,8 +171,6 @@ def scores(spark: SparkSession, sf_dir: str, models=("m1", "m2", "m3"), with_fea
 
     feat = score_features(snapshot(j2_events(spark, sf_dir), event_definitions(spark)))
     xs = [f"x{i}" for i in range(1, 6)] if with_features else []
-    parts = [feat.select(F.lit(m).alias("model"), "id", "y", logit_score(feat, m).alias("p"), *xs) for m in models]
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    # one pass over the features: every model's probability, then one row per model
+    per_model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), logit_score(feat, m).alias("p")) for m in models]))
+    return feat.select("id", "y", *xs, per_model.alias("_m")).select(F.col("_m.model").alias("model"), "id", "y", F.col("_m.p").alias("p"), *xs)
