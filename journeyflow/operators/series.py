@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from journeyflow.functions.scalar import hash_uniform_pair
 from journeyflow.operators.stats import centered_mean
 
-_W = Window.partitionBy("series").orderBy("date")
+
+
+def _w():
+    return Window.partitionBy("series").orderBy("date")
 
 
 def with_position(df: DataFrame) -> DataFrame:
     """1-based position of each day inside its series."""
-    return df.withColumn("pos", F.row_number().over(_W))
+    return df.withColumn("pos", F.row_number().over(_w()))
 
 
 def ts_split(df: DataFrame, n_train: int) -> DataFrame:
@@ -116,7 +119,7 @@ def decompose(df: DataFrame, window: int = 365, periods: Sequence[int] = (7, 12)
 def linear_trend(df: DataFrame, horizon: int, trend: str = "trend") -> DataFrame:
     """Least-squares line through the non-NULL trend values (t = 0, 1, ...), extrapolated
     ``horizon`` steps past the last one. -> (series, h, trend_forecast), h = 1..horizon."""
-    tc = df.where(F.col(trend).isNotNull()).withColumn("t", (F.row_number().over(_W) - 1).cast("double"))
+    tc = df.where(F.col(trend).isNotNull()).withColumn("t", (F.row_number().over(_w()) - 1).cast("double"))
     fit = tc.groupBy("series").agg(F.regr_slope(trend, "t").alias("slope"), F.regr_intercept(trend, "t").alias("intercept"),
                                    F.count(F.lit(1)).alias("n_tc"))
     h = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
@@ -164,7 +167,7 @@ def forecast(df: DataFrame, horizon: int, window: int = 365, periods: Sequence[i
 def dickey_fuller(df: DataFrame, value: str = "remainder_add") -> DataFrame:
     """Lag-0 Dickey-Fuller t statistic: regress dx_t on x_{t-1} with a constant;
     t = slope / se(slope). No lag augmentation, no p-value."""
-    x = df.where(F.col(value).isNotNull()).withColumn("_lag", F.lag(value).over(_W)).where(F.col("_lag").isNotNull())
+    x = df.where(F.col(value).isNotNull()).withColumn("_lag", F.lag(value).over(_w())).where(F.col("_lag").isNotNull())
     x = x.withColumn("_dx", F.col(value) - F.col("_lag"))
     g = x.groupBy("series").agg(F.regr_slope("_dx", "_lag").alias("slope"), F.regr_sxx("_dx", "_lag").alias("sxx"),
                                 F.regr_syy("_dx", "_lag").alias("syy"), F.regr_count("_dx", "_lag").alias("n"))

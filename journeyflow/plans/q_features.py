@@ -171,3 +171,57 @@ SELECT id, step, event_timestamp, ed_id, milestone_so_far,
 FROM r""")
 def k12(spark, sf):
     return score_timeline(ev(spark, sf, "j1"))
+
+
+# The parts of the static vector (same single aggregate, column subsets)
+_PARTS = {
+    "l4_gap_features": ("log1p_last_gap_seconds", "log1p_mean_gap_seconds", "log1p_median_gap_seconds", "log1p_max_gap_seconds", "zero_gap_share"),
+    "l5_diversity_features": ("log1p_unique_event_count", "event_diversity_ratio", "first_event_id", "last_event_id"),
+    "l6_max_milestone": ("max_milestone_seen",),
+    "l7_group_features": ("seen_application", "seen_approval", "seen_first_purchase", "seen_order_intent", "seen_downpayment",
+                          "seen_prospecting", "log1p_application_count", "log1p_first_purchase_count", "log1p_order_intent_count",
+                          "log1p_downpayment_count", "log1p_prospecting_count", "order_intent_share"),
+    "l8_velocities": ("event_velocity_per_day", "application_velocity_per_day", "order_intent_velocity_per_day"),
+    "l9_trailing_windows": ("events_last_5h", "events_last_1d", "events_last_3d", "intent_last_5h", "intent_last_1d", "intent_last_3d"),
+    "l10_seconds_since_last": ("log1p_seconds_since_last_application", "log1p_seconds_since_last_order_intent",
+                               "log1p_seconds_since_last_downpayment"),
+}
+
+
+def _part(cols_):
+    def run(spark, sf):
+        return fe.static_features(ev(spark, sf, "j1")).select("id", *cols_)
+    return run
+
+
+for _k, _c in _PARTS.items():
+    query(_k, sql=with_ctes("j1") + _STATIC.replace("{src}", "j1") + " SELECT id, " + ", ".join(_c) + " FROM sv")(_part(_c))
+
+
+@query("l14_empty_journey_zero_vector", sql=with_ctes("j1") + _OPEN.format(b="j1") + _STATIC.replace("{src}", "pe") + """
+SELECT i.id, """ + ", ".join(f"coalesce(sv.{n}, 0.0) AS {n}" for n in fe.STATIC_FEATURE_NAMES) + """
+FROM (SELECT DISTINCT id FROM j1) i LEFT JOIN sv ON i.id = sv.id""")
+def l14(spark, sf):
+    e = ev(spark, sf, "j1")
+    return fe.static_features(snap.open_prefix(e), ids=e.select("id").distinct())
+
+
+@query("a9_write_feature_set", sql=with_ctes("j2") + _OPEN.format(b="j2") + _STATIC.replace("{src}", "pe") + """,
+full_ AS (SELECT i.id, """ + ", ".join(f"coalesce(sv.{n}, 0.0) AS {n}" for n in fe.STATIC_FEATURE_NAMES) + """
+  FROM (SELECT DISTINCT id FROM j2) i LEFT JOIN sv ON i.id = sv.id)
+SELECT """ + ", ".join(f"avg({n}) AS {n}_mean, CASE WHEN stddev_pop({n}) < 1e-6 THEN 1.0 ELSE stddev_pop({n}) END AS {n}_std"
+                        for n in fe.STATIC_FEATURE_NAMES) + " FROM full_")
+def a9(spark, sf):
+    """Static features + their normalisation statistics persisted as two parquet tables;
+    the statistics table is read back."""
+    import uuid
+
+    from journeyflow.operators.prep import fit_scaler
+    from journeyflow.session import ensure_checkpoint_dir
+    from journeyflow.sources import files
+
+    e = ev(spark, sf, "j2")
+    feats = fe.static_features(snap.open_prefix(e), ids=e.select("id").distinct())
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/jf-features-{uuid.uuid4().hex}"
+    files.write_feature_set(feats, fit_scaler(feats, fe.STATIC_FEATURE_NAMES, floor=1e-6), path)
+    return spark.read.parquet(f"{path}/stats")

@@ -144,3 +144,67 @@ def a8(spark, sf):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/jf-sub-{uuid.uuid4().hex}"
     files.write_submission(scores(spark, sf, ("m1",)).select("id", F.col("p").alias("order_shipped")), path)
     return spark.read.schema("id string, order_shipped double").option("header", True).csv(path)
+
+
+def _csv_path(spark, name):
+    import uuid
+
+    from journeyflow.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/jf-{name}-{uuid.uuid4().hex}"
+
+
+def _write_raw_csv(spark, sf):
+    """The J1 events in the reference's raw CSV layout (id, customer_id, ed_id, text timestamp)."""
+    e = ev(spark, sf, "j1").select(
+        "id", F.split_part(F.col("id"), F.lit("-"), F.lit(1)).alias("customer_id"), "ed_id",
+        F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_timestamp"))
+    path = _csv_path(spark, "raw-csv")
+    e.write.option("header", True).csv(path)
+    return path
+
+
+@query("a1_read_events_csv", sql=with_ctes("j1") + "SELECT id, event_timestamp, ed_id FROM j1")
+def a1(spark, sf):
+    """A1 (+B5): lazy CSV scan with an explicit schema, then strict UTC parsing."""
+    from journeyflow.operators.clean import parse_ts
+    from journeyflow.sources import files
+
+    raw = files.read_events_csv(spark, _write_raw_csv(spark, sf))
+    p = parse_ts(raw, "event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return p.select("id", F.col("event_timestamp").cast("timestamp_ntz").alias("event_timestamp"), "ed_id")
+
+
+@query("a2_csv_success_counts", sql=with_ctes("dup") + """SELECT CAST(CAST(event_timestamp AS DATE) AS TIMESTAMP) AS day, CAST(count(*) AS BIGINT) AS daily_orders
+FROM (SELECT DISTINCT id, event_timestamp, ed_id FROM dup) WHERE ed_id = 28 GROUP BY 1""")
+def a2(spark, sf):
+    """A2 + E17 + E18: raw CSV (with duplicates) scanned in parallel splits, de-duplicated
+    globally (not per chunk), success events counted per day with partial aggregation."""
+    from journeyflow.operators.clean import dedup_events, parse_ts
+    from journeyflow.sources import files
+    from journeyflow.sources.bindings import dup_events
+
+    e = dup_events(spark, sf).select("id", F.split_part(F.col("id"), F.lit("-"), F.lit(1)).alias("customer_id"), "ed_id",
+                                     F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_timestamp"))
+    path = _csv_path(spark, "dup-csv")
+    e.repartition(4).write.option("header", True).csv(path)
+    raw = parse_ts(files.read_events_csv(spark, path), "event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    d = dedup_events(raw.drop("customer_id"))
+    return d.where(F.col("ed_id") == 28).groupBy(F.to_date("event_timestamp").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("daily_orders"))
+
+
+@query("a10_write_run_metadata")
+def a10(spark, sf):
+    """A10: best tier configuration written as one JSON line and read back."""
+    import json
+
+    from journeyflow.operators import metrics as mt
+    from journeyflow.sources import files
+    from journeyflow.sources.bindings import scores
+
+    best = mt.tier_grid_search(scores(spark, sf, ("m1",)), (0.1, 0.2), (0.3, 0.4), (0.5, 0.6)).orderBy("tiered_logloss").limit(1)
+    meta = best.select(F.to_json(F.struct("*")).alias("meta"))
+    path = _csv_path(spark, "meta")
+    meta.coalesce(1).write.mode("overwrite").text(path)
+    del json, files
+    return spark.read.text(path).select(F.from_json("value", "tier1_threshold double, tier2_threshold double, tier3_threshold double, tiered_logloss double").alias("m")).select("m.*")

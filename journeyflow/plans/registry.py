@@ -24,6 +24,7 @@ _MODULES = (
     "journeyflow.plans.q_models",
     "journeyflow.plans.q_project",
     "journeyflow.plans.q_stream",
+    "journeyflow.plans.q_functions",
 )
 
 
