@@ -84,11 +84,12 @@ def i11(spark, sf):
     return names.select("feature", S.strip_prefix("feature", "log1p_").alias("short_name"))
 
 
-@query("i12_linspace", sql=with_ctes("j2") + _FR + """ SELECT id, CAST(i AS INTEGER) AS i, CAST(s AS DOUBLE) + i * (CAST(l AS DOUBLE) - s) / 4.0 AS v
+@query("i12_linspace", sql=with_ctes("j2") + _FR + """ SELECT id, CAST(i AS INTEGER) AS i, s / 86400e6 + CAST(i AS DOUBLE) * ((l / 86400e6 - s / 86400e6) / 4.0) AS v
 FROM fr, range(0, 5) t(i)""")
 def i12(spark, sf):
     f = _fr(spark, sf)
-    return f.select("id", F.posexplode(S.linspace(F.col("s"), F.col("l"), 5)).alias("i", "v")).select("id", F.col("i").cast("int").alias("i"), "v")
+    grid = S.linspace(F.col("s") / 86400e6, F.col("l") / 86400e6, 5)
+    return f.select("id", F.posexplode(grid).alias("i", "v")).select("id", F.col("i").cast("int").alias("i"), "v")
 
 
 @query("i13_sigmoid_softmax", sql=with_ctes("j2") + _FR + """ SELECT id, 1 / (1 + exp(-(ln(n) - 2))) AS sigmoid,

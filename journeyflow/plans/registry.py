@@ -49,11 +49,52 @@ def _load():
                 raise
 
 
+ROUND_DIGITS = 9
+
+
+def _float_columns() -> dict[str, list[str]]:
+    import json
+    import os
+
+    path = os.path.join(os.path.dirname(os.path.abspath(__file__)), "float_columns.json")
+    if not os.path.exists(path):
+        return {}
+    with open(path) as f:
+        return json.load(f)
+
+
+def _rounded(fn):
+    """Round DOUBLE outputs to ROUND_DIGITS decimals: two engines summing in different orders
+    differ in the last bits; 9 decimals removes that noise and keeps every real difference."""
+    from functools import wraps
+
+    @wraps(fn)
+    def run(spark, sf_dir):
+        from pyspark.sql import functions as F
+        from pyspark.sql import types as T
+
+        df = fn(spark, sf_dir)
+        kinds = (T.DoubleType, T.FloatType)
+        return df.select(*[F.round(F.col(f"`{c.name}`").cast("double"), ROUND_DIGITS).alias(c.name) if isinstance(c.dataType, kinds)
+                           else F.col(f"`{c.name}`") for c in df.schema.fields])
+
+    return run
+
+
 def all_queries() -> dict[str, Callable]:
     _load()
-    return dict(QUERIES)
+    return {k: _rounded(fn) for k, fn in QUERIES.items()}
 
 
 def all_oracles() -> dict[str, str]:
+    """Oracle SQL with the query's DOUBLE columns cast to DOUBLE and rounded like the Spark side."""
     _load()
-    return dict(ORACLES)
+    fc = _float_columns()
+    out = {}
+    for k, sql in ORACLES.items():
+        cols = fc.get(k)
+        if cols:
+            rep = ", ".join(f'round(CAST("{c}" AS DOUBLE), {ROUND_DIGITS}) AS "{c}"' for c in cols)
+            sql = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS oracle_q"
+        out[k] = sql
+    return out
