@@ -42,7 +42,7 @@ se AS (SELECT x.id, x.us, x.ed_id, (x.us - pf.s) // 1000000 AS abs_s,
               row_number() OVER (PARTITION BY x.id ORDER BY x.us DESC, x.ed_id DESC) AS rl
        FROM {src} x JOIN pf ON x.id = pf.id),
 sg AS (SELECT id, CAST(count(*) AS DOUBLE) AS L, CAST(any_value(total_s) AS DOUBLE) AS T,
-       CAST(max(CASE WHEN rl = 1 THEN gap_s END) AS DOUBLE) AS last_gap, avg(gap_s) AS mean_gap,
+       CAST(max(CASE WHEN rl = 1 THEN gap_s END) AS DOUBLE) AS last_gap, CAST(sum(gap_s) AS DOUBLE) / count(gap_s) AS mean_gap,
        CAST(median(gap_s) AS DOUBLE) AS median_gap, CAST(max(gap_s) AS DOUBLE) AS max_gap,
        avg(CASE WHEN gap_s = 0 THEN 1.0 ELSE 0.0 END) AS zero_gap_share, CAST(count(DISTINCT ed_id) AS DOUBLE) AS uq,
        CAST(max(CASE WHEN rf = 1 THEN ed_id END) AS DOUBLE) AS fe, CAST(max(CASE WHEN rl = 1 THEN ed_id END) AS DOUBLE) AS le,

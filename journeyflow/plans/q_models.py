@@ -117,7 +117,7 @@ def _status(spark, sf, b):
     until = (F.when(F.col("status") == "success", F.col("success_us"))
              .when(F.col("status") == "unsuccessful", F.col("last_us") + F.lit(60 * 86400 * 1000000))
              .otherwise(F.col("end_us")))
-    return j.select("id", "status", ((until - F.col("start_us")) / 86400e6).alias("active_days"),
+    return j.select("id", "status", (until - F.col("start_us")).alias("active_us"),
                     F.when(F.col("n_actions") >= 10, "long").otherwise("short").alias("segment"))
 
 
@@ -126,11 +126,11 @@ def _status(spark, sf, b):
 e AS (SELECT max(us) AS end_us FROM j2),
 st AS (SELECT id, CASE WHEN su IS NOT NULL THEN 'success' WHEN end_us - l >= 60 * 86400000000 THEN 'unsuccessful' ELSE 'ongoing' END AS status,
        s, l, su, end_us, CASE WHEN n >= 10 THEN 'long' ELSE 'short' END AS segment FROM f, e),
-a AS (SELECT segment, status, (CASE status WHEN 'success' THEN su WHEN 'unsuccessful' THEN l + 60 * 86400000000 ELSE end_us END - s) / 86400e6 AS active_days FROM st)
+a AS (SELECT segment, status, CASE status WHEN 'success' THEN su WHEN 'unsuccessful' THEN l + 60 * 86400000000 ELSE end_us END - s AS active_us FROM st)
 SELECT segment, CAST(count(*) AS BIGINT) AS n_journeys, CAST(count(*) FILTER (WHERE status = 'success') AS BIGINT) AS n_to_success,
-       CAST(count(*) FILTER (WHERE status = 'unsuccessful') AS BIGINT) AS n_to_unsuccessful, sum(active_days) AS exposure_days,
-       count(*) FILTER (WHERE status = 'success') / sum(active_days) AS rate_success,
-       count(*) FILTER (WHERE status = 'unsuccessful') / sum(active_days) AS rate_unsuccessful,
+       CAST(count(*) FILTER (WHERE status = 'unsuccessful') AS BIGINT) AS n_to_unsuccessful, CAST(sum(active_us) AS DOUBLE) / 86400e6 AS exposure_days,
+       count(*) FILTER (WHERE status = 'success') / (CAST(sum(active_us) AS DOUBLE) / 86400e6) AS rate_success,
+       count(*) FILTER (WHERE status = 'unsuccessful') / (CAST(sum(active_us) AS DOUBLE) / 86400e6) AS rate_unsuccessful,
        count(*) FILTER (WHERE status = 'success') / (count(*) FILTER (WHERE status = 'success') + count(*) FILTER (WHERE status = 'unsuccessful')) AS p_absorb_success
 FROM a GROUP BY segment""")
 def p14(spark, sf):

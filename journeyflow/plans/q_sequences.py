@@ -91,7 +91,7 @@ def j8(spark, sf):
 
 
 @query("j9_array_stats", sql=with_ctes("j2") + """, g AS (SELECT *, coalesce((us - lag(us) OVER (PARTITION BY id ORDER BY us, ed_id)) // 1000000, 0) AS gap FROM j2)
-SELECT id, min(gap) AS min_gap, max(gap) AS max_gap, avg(gap) AS mean_gap, CAST(median(gap) AS DOUBLE) AS median_gap FROM g GROUP BY id""")
+SELECT id, min(gap) AS min_gap, max(gap) AS max_gap, CAST(sum(gap) AS DOUBLE) / count(gap) AS mean_gap, CAST(median(gap) AS DOUBLE) AS median_gap FROM g GROUP BY id""")
 def j9(spark, sf):
     n = _nested(spark, sf).select("id", A.journey_gaps("journey").alias("g"))
     return n.select("id", F.array_min("g").alias("min_gap"), F.array_max("g").alias("max_gap"), A.array_mean("g").alias("mean_gap"),

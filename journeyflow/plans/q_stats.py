@@ -300,7 +300,7 @@ def e21(spark, sf):
 
 
 @query("e22_gap_stats", sql=with_ctes("j1") + """, g AS (SELECT (us - lag(us) OVER (PARTITION BY id ORDER BY us, ed_id)) // 1000000 AS gap FROM j1)
-SELECT CAST(count(gap) AS BIGINT) AS n_gaps, avg(gap) AS mean_gap_seconds, CAST(median(gap) AS DOUBLE) AS median_gap_seconds,
+SELECT CAST(count(gap) AS BIGINT) AS n_gaps, CAST(sum(gap) AS DOUBLE) / count(gap) AS mean_gap_seconds, CAST(median(gap) AS DOUBLE) AS median_gap_seconds,
        max(gap) AS max_gap_seconds, min(gap) AS min_gap_seconds FROM g WHERE gap IS NOT NULL""")
 def e22(spark, sf):
     return st.gap_stats(ev(spark, sf, "j1"))
@@ -308,7 +308,7 @@ def e22(spark, sf):
 
 @query("e22_gap_stats_by_outcome", sql=with_ctes("j2") + """, g AS (SELECT id, (us - lag(us) OVER (PARTITION BY id ORDER BY us, ed_id)) // 1000000 AS gap,
        bool_or(ed_id = 28) OVER (PARTITION BY id) AS is_success FROM j2)
-SELECT is_success, CAST(count(gap) AS BIGINT) AS n_gaps, avg(gap) AS mean_gap_seconds, CAST(median(gap) AS DOUBLE) AS median_gap_seconds,
+SELECT is_success, CAST(count(gap) AS BIGINT) AS n_gaps, CAST(sum(gap) AS DOUBLE) / count(gap) AS mean_gap_seconds, CAST(median(gap) AS DOUBLE) AS median_gap_seconds,
        max(gap) AS max_gap_seconds, min(gap) AS min_gap_seconds FROM g WHERE gap IS NOT NULL GROUP BY is_success""")
 def e22b(spark, sf):
     return st.gap_stats(ev(spark, sf, "j2"), by_outcome=True)

@@ -75,8 +75,11 @@ def _rounded(fn):
 
         df = fn(spark, sf_dir)
         kinds = (T.DoubleType, T.FloatType)
-        return df.select(*[F.round(F.col(f"`{c.name}`").cast("double"), ROUND_DIGITS).alias(c.name) if isinstance(c.dataType, kinds)
-                           else F.col(f"`{c.name}`") for c in df.schema.fields])
+        scale = F.lit(float(10 ** ROUND_DIGITS))
+        # round(x * 1e9) / 1e9: the same IEEE steps as the oracle's expression, so equal inputs
+        # give equal outputs and last-ulp noise of sums disappears
+        return df.select(*[(F.round(F.col(f"`{c.name}`").cast("double") * scale, 0) / scale).alias(c.name)
+                           if isinstance(c.dataType, kinds) else F.col(f"`{c.name}`") for c in df.schema.fields])
 
     return run
 
@@ -94,7 +97,8 @@ def all_oracles() -> dict[str, str]:
     for k, sql in ORACLES.items():
         cols = fc.get(k)
         if cols:
-            rep = ", ".join(f'round(CAST("{c}" AS DOUBLE), {ROUND_DIGITS}) AS "{c}"' for c in cols)
+            sc = f"{float(10 ** ROUND_DIGITS)}::DOUBLE"
+            rep = ", ".join(f'round(CAST("{c}" AS DOUBLE) * {sc}) / {sc} AS "{c}"' for c in cols)
             sql = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS oracle_q"
         out[k] = sql
     return out

@@ -22,6 +22,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+DIGITS = int(__import__("os").environ.get("JF_CMP_DIGITS", "5"))
+
+
 def _family(dtype) -> str:
     s = str(dtype).lower()
     if "bool" in s:
@@ -41,7 +44,7 @@ def _norm(v):
     if isinstance(v, float) or isinstance(v, np.floating):
         if math.isnan(v):
             return None
-        return round(float(v), 5) + 0.0
+        return round(float(v), DIGITS) + 0.0
     if isinstance(v, decimal.Decimal):
         return round(float(v), 5) + 0.0
     if isinstance(v, (np.integer,)):
