@@ -94,8 +94,8 @@ def step_inputs(df: DataFrame, cols: JourneyCols = DEFAULT_COLS, index: str | No
     event, 0 first), ``total_s`` (abs of the last event), optionally the 1-based step ``index``
     -- via one frame join + one ordered scan."""
     df = with_us(df, cols)
-    fr = df.groupBy(cols.id).agg(F.min("us").alias("_start"), F.max("us").alias("_last"))
-    s = ordered_scan(df, cols.id, "us", [cols.event], prev=["us"], index=index).join(fr, cols.id)
+    s = ordered_scan(df, cols.id, "us", [cols.event], prev=["us"], index=index, key_bounds=True)
+    s = s.withColumnsRenamed({"key_first": "_start", "key_last": "_last"})
     return s.select(
         "*",
         _whole_seconds(F.col("us") - F.col("_start")).alias("abs_s"),

@@ -34,10 +34,13 @@ def ordered_scan(
     running: Mapping[str, Column] | None = None,
     index: str | None = None,
     bucket_us: int = DEFAULT_BUCKET_US,
+    key_bounds: bool = False,
 ) -> DataFrame:
     """Add ``prev_<c>`` for each column in ``prev`` (value on the previous row of the key,
     NULL on the first), one inclusive running sum per ``running`` entry, and optionally a
-    1-based step number ``index``; order is ``(order_us, *tie)`` inside each key."""
+    1-based step number ``index``; order is ``(order_us, *tie)`` inside each key.
+    ``key_bounds`` also adds ``key_first`` / ``key_last`` (min / max of ``order_us`` over the
+    key), taken from the per-bucket summary at no extra shuffle."""
     keys = [key] if isinstance(key, str) else list(key)
     running = dict(running or {})
     if index:
@@ -55,6 +58,8 @@ def ordered_scan(
     last = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                           *[F.col(c).alias(f"p_{c}") for c in prev])) if prev else None
     aggs = ([last.alias("_last")] if prev else []) + [F.sum(e).alias(f"_bs_{n}") for n, e in running.items()]
+    if key_bounds:
+        aggs += [F.min(order_us).alias("_bmin"), F.max(order_us).alias("_bmax")]
     # computed from the windowed frame: it is already clustered by (key, bucket), so no new shuffle
     summ = d.groupBy(*keys, "_bkt").agg(*aggs)
     w2 = Window.partitionBy(*keys).orderBy("_bkt")
@@ -63,11 +68,16 @@ def ordered_scan(
         F.sum(f"_bs_{n}").over(w2.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_off_{n}")
         for n in running
     ]
+    if key_bounds:
+        wk = Window.partitionBy(*keys)  # over the key's bucket rows: bounded
+        carry += [F.min("_bmin").over(wk).alias("key_first"), F.max("_bmax").over(wk).alias("key_last")]
     summ = summ.select(*keys, "_bkt", *carry)
 
     out = d.join(summ, [*keys, "_bkt"], "inner")
     cols = [F.coalesce(F.col(f"_lp_{c}"), F.col("_plast")[f"p_{c}"]).alias(f"prev_{c}") for c in prev]
     cols += [(F.col(f"_lc_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n) for n in running]
+    if key_bounds:
+        cols += [F.col("key_first"), F.col("key_last")]
     drop = {"_bkt", "_plast", *[f"_lp_{c}" for c in prev], *[f"_lc_{n}" for n in running], *[f"_off_{n}" for n in running]}
     keep = [c for c in d.columns if c not in drop and c not in running]
     return out.select(*keep, *cols)

@@ -165,11 +165,14 @@ def logit_score(feat: DataFrame, model: str) -> Column:
 
 
 def scores(spark: SparkSession, sf_dir: str, models=("m1", "m2", "m3"), with_features: bool = False) -> DataFrame:
-    """P: (model, id, y, p) for the fixed scorers over the J2 snapshot (p rounded to 6 places)."""
+    """P: (model, id, y, p) for the fixed scorers over the J2 snapshot (p rounded to 6 places).
+    The feature table is a derived table, materialised once per orders file."""
     from journeyflow.operators.snapshot import snapshot
     from journeyflow.schema import event_definitions
 
-    feat = score_features(snapshot(j2_events(spark, sf_dir), event_definitions(spark)))
+    src = f"{sf_dir.rstrip('/')}/orders.parquet"
+    feat = materialized(spark, "p_features", [src],
+                        lambda: score_features(snapshot(j2_events(spark, sf_dir), event_definitions(spark))))
     xs = [f"x{i}" for i in range(1, 6)] if with_features else []
     # one pass over the features: every model's probability, then one row per model
     per_model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), logit_score(feat, m).alias("p")) for m in models]))
