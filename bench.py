@@ -34,7 +34,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     os.environ.setdefault("JOURNEYFLOW_MASTER", f"local[{cpus}]")
     from journeyflow.plans.registry import all_queries
     from journeyflow.session import get_session

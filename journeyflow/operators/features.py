@@ -94,7 +94,7 @@ def step_inputs(df: DataFrame, cols: JourneyCols = DEFAULT_COLS, index: str | No
     event, 0 first), ``total_s`` (abs of the last event), optionally the 1-based step ``index``
     -- via one frame join + one ordered scan."""
     df = with_us(df, cols)
-    s = ordered_scan(df, cols.id, "us", [cols.event], prev=["us"], index=index, key_bounds=True)
+    s = ordered_scan(df, cols.id, "us", [cols.event], prev=["us"], index=index, key_bounds=True, key_totals=index is not None)
     s = s.withColumnsRenamed({"key_first": "_start", "key_last": "_last"})
     return s.select(
         "*",

@@ -35,12 +35,14 @@ def ordered_scan(
     index: str | None = None,
     bucket_us: int = DEFAULT_BUCKET_US,
     key_bounds: bool = False,
+    key_totals: bool = False,
 ) -> DataFrame:
     """Add ``prev_<c>`` for each column in ``prev`` (value on the previous row of the key,
     NULL on the first), one inclusive running sum per ``running`` entry, and optionally a
     1-based step number ``index``; order is ``(order_us, *tie)`` inside each key.
     ``key_bounds`` also adds ``key_first`` / ``key_last`` (min / max of ``order_us`` over the
-    key), taken from the per-bucket summary at no extra shuffle."""
+    key), taken from the per-bucket summary at no extra shuffle; ``key_totals`` adds
+    ``<name>_total`` (the key's total of each running sum) the same way."""
     keys = [key] if isinstance(key, str) else list(key)
     running = dict(running or {})
     if index:
@@ -68,9 +70,11 @@ def ordered_scan(
         F.sum(f"_bs_{n}").over(w2.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_off_{n}")
         for n in running
     ]
+    wk = Window.partitionBy(*keys)  # over the key's bucket rows: bounded
     if key_bounds:
-        wk = Window.partitionBy(*keys)  # over the key's bucket rows: bounded
         carry += [F.min("_bmin").over(wk).alias("key_first"), F.max("_bmax").over(wk).alias("key_last")]
+    if key_totals:
+        carry += [F.sum(f"_bs_{n}").over(wk).alias(f"{n}_total") for n in running]
     summ = summ.select(*keys, "_bkt", *carry)
 
     out = d.join(summ, [*keys, "_bkt"], "inner")
@@ -78,6 +82,8 @@ def ordered_scan(
     cols += [(F.col(f"_lc_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n) for n in running]
     if key_bounds:
         cols += [F.col("key_first"), F.col("key_last")]
+    if key_totals:
+        cols += [F.col(f"{n}_total") for n in running]
     drop = {"_bkt", "_plast", *[f"_lp_{c}" for c in prev], *[f"_lc_{n}" for n in running], *[f"_off_{n}" for n in running]}
     keep = [c for c in d.columns if c not in drop and c not in running]
     return out.select(*keep, *cols)

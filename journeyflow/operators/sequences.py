@@ -19,11 +19,10 @@ from journeyflow.schema import DEFAULT_COLS, JourneyCols
 def _window_steps(df: DataFrame, n: int, keep: str, cols: JourneyCols) -> DataFrame:
     s = step_inputs(df, cols, index="_step")
     if keep == "last":
-        cnt = s.groupBy(cols.id).agg(F.count(F.lit(1)).alias("_n"))
-        s = s.join(cnt, cols.id).where(F.col("_step") > F.col("_n") - n).drop("_n")
+        s = s.where(F.col("_step") > F.col("_step_total") - n)
     else:
         s = s.where(F.col("_step") <= n)
-    return s
+    return s.drop("_step_total")
 
 
 def _collect(s: DataFrame, fields: dict[str, Column], cols: JourneyCols) -> DataFrame:

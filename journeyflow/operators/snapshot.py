@@ -264,21 +264,18 @@ def prefix_snapshot(df: DataFrame, seed: int = 42, cols: JourneyCols = DEFAULT_C
     the chosen prefix (``step`` 1-based) with the per-journey snapshot columns.
     """
     df = with_us(df, cols)
-    fr = journey_frame(df, cols, success_id)
-    usable = (
-        df.join(fr.select(cols.id, "success_us"), cols.id, "inner")
-        .where((F.col(cols.event) != success_id) & (F.col("success_us").isNull() | (F.col("us") < F.col("success_us"))))
-        .drop("success_us")
-    )
-    stepped = ordered_scan(usable, cols.id, "us", [cols.event], index="step")
-    n = usable.groupBy(cols.id).agg(F.count(F.lit(1)).alias("n_usable"))
-    k = F.greatest(F.lit(2), F.lit(1) + F.floor(hash_uniform(F.col(cols.id), seed) * F.col("n_usable")).cast("long"))
-    sel = n.where(F.col("n_usable") >= 2).select(cols.id, "n_usable", k.alias("prefix_length"))
-    lab = fr.select(cols.id, F.col("success_us").isNotNull().cast("int").alias("label_order_shipped"))
+    first_success = df.groupBy(cols.id).agg(F.min(F.when(F.col(cols.event) == success_id, F.col("us"))).alias("success_us"))
+    usable = df.join(first_success, cols.id, "inner").where(
+        (F.col(cols.event) != success_id) & (F.col("success_us").isNull() | (F.col("us") < F.col("success_us"))))
+    # step index and the number of usable events come from the same two-level scan
+    stepped = ordered_scan(usable, cols.id, "us", [cols.event], index="step", key_totals=True)
+    n = F.col("step_total")
+    k = F.greatest(F.lit(2), F.lit(1) + F.floor(hash_uniform(F.col(cols.id), seed) * n).cast("long"))
     return (
-        stepped.join(sel, cols.id, "inner")
-        .where(F.col("step") <= F.col("prefix_length"))
-        .join(lab, cols.id, "inner")
+        stepped.where((n >= 2) & (F.col("step") <= k))
+        .select("*", n.alias("n_usable"), k.alias("prefix_length"),
+                F.col("success_us").isNotNull().cast("int").alias("label_order_shipped"))
+        .drop("step_total", "success_us")
     )
 
 
