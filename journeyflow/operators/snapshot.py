@@ -168,11 +168,14 @@ def observed_prefix(df: DataFrame, seed: int = 42, cols: JourneyCols = DEFAULT_C
 
 
 def event_pivot_exprs(ids: Sequence[int] = EVENT_IDS, cols: JourneyCols = DEFAULT_COLS) -> list[Column]:
-    """K8 aggregate expressions: count_ed_k and seen_ed_k for a fixed id list (no discovered pivot)."""
+    """K8 aggregate expressions: count_ed_k and seen_ed_k for a fixed id list (no discovered pivot).
+
+    Written as SQL expression text: one call to the JVM per expression instead of one per
+    Column operation (the plan is identical)."""
     out = []
     for k in ids:
-        c = F.count_if(F.col(cols.event) == k)
-        out += [c.alias(f"count_ed_{k}"), (c > 0).alias(f"seen_ed_{k}")]
+        c = f"count_if(`{cols.event}` = {int(k)})"
+        out += [F.expr(f"CAST({c} AS BIGINT) AS count_ed_{int(k)}"), F.expr(f"{c} > 0 AS seen_ed_{int(k)}")]
     return out
 
 
@@ -251,7 +254,7 @@ def snapshot(
     tail = []
     if pivot:
         for k in ids:
-            tail += [F.col(f"count_ed_{k}").cast("long").alias(f"count_ed_{k}"), f"seen_ed_{k}"]
+            tail += [f"count_ed_{k}", f"seen_ed_{k}"]
     return g.select(*head, *tail)
 
 

@@ -23,9 +23,20 @@ from journeyflow.session import tune_session
 SESSION_GAP_US = 12 * US_PER_HOUR
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A provided table. The scan DataFrame is reused within a session while the file is
+    unchanged (saves the listing and footer read; the plan itself is immutable)."""
     tune_session(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path, _fs_stamp(spark, path))
+    df = _TABLES.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
 
 
 def _j1_event_id(event_type: Column, event_id: Column) -> Column:
