@@ -35,9 +35,14 @@ def linspace_grid(df: DataFrame, feature: str, n: int, lo_q: float | None, hi_q:
                   include: Column | None = None) -> DataFrame:
     """``n`` evenly spaced values between two quantiles (or min / max) of ``feature``,
     sorted and de-duplicated, optionally with an extra value inserted. Returns (grid_value)."""
-    lo = F.percentile(F.col(feature), lo_q) if lo_q is not None else F.min(feature)
-    hi = F.percentile(F.col(feature), hi_q) if hi_q is not None else F.max(feature)
-    ends = df.agg(lo.cast("double").alias("_lo"), hi.cast("double").alias("_hi"))
+    from journeyflow.operators.quantiles import exact_percentiles
+
+    qs = [(q, n) for q, n in ((lo_q, "_lo"), (hi_q, "_hi")) if q is not None]
+    mm = df.agg(F.min(feature).cast("double").alias("_mn"), F.max(feature).cast("double").alias("_mx"))
+    if qs:
+        mm = mm.crossJoin(exact_percentiles(df, feature, [q for q, _ in qs], [n for _, n in qs]))
+    ends = mm.select(F.col("_lo") if lo_q is not None else F.col("_mn").alias("_lo"),
+                     F.col("_hi") if hi_q is not None else F.col("_mx").alias("_hi"))
     arr = linspace("_lo", "_hi", n)
     g = ends.select(F.explode(arr).alias("grid_value"))
     if include is not None:

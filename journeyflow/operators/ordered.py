@@ -36,20 +36,24 @@ def ordered_scan(
     bucket_us: int = DEFAULT_BUCKET_US,
     key_bounds: bool = False,
     key_totals: bool = False,
+    bucket_col: str | None = None,
 ) -> DataFrame:
     """Add ``prev_<c>`` for each column in ``prev`` (value on the previous row of the key,
     NULL on the first), one inclusive running sum per ``running`` entry, and optionally a
     1-based step number ``index``; order is ``(order_us, *tie)`` inside each key.
     ``key_bounds`` also adds ``key_first`` / ``key_last`` (min / max of ``order_us`` over the
     key), taken from the per-bucket summary at no extra shuffle; ``key_totals`` adds
-    ``<name>_total`` (the key's total of each running sum) the same way."""
+    ``<name>_total`` (the key's total of each running sum) the same way. ``bucket_col`` replaces
+    the fixed-width buckets by a given bucket number that must grow with ``order_us`` (e.g.
+    approximate-quantile buckets, balanced for any value distribution)."""
     keys = [key] if isinstance(key, str) else list(key)
     running = dict(running or {})
     if index:
         running[index] = F.lit(1)
     order = [order_us, *tie]
 
-    d = df.withColumn("_bkt", F.floor(F.col(order_us) / F.lit(bucket_us)))
+    bkt = F.col(bucket_col).cast("long") if bucket_col else F.floor(F.col(order_us) / F.lit(bucket_us))
+    d = df.withColumn("_bkt", bkt)
     w1 = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     w1c = w1.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = [F.lag(c).over(w1).alias(f"_lp_{c}") for c in prev]

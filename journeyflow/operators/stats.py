@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeyflow.operators.ordered import ordered_scan
+from journeyflow.operators.quantiles import exact_percentiles
 from journeyflow.operators.snapshot import journey_frame, with_us
 from journeyflow.schema import DEFAULT_COLS, MOMENTUM_WINDOWS, SUCCESS_ID, US_PER_DAY, US_PER_HOUR, US_PER_SEC, JourneyCols, from_us
 
@@ -44,17 +45,23 @@ def journey_stats(df: DataFrame, cols: JourneyCols = DEFAULT_COLS, success_id: i
 
 
 def journey_population(stats: DataFrame, approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Mean / median / max of journey length and duration (``approx`` for huge populations)."""
-    med = (lambda c: F.percentile_approx(c, 0.5, accuracy)) if approx else (lambda c: F.median(c))
-    return stats.agg(
+    """Mean / median / max of journey length and duration. Medians are exact and
+    distributed (``exact_percentiles``); ``approx`` uses ``percentile_approx`` instead."""
+    base = stats.agg(
         F.count(F.lit(1)).alias("n_journeys"),
         F.avg("n_actions").alias("mean_actions"),
-        med("n_actions").cast("double").alias("median_actions"),
         F.max("n_actions").alias("max_actions"),
         F.avg("duration_days").alias("mean_duration_days"),
-        med("duration_days").cast("double").alias("median_duration_days"),
         F.max("duration_days").alias("max_duration_days"),
     )
+    if approx:
+        med = stats.agg(F.percentile_approx("n_actions", 0.5, accuracy).cast("double").alias("median_actions"),
+                        F.percentile_approx("duration_days", 0.5, accuracy).cast("double").alias("median_duration_days"))
+    else:
+        med = exact_percentiles(stats, "n_actions", [0.5], ["median_actions"]).crossJoin(
+            exact_percentiles(stats, "duration_days", [0.5], ["median_duration_days"]))
+    return base.crossJoin(med).select("n_journeys", "mean_actions", "median_actions", "max_actions", "mean_duration_days",
+                                      "median_duration_days", "max_duration_days")
 
 
 def conversion_rate(stats: DataFrame, flag: str = "is_success") -> DataFrame:
@@ -67,14 +74,16 @@ def conversion_rate(stats: DataFrame, flag: str = "is_success") -> DataFrame:
 
 
 def outcome_comparison(stats: DataFrame, flag: str = "is_success") -> DataFrame:
-    """E5: median / mean actions and duration (days) by outcome."""
-    return stats.groupBy(F.col(flag).alias(flag)).agg(
+    """E5: median / mean actions and duration (days) by outcome (exact distributed medians)."""
+    base = stats.groupBy(F.col(flag).alias(flag)).agg(
         F.count(F.lit(1)).alias("n_journeys"),
-        F.median("n_actions").cast("double").alias("median_actions"),
         F.avg("n_actions").alias("mean_actions"),
-        F.median("duration_days").alias("median_duration_days"),
         F.avg("duration_days").alias("mean_duration_days"),
     )
+    m1 = exact_percentiles(stats, "n_actions", [0.5], ["median_actions"], group=[flag])
+    m2 = exact_percentiles(stats, "duration_days", [0.5], ["median_duration_days"], group=[flag])
+    return base.join(m1, flag, "left").join(m2, flag, "left").select(
+        flag, "n_journeys", "median_actions", "mean_actions", "median_duration_days", "mean_duration_days")
 
 
 def event_counts(df: DataFrame, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
@@ -122,22 +131,18 @@ def momentum_by_outcome(mom: DataFrame, windows: Sequence[str] = tuple(MOMENTUM_
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], ps: Sequence[float] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """Count, mean, std (sample), min, percentiles (linear), max per column, one row per column."""
-    aggs = []
+    names = [f"p{int(round(p * 100))}" for p in ps]
+    parts = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.count(x).alias("count"),
-                F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("std"),
-                F.min(x).alias("min"),
-                *[F.percentile(x, p).alias(f"p{int(round(p * 100))}") for p in ps],
-                F.max(x).alias("max"),
-            ).alias(c)
-        )
-    one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
+        base = df.agg(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                      F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+        q = exact_percentiles(df, c, ps, names)
+        parts.append(base.crossJoin(q).select("column_name", "count", "mean", "std", "min", *names, "max"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
 
 
 def top_values(df: DataFrame, cols: Sequence[str], k: int = 10, missing: str = "MISSING") -> DataFrame:
@@ -184,11 +189,8 @@ def length_percentiles(lengths: DataFrame, col: str = "n_actions", ps: Sequence[
     """Percentiles of journey length; ``linear`` interpolates, ``disc`` takes the first
     observed value whose cumulative share reaches p."""
     names = [f"p{int(round(p * 100))}" for p in ps]
-    if method == "linear":
-        aggs = [F.percentile(F.col(col), p).cast("double").alias(n) for p, n in zip(ps, names)]
-    else:
-        aggs = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{col}`)").cast("double").alias(n) for p, n in zip(ps, names)]
-    return lengths.agg(*aggs).unpivot([], names, "percentile", "value")
+    wide = exact_percentiles(lengths, col, ps, names, method="linear" if method == "linear" else "disc")
+    return wide.unpivot([], names, "percentile", "value")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30, log: bool = False, clip_quantile: float | None = None, by: str | None = None) -> DataFrame:
@@ -199,8 +201,10 @@ def histogram(df: DataFrame, col: str, bins: int = 30, log: bool = False, clip_q
     """
     x = F.log1p(F.col(col).cast("double")) if log else F.col(col).cast("double")
     base = df.select(x.alias("_x"), *([F.col(by)] if by else []))
-    hi = F.percentile("_x", clip_quantile) if clip_quantile else F.max("_x")
-    edges = base.agg(F.min("_x").alias("_lo"), hi.alias("_hi"))
+    if clip_quantile:
+        edges = base.agg(F.min("_x").alias("_lo")).crossJoin(exact_percentiles(base, "_x", [clip_quantile], ["_hi"]))
+    else:
+        edges = base.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     j = base.crossJoin(F.broadcast(edges)).where(F.col("_x") <= F.col("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
@@ -336,13 +340,15 @@ def gap_stats(df: DataFrame, by_outcome: bool = False, cols: JourneyCols = DEFAU
     if by_outcome:
         lab = journey_frame(df, cols).select(cols.id, F.col("success_us").isNotNull().alias("is_success"))
         g, keys = g.join(lab, cols.id), ["is_success"]
-    return g.groupBy(*keys).agg(
+    base = g.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_gaps"),
         F.avg("gap_seconds").alias("mean_gap_seconds"),
-        F.median("gap_seconds").cast("double").alias("median_gap_seconds"),
         F.max("gap_seconds").alias("max_gap_seconds"),
         F.min("gap_seconds").alias("min_gap_seconds"),
     )
+    med = exact_percentiles(g, "gap_seconds", [0.5], ["median_gap_seconds"], group=keys)
+    joined = base.join(med, keys, "left") if keys else base.crossJoin(med)
+    return joined.select(*keys, "n_gaps", "mean_gap_seconds", "median_gap_seconds", "max_gap_seconds", "min_gap_seconds")
 
 
 def snapshot_report(all_ids: DataFrame, snaps: DataFrame, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
