@@ -73,10 +73,20 @@ def index_categories(df: DataFrame, cols: Sequence[str], max_values: int = 1_000
 
     The code table holds one row per distinct value (a small frame); it is ranked there and
     joined back (broadcast only when known to be small)."""
+    from pyspark.sql import types as T
+
+    from journeyflow.operators.ordered import ordered_scan
+    from journeyflow.operators.sampling import _sortable_prefix
+
     out = df
     for c in cols:
         codes = df.select(c).where(F.col(c).isNotNull()).distinct()
-        codes = codes.withColumn(f"{c}_code", F.dense_rank().over(Window.orderBy(c)))
+        if isinstance(df.schema[c].dataType, T.StringType):
+            # rank of the sorted distinct values in two levels (string-prefix bucket, then value)
+            codes = ordered_scan(codes.withColumn("_p", _sortable_prefix(c)).withColumn("_all", F.lit(0)), ["_all"], "_p", [c],
+                                 index=f"{c}_code", bucket_us=1 << 24).select(c, F.col(f"{c}_code").cast("int").alias(f"{c}_code"))
+        else:
+            codes = codes.withColumn(f"{c}_code", F.dense_rank().over(Window.orderBy(c)))
         n = codes.limit(200_001).count()
         codes = F.broadcast(codes) if n <= 200_000 else codes
         out = out.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0)))

@@ -95,7 +95,8 @@ def event_shares(df: DataFrame, defs: DataFrame | None = None, how: str = "left"
     """Event counts with their share of all events, optionally named via the
     (broadcast) definitions -- ``how='inner'`` drops ids without a definition."""
     c = event_counts(df, cols)
-    c = c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # small: one row per event id
+    tot = c.agg(F.sum("n").alias("_tot"))  # one row
+    c = c.crossJoin(F.broadcast(tot)).withColumn("share", F.col("n") / F.col("_tot")).drop("_tot")
     if defs is not None:
         d = defs.select(F.col("ed_id").alias(cols.event), "event_name", "stage")
         c = c.join(F.broadcast(d), cols.event, how)
@@ -151,14 +152,19 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int = 10, missing: str = "
         F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("value")) for c in cols])).alias("kv")
     ).select("kv.*")
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    # top k per column with a bounded top-n (per-task top k, merged), whatever the cardinality;
+    # the final rank runs on at most k rows per column
+    tops = [counts.where(F.col("column_name") == c).orderBy(F.col("n").desc(), F.col("value")).limit(k) for c in cols]
+    top = reduce(lambda a, b: a.unionByName(b), tops)
     w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), F.col("value"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.withColumn("rank", F.row_number().over(w))
 
 
 def value_shares(df: DataFrame, col: str, missing: str = "MISSING") -> DataFrame:
     """Normalised value counts in percent."""
     c = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit(missing)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    tot = c.agg(F.sum("n").alias("_tot"))  # one row
+    return c.crossJoin(F.broadcast(tot)).withColumn("pct", F.col("n") * 100.0 / F.col("_tot")).drop("_tot")
 
 
 def rank_column_means(df: DataFrame, prefix: str, k: int = 10) -> DataFrame:

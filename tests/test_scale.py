@@ -101,3 +101,29 @@ def test_snapshot_and_features_on_hot_journey(spark):
     gaps = df.withColumn("_g", (F.unix_micros("event_timestamp") - F.lag(F.unix_micros("event_timestamp")).over(w)))
     mx = gaps.where("id = 'hot'").agg(F.max("_g")).first()[0] // 1_000_000
     assert st["hot"].log1p_max_gap_seconds == pytest.approx(__import__("math").log1p(mx))
+
+
+def test_exact_percentiles_match_spark(spark):
+    from journeyflow.operators.quantiles import exact_percentiles
+
+    rnd = random.Random(11)
+    rows = [(i % 4, float(rnd.randrange(0, 40)) if i % 5 else rnd.random() * 500) for i in range(4001)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    ps = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = exact_percentiles(df, "x", ps, n_buckets=64).first()
+    ref = df.agg(*[F.percentile("x", p).alias(f"p{int(round(p * 100))}") for p in ps]).first()
+    assert got.asDict() == pytest.approx(ref.asDict())
+    g = {r.g: r.m for r in exact_percentiles(df, "x", [0.5], ["m"], group=["g"], n_buckets=16).collect()}
+    rg = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()}
+    assert g == pytest.approx(rg)
+
+
+def test_top_values_high_cardinality(spark):
+    from journeyflow.operators.stats import top_values
+
+    rows = [(f"v{i % 1000}", "a" if i % 3 else None) for i in range(9000)]
+    rows += [("v7", "b")] * 5
+    df = spark.createDataFrame(rows, "c1 string, c2 string")
+    top = {(r.column_name, r.rank): (r.value, r.n) for r in top_values(df, ["c1", "c2"], 3).collect()}
+    assert top[("c1", 1)] == ("v7", 14)
+    assert top[("c2", 1)] == ("a", 6000) and top[("c2", 2)] == ("MISSING", 3000)
