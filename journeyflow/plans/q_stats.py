@@ -399,3 +399,41 @@ def h1(spark, sf):
     a = flat(ev(spark, sf, "j1")).select(F.lit("j1").alias("source"), "*")
     b = flat(ev(spark, sf, "j2")).select(F.lit("j2").alias("source"), "*")
     return st.union_all([a, b])
+
+
+@query("d4_semi_join_ids", sql=with_ctes("j2") + """SELECT id, event_timestamp, ed_id FROM j2
+WHERE id IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""")
+def d4(spark, sf):
+    """Keep the events of customers with an urgent fulfilled order (left semi join)."""
+    from journeyflow.operators.project import keep_ids
+    from journeyflow.plans.common import table
+
+    ids = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(
+        F.col("o_custkey").cast("string").alias("id"))
+    return keep_ids(flat(ev(spark, sf, "j2")), ids)
+
+
+@query("d6_row_grid_cross_product", sql=with_ctes("m1") + """, s AS (SELECT * FROM m1 ORDER BY md5(id), id LIMIT 40),
+g(t) AS (VALUES (0.1), (0.3), (0.5), (0.7), (0.9))
+SELECT s.id, CAST(g.t AS DOUBLE) AS threshold, CAST(s.p >= g.t AS INTEGER) AS y_hat FROM s CROSS JOIN g""")
+def d6(spark, sf):
+    """A bounded row sample x a parameter grid (broadcast), the shape of every profile."""
+    from journeyflow.operators.metrics import classify
+
+    rows = scores(spark, sf, ("m1",)).select("id", "p").orderBy(F.md5("id"), "id").limit(40)
+    grid = spark.createDataFrame([(t,) for t in (0.1, 0.3, 0.5, 0.7, 0.9)], "threshold double")
+    x = rows.crossJoin(F.broadcast(grid))
+    return classify(x.withColumn("_p", F.col("p")), 0.0).select(
+        "id", "threshold", (F.col("p") >= F.col("threshold")).cast("int").alias("y_hat"))
+
+
+@query("d7_cutoff_filter", sql=with_ctes("j1_c", "j1") + """SELECT e.id, e.event_timestamp, e.ed_id FROM j1 e JOIN j1_c c ON e.id = c.id WHERE e.us <= c.cutoff_us""")
+def d7(spark, sf):
+    """Event x per-journey cutoff (equi-join on id + residual ts <= cutoff)."""
+    return flat(snap.observed_prefix(ev(spark, sf, "j1")))
+
+
+@query("g4_sort_within_journey", sql=with_ctes("j2") + """SELECT id, event_timestamp, ed_id, row_number() OVER (PARTITION BY id ORDER BY us, ed_id) AS step_index FROM j2""")
+def g4(spark, sf):
+    g = st.with_step_index(ev(spark, sf, "j2"))
+    return g.select("id", F.col("event_timestamp").cast("timestamp_ntz").alias("event_timestamp"), "ed_id", "step_index")
