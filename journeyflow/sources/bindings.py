@@ -59,6 +59,19 @@ def _fs_stamp(spark: SparkSession, path: str) -> str:
     return f"{st.getLen()}-{st.getModificationTime()}"
 
 
+def _code_version() -> str:
+    """Digest of the code that derives the bindings: a changed derivation never reuses an old table."""
+    import hashlib
+    import os
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for rel in ("sources/bindings.py", "operators/ordered.py", "operators/snapshot.py", "schema.py", "functions/scalar.py"):
+        with open(os.path.join(here, rel), "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()[:12]
+
+
 def materialized(spark: SparkSession, name: str, sources: list[str], build) -> DataFrame:
     """A derived table written once per input version under ``spark.checkpoint.dir`` and read
     back: later queries scan a small parquet table instead of re-deriving it (and Spark never
@@ -68,7 +81,7 @@ def materialized(spark: SparkSession, name: str, sources: list[str], build) -> D
     from journeyflow.session import ensure_checkpoint_dir
 
     stamp = "|".join(f"{s}:{_fs_stamp(spark, s)}" for s in sources)
-    digest = hashlib.sha1(f"{name}|{stamp}".encode()).hexdigest()[:16]
+    digest = hashlib.sha1(f"{name}|{stamp}|{_code_version()}".encode()).hexdigest()[:16]
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/journeyflow-derived/{name}-{digest}"
     jvm = spark.sparkContext._jvm
     marker = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
