@@ -200,13 +200,13 @@ def markov_transitions(status: DataFrame, segment: str | None = None) -> DataFra
 
 
 def stage_transition_matrix(events: DataFrame, defs: DataFrame, cols=None) -> DataFrame:
-    """P14 (discrete): stage -> next stage transition probabilities from consecutive events;
-    the last event of a journey moves to 'success' (it contains the success event) or 'ended'.
-    Both are absorbing (self-loop 1)."""
+    """P14 (discrete): stage -> next stage transition probabilities from consecutive events
+    before the first success; the last of them moves to 'success' (the journey reaches the
+    success event) or 'ended'. Both are absorbing (self-loop 1)."""
     from journeyflow.operators.ordered import ordered_scan
-    from journeyflow.operators.snapshot import journey_frame, with_us
+    from journeyflow.operators.snapshot import journey_frame, open_prefix, with_us
 
-    e = with_us(events)
+    e = open_prefix(with_us(events))
     st = e.join(F.broadcast(defs.select("ed_id", F.coalesce("stage", F.lit("Unknown")).alias("stage"))), "ed_id", "left")
     st = st.withColumn("stage", F.coalesce("stage", F.lit("Unknown")))
     st = st.withColumn("_neg", -F.col("us")).withColumn("_nev", -F.col("ed_id"))
@@ -214,7 +214,6 @@ def stage_transition_matrix(events: DataFrame, defs: DataFrame, cols=None) -> Da
     fr = journey_frame(events).select("id", F.col("success_us").isNotNull().alias("_succ"))
     nx = nx.join(fr, "id").withColumn(
         "to_stage", F.coalesce(F.col("prev_stage"), F.when(F.col("_succ"), F.lit("success")).otherwise(F.lit("ended"))))
-    nx = nx.where(F.col("stage") != "Order Shipped")
     counts = nx.groupBy(F.col("stage").alias("from_stage"), "to_stage").agg(F.count(F.lit(1)).alias("n"))
     tot = counts.groupBy("from_stage").agg(F.sum("n").alias("_t"))
     probs = counts.join(tot, "from_stage").select("from_stage", "to_stage", "n", (F.col("n") / F.col("_t")).alias("prob"))

@@ -11,6 +11,7 @@ from journeyflow.operators import models as md
 from journeyflow.operators import snapshot as snap
 from journeyflow.operators.sampling import sample_n, stratified_split
 from journeyflow.plans.common import defs, ev
+from journeyflow.plans.q_features import _OPEN
 from journeyflow.plans.registry import query
 from journeyflow.plans.sql import with_ctes
 from journeyflow.sources.bindings import scores
@@ -137,11 +138,11 @@ def p14(spark, sf):
     return md.markov_transitions(_status(spark, sf, "j2"), "segment")
 
 
-@query("p14_stage_transitions", sql=with_ctes("j1", "defs") + """, s AS (SELECT e.id, e.us, e.ed_id, coalesce(d.stage, 'Unknown') AS stage FROM j1 e LEFT JOIN defs d ON e.ed_id = d.ed_id),
+@query("p14_stage_transitions", sql=with_ctes("j1", "defs") + _OPEN.format(b="j1") + """, s AS (SELECT e.id, e.us, e.ed_id, coalesce(d.stage, 'Unknown') AS stage FROM pe e LEFT JOIN defs d ON e.ed_id = d.ed_id),
 f AS (SELECT id, bool_or(ed_id = 28) AS succ FROM j1 GROUP BY id),
 n AS (SELECT s.stage AS from_stage, coalesce(lead(s.stage) OVER (PARTITION BY s.id ORDER BY s.us, s.ed_id), CASE WHEN f.succ THEN 'success' ELSE 'ended' END) AS to_stage
       FROM s JOIN f ON s.id = f.id),
-c AS (SELECT from_stage, to_stage, CAST(count(*) AS BIGINT) AS n FROM n WHERE from_stage <> 'Order Shipped' GROUP BY ALL)
+c AS (SELECT from_stage, to_stage, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY ALL)
 SELECT from_stage, to_stage, n, n / sum(n) OVER (PARTITION BY from_stage) AS prob FROM c
 UNION ALL SELECT 'success', 'success', 0, 1.0 UNION ALL SELECT 'ended', 'ended', 0, 1.0""")
 def p14s(spark, sf):
