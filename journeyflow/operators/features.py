@@ -32,6 +32,7 @@ from journeyflow.schema import (
     JourneyCols,
 )
 
+# --- fixed values: names of the static feature vector, in its order -------------------
 STATIC_FEATURE_NAMES = (
     "log1p_journey_length",
     "log1p_total_elapsed_seconds",
@@ -72,6 +73,7 @@ STATIC_FEATURE_NAMES = (
     "log1p_cutoff_elapsed_seconds",
     "log1p_seconds_since_last_event_at_cutoff",
 )
+# --- end of fixed values ---------------------------------------------------------------
 
 
 def ratio_features(snap: DataFrame, eps: float = RATIO_EPS) -> DataFrame:

@@ -56,8 +56,8 @@ SEQ_LEN_TPP = 128
 SEQ_LEN_STEPS = 256
 
 # Tier tables: (upper thresholds, value per tier; None = keep the raw probability).
-TPP_TIERS = ((0.40, 0.60, 0.75), (0.0, 0.15, 0.5, None))
-XGB_TIERS = ((0.6, 0.7, 0.8), (0.0, 0.15, 0.5, 0.8))
+SEQUENCE_MODEL_TIERS = ((0.40, 0.60, 0.75), (0.0, 0.15, 0.5, None))
+BOOSTED_TREE_TIERS = ((0.6, 0.7, 0.8), (0.0, 0.15, 0.5, 0.8))
 
 # Event definitions: (event_name, journey_id, event_definition_id, milestone_number, stage).
 EVENT_DEFINITIONS = (
