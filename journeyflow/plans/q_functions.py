@@ -27,8 +27,8 @@ def i1(spark, sf):
                     S.seconds_between("s", "l", clamp=False).alias("signed_seconds"))
 
 
-@query("i2_calendar_parts", sql=with_ctes("j2") + _FR + """ SELECT id, hour(lt) AS hour, isodow(lt) - 1 AS weekday, month(lt) AS month,
-       dayofyear(lt) AS dayofyear FROM fr""")
+@query("i2_calendar_parts", sql=with_ctes("j2") + _FR + """ SELECT id, CAST(hour(lt) AS INTEGER) AS hour, CAST(isodow(lt) - 1 AS INTEGER) AS weekday,
+       CAST(month(lt) AS INTEGER) AS month, CAST(dayofyear(lt) AS INTEGER) AS dayofyear FROM fr""")
 def i2(spark, sf):
     return _fr(spark, sf).select("id", *S.calendar_parts("lt"))
 

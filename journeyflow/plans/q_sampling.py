@@ -133,7 +133,7 @@ def m7(spark, sf):
 
 
 @query("m8_index_categories", sql=with_ctes("snap_j2") + """SELECT id, first_event_name,
-       coalesce(dense_rank() OVER (PARTITION BY first_event_name IS NULL ORDER BY first_event_name) * CASE WHEN first_event_name IS NULL THEN 0 ELSE 1 END, 0) AS first_event_name_code
+       CAST(coalesce(dense_rank() OVER (PARTITION BY first_event_name IS NULL ORDER BY first_event_name) * CASE WHEN first_event_name IS NULL THEN 0 ELSE 1 END, 0) AS INTEGER) AS first_event_name_code
 FROM snap_j2""")
 def m8(spark, sf):
     s = snap.snapshot(ev(spark, sf, "j2"), defs(spark)).select("id", "first_event_name")

@@ -10,7 +10,7 @@ from journeyflow.plans.registry import query
 from journeyflow.plans.sql import with_ctes
 from journeyflow.sources.bindings import daily_lines
 
-_DEC = """p AS (SELECT series, date, y, row_number() OVER (PARTITION BY series ORDER BY date) AS pos,
+_DEC = """p AS (SELECT series, date, y, CAST(row_number() OVER (PARTITION BY series ORDER BY date) AS INTEGER) AS pos,
        CASE WHEN count(y) OVER w = 365 THEN avg(y) OVER w END AS trend
   FROM {src} WINDOW w AS (PARTITION BY series ORDER BY date ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)),
 a7 AS (SELECT series, (pos - 1) % 7 AS phase, avg(y - trend) AS s7 FROM p GROUP BY ALL),
@@ -35,7 +35,7 @@ def _s1(spark, sf):
     return daily_lines(spark, sf)
 
 
-@query("t1_ts_split", sql=with_ctes("s1") + """SELECT series, date, y, row_number() OVER (PARTITION BY series ORDER BY date) AS pos,
+@query("t1_ts_split", sql=with_ctes("s1") + """SELECT series, date, y, CAST(row_number() OVER (PARTITION BY series ORDER BY date) AS INTEGER) AS pos,
        CASE WHEN row_number() OVER (PARTITION BY series ORDER BY date) <= 2000 THEN 'train' ELSE 'test' END AS split FROM s1""")
 def t1(spark, sf):
     return ts.ts_split(_s1(spark, sf), 2000)

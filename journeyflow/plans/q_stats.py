@@ -264,7 +264,7 @@ def e18(spark, sf):
 
 
 @query("e18_monthly_series", sql=with_ctes("s1f") + """SELECT series, CAST(year(date) AS VARCHAR) || '-M' || CAST(month(date) AS VARCHAR) AS month,
-       year(date) AS year, month(date) AS m, sum(y) AS y FROM s1f GROUP BY ALL""")
+       CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS m, sum(y) AS y FROM s1f GROUP BY ALL""")
 def e18m(spark, sf):
     return st.monthly_series(daily_lines(spark, sf, by_flag=True))
 

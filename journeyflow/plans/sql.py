@@ -157,8 +157,10 @@ def _snapshot_ctes(b: str) -> dict:
        c.journey_terminal_reason, c.label_order_shipped, c.sampling_weight_days,
        greatest((c.cutoff_us - g.first_us) / {float(_DAY)}, 0.0) AS observed_duration_days,
        greatest((c.cutoff_us - g.last_us2) / {float(_DAY)}, 0.0) AS days_since_last_event,
-       hour(make_timestamp(c.cutoff_us)) AS cutoff_hour_utc, isodow(make_timestamp(c.cutoff_us)) - 1 AS cutoff_dayofweek_utc,
-       month(make_timestamp(c.cutoff_us)) AS cutoff_month_utc, dayofyear(make_timestamp(c.cutoff_us)) AS cutoff_dayofyear_utc,
+       CAST(hour(make_timestamp(c.cutoff_us)) AS INTEGER) AS cutoff_hour_utc,
+       CAST(isodow(make_timestamp(c.cutoff_us)) - 1 AS INTEGER) AS cutoff_dayofweek_utc,
+       CAST(month(make_timestamp(c.cutoff_us)) AS INTEGER) AS cutoff_month_utc,
+       CAST(dayofyear(make_timestamp(c.cutoff_us)) AS INTEGER) AS cutoff_dayofyear_utc,
        f.event_name AS first_event_name, f.stage AS first_stage, l.event_name AS last_event_name, l.stage AS last_stage
   FROM {b}_g g JOIN {b}_c c ON g.id = c.id
   LEFT JOIN defs f ON f.ed_id = g.first_ed_id LEFT JOIN defs l ON l.ed_id = g.last_ed_id)"""),

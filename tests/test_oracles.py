@@ -49,3 +49,16 @@ def test_entry_smoke(spark):
 @pytest.mark.parametrize("key", ["p1_fit_logistic", "t4_pacf", "p14_absorption"])
 def test_rows_only_queries_run(spark, key):
     assert all_queries()[key](spark, SF_SMALL).count() > 0
+
+
+_TYPE_NAMES = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+               "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP", "DateType": "DATE"}
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_output_types_match(spark, con, key):
+    sch = all_queries()[key](spark, SF_CHECK).schema
+    rel = con.sql(all_oracles()[key])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in sch.fields:
+        assert _TYPE_NAMES.get(type(f.dataType).__name__, f.dataType.simpleString()) == duck_types[f.name], f.name
