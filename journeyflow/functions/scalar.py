@@ -36,11 +36,12 @@ def col_(c: str | Column) -> Column:
 
 def seconds_between(end_us: str | Column, start_us: str | Column, whole: bool = True, clamp: bool = True) -> Column:
     """Seconds from start to end. ``whole`` truncates toward zero like an integer duration."""
-    diff = col_(end_us) - col_(start_us)
-    # integer division truncates toward zero, like an integral duration in seconds
-    out = (diff.cast("long") - diff.cast("long") % F.lit(US_PER_SEC)) / F.lit(US_PER_SEC) if whole else diff / F.lit(float(US_PER_SEC))
+    diff = (col_(end_us) - col_(start_us)).cast("long")
     if whole:
-        out = out.cast("long")
+        # remainder has the sign of the dividend, so this truncates toward zero
+        out = ((diff - diff % F.lit(US_PER_SEC)) / F.lit(US_PER_SEC)).cast("long")
+    else:
+        out = diff / F.lit(float(US_PER_SEC))
     return F.greatest(out, F.lit(0)) if clamp else out
 
 

@@ -8,8 +8,6 @@ Times are exact whole seconds (the reference rounds them through float32; we do
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,8 +274,3 @@ def markov_features(df: DataFrame, cols: JourneyCols = DEFAULT_COLS) -> DataFram
         F.col("events_last_3d").cast("long").alias("events_last_3d"),
     )
 
-
-def momentum_windows() -> Mapping[str, int]:
-    from journeyflow.schema import MOMENTUM_WINDOWS
-
-    return MOMENTUM_WINDOWS

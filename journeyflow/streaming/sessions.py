@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from journeyflow.schema import SUCCESS_ID
 
 EVENTS_SCHEMA = T.StructType(
     [
@@ -52,5 +51,3 @@ def stream_journeys(spark: SparkSession, path: str, gap: str = "12 hours", water
     ev = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
     return journey_sessions(ev, "user_id", "ts", gap, F.col("event_type") == "purchase", watermark or gap)
 
-
-SUCCESS_EVENT_ID = SUCCESS_ID
