@@ -22,6 +22,22 @@ from pyspark.sql import functions as F
 from journeyflow.schema import US_PER_HOUR
 
 DEFAULT_BUCKET_US = 6 * US_PER_HOUR
+_NULL_BUCKET = -(1 << 62)  # rows whose order value is NULL sort first, like NULLS FIRST
+
+
+def _bucket(order: str, bucket_us, bucket_col: str | None = None):
+    b = F.col(bucket_col).cast("long") if bucket_col else F.floor(F.col(order) / F.lit(bucket_us))
+    return F.coalesce(b, F.lit(_NULL_BUCKET).cast("long"))
+
+
+def _join_back(d: DataFrame, summ: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach the per-bucket carry to the rows; NULL keys match NULL keys (null-safe), so no
+    row is lost."""
+    ren = {k: f"_sk{i}" for i, k in enumerate(keys)}
+    s = summ.select(*[F.col(k).alias(v) for k, v in ren.items()], F.col("_bkt").alias("_sb"),
+                    *[c for c in summ.columns if c not in ren and c != "_bkt"])
+    cond = [F.col(k).eqNullSafe(F.col(v)) for k, v in ren.items()] + [F.col("_bkt") == F.col("_sb")]
+    return d.join(s, cond, "inner").drop(*ren.values(), "_sb")
 
 
 def ordered_scan(
@@ -52,8 +68,7 @@ def ordered_scan(
         running[index] = F.lit(1)
     order = [order_us, *tie]
 
-    bkt = F.col(bucket_col).cast("long") if bucket_col else F.floor(F.col(order_us) / F.lit(bucket_us))
-    d = df.withColumn("_bkt", bkt)
+    d = df.withColumn("_bkt", _bucket(order_us, bucket_us, bucket_col))
     w1 = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     w1c = w1.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = [F.lag(c).over(w1).alias(f"_lp_{c}") for c in prev]
@@ -81,7 +96,7 @@ def ordered_scan(
         carry += [F.sum(f"_bs_{n}").over(wk).alias(f"{n}_total") for n in running]
     summ = summ.select(*keys, "_bkt", *carry)
 
-    out = d.join(summ, [*keys, "_bkt"], "inner")
+    out = _join_back(d, summ, keys)
     cols = [F.coalesce(F.col(f"_lp_{c}"), F.col("_plast")[f"p_{c}"]).alias(f"prev_{c}") for c in prev]
     cols += [(F.col(f"_lc_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n) for n in running]
     if key_bounds:
@@ -134,7 +149,7 @@ def session_numbers(
         return frame.withColumn("_in", flag).withColumn(
             "_in_cum", F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-    d = inside(df.withColumn("_bkt", F.floor(t / F.lit(bucket_us))))
+    d = inside(df.withColumn("_bkt", _bucket(order_us, bucket_us)))
     summ = d.groupBy(*keys, "_bkt").agg(F.min(order_us).alias("_f"), F.max(order_us).alias("_l"), F.sum("_in").alias("_n_in"))
     w2 = Window.partitionBy(*keys).orderBy("_bkt")
     prev_last = F.lag("_l").over(w2)
@@ -142,6 +157,6 @@ def session_numbers(
     summ = summ.select(*keys, "_bkt", boundary.alias("_bd"), "_n_in")
     summ = summ.select(*keys, "_bkt", "_bd", F.coalesce(
         F.sum(F.col("_bd") + F.col("_n_in")).over(w2.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    out = d.join(summ, [*keys, "_bkt"], "inner")
+    out = _join_back(d, summ, keys)
     return out.withColumn(name, (F.col("_off") + F.col("_bd") + F.col("_in_cum")).cast("long")).drop(
         "_bkt", "_in", "_in_cum", "_bd", "_off")

@@ -127,3 +127,13 @@ def test_top_values_high_cardinality(spark):
     top = {(r.column_name, r.rank): (r.value, r.n) for r in top_values(df, ["c1", "c2"], 3).collect()}
     assert top[("c1", 1)] == ("v7", 14)
     assert top[("c2", 1)] == ("a", 6000) and top[("c2", 2)] == ("MISSING", 3000)
+
+
+def test_ordered_scan_keeps_null_keys_and_times(spark):
+    rows = [("a", 5, 1), ("a", None, 2), (None, 3, 1), (None, 9, 2), ("b", 1, 1)]
+    df = spark.createDataFrame(rows, "id string, us long, ed int")
+    got = ordered_scan(df, "id", "us", ["ed"], prev=["us"], index="step", bucket_us=4)
+    w = Window.partitionBy("id").orderBy("us", "ed")
+    ref = df.select("*", F.lag("us").over(w).alias("prev_us"), F.row_number().over(w).alias("step"))
+    cols = ["id", "us", "ed", "prev_us", "step"]
+    assert sorted(got.select(cols).collect(), key=str) == sorted(ref.select(cols).collect(), key=str)
