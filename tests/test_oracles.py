@@ -62,3 +62,13 @@ def test_output_types_match(spark, con, key):
     duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
     for f in sch.fields:
         assert _TYPE_NAMES.get(type(f.dataType).__name__, f.dataType.simpleString()) == duck_types[f.name], f.name
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_float_column_list_in_sync(spark, key):
+    """float_columns.json (regenerate with tests/gen_float_columns.py) lists the DOUBLE outputs."""
+    from journeyflow.plans.registry import _float_columns
+
+    sch = all_queries()[key](spark, SF_CHECK).schema
+    doubles = [f.name for f in sch.fields if f.dataType.simpleString() in ("double", "float")]
+    assert doubles == _float_columns().get(key, [])
