@@ -59,7 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return ``spark.checkpoint.dir``; only when the session has none (local tests) set a fresh one."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        if spark.sparkContext.getCheckpointDir() is None:  # each call would add a new sub-folder
+            spark.sparkContext.setCheckpointDir(current)
         return current
     local = tempfile.mkdtemp(prefix="journeyflow-ckpt-")
     try:

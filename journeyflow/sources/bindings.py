@@ -87,7 +87,14 @@ def materialized(spark: SparkSession, name: str, sources: list[str], build) -> D
     marker = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(marker):
-        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+        # write to a private folder, then rename: concurrent builders never see a partial table
+        import uuid
+
+        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+        build().write.mode("overwrite").option("compression", "zstd").parquet(tmp)
+        src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+        if fs.exists(marker) or not fs.rename(src, dst):
+            fs.delete(src, True)
     return spark.read.parquet(path)
 
 
