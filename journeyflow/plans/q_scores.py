@@ -343,3 +343,22 @@ def i10(spark, sf):
     grid_only = curve.join(ex.linspace_grid(f, "x2", 7, 0.02, 0.98).select(F.col("grid_value").alias("feature_value")), "feature_value", "left_semi")
     pts = f.select(F.lit("nearest_half").alias("profile_name"), F.col("x2").alias("x")).distinct()
     return ex.interpolate(grid_only, pts, "profile_name", at="x")
+
+
+@query("q7_classification_report_weighted", sql=with_ctes("scores") + """, m AS (SELECT y, p, 1.0 + x3 AS w FROM scores WHERE model = 'm2'),
+c AS (SELECT
+  sum(CASE WHEN y = 0 AND p < 0.4 THEN w ELSE 0.0 END) AS c00, sum(CASE WHEN y = 0 AND p >= 0.4 THEN w ELSE 0.0 END) AS c01,
+  sum(CASE WHEN y = 1 AND p < 0.4 THEN w ELSE 0.0 END) AS c10, sum(CASE WHEN y = 1 AND p >= 0.4 THEN w ELSE 0.0 END) AS c11 FROM m),
+k AS (SELECT
+  CASE WHEN c11 + c01 > 0 THEN c11 / (c11 + c01) ELSE 0.0 END AS p1, CASE WHEN c11 + c10 > 0 THEN c11 / (c11 + c10) ELSE 0.0 END AS r1,
+  CASE WHEN c00 + c10 > 0 THEN c00 / (c00 + c10) ELSE 0.0 END AS p0, CASE WHEN c00 + c01 > 0 THEN c00 / (c00 + c01) ELSE 0.0 END AS r0,
+  c11 + c10 AS s1, c00 + c01 AS s0, c00, c11 FROM c),
+f AS (SELECT *, CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0.0 END AS f1, CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0.0 END AS f0 FROM k)
+SELECT '1' AS label, p1 AS precision, r1 AS recall, f1 AS f1, s1 AS support FROM f
+UNION ALL SELECT '0', p0, r0, f0, s0 FROM f
+UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, s0 + s1 FROM f
+UNION ALL SELECT 'weighted avg', (p1 * s1 + p0 * s0) / (s0 + s1), (r1 * s1 + r0 * s0) / (s0 + s1), (f1 * s1 + f0 * s0) / (s0 + s1), s0 + s1 FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, (c00 + c11) / (s0 + s1), s0 + s1 FROM f""")
+def q7w(spark, sf):
+    s = scores(spark, sf, ("m2",), with_features=True).withColumn("w", 1.0 + F.col("x3"))
+    return mt.classification_report(s, 0.4, weight="w")
