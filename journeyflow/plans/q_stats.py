@@ -437,3 +437,17 @@ def d7(spark, sf):
 def g4(spark, sf):
     g = st.with_step_index(ev(spark, sf, "j2"))
     return g.select("id", F.col("event_timestamp").cast("timestamp_ntz").alias("event_timestamp"), "ed_id", "step_index")
+
+
+@query("e16_histogram_duration_p95", sql=with_ctes("j2") + """, n AS (SELECT id, (max(us) - min(us)) / 86400e6 AS d FROM j2 GROUP BY id),
+v AS (SELECT d AS x FROM n),
+e AS (SELECT min(x) AS lo, quantile_cont(x, 0.95) AS hi FROM v),
+bb AS (SELECT CAST(CASE WHEN (hi - lo) / 20 = 0 THEN 0 ELSE least(floor((x - lo) / ((hi - lo) / 20)), 19) END AS INTEGER) AS bin, lo, hi
+       FROM v, e WHERE x <= hi)
+SELECT bin, any_value(lo) + bin * (any_value(hi) - any_value(lo)) / 20 AS bin_start,
+       any_value(lo) + (bin + 1) * (any_value(hi) - any_value(lo)) / 20 AS bin_end, CAST(count(*) AS BIGINT) AS n
+FROM bb GROUP BY bin""")
+def e16d(spark, sf):
+    """E16 on a continuous value: journey duration in days, clipped at its exact 95th percentile."""
+    d = st.journey_stats(ev(spark, sf, "j2")).select("id", "duration_days")
+    return st.histogram(d, "duration_days", 20, clip_quantile=0.95)
