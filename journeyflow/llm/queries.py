@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from journeyflow.llm import language_rank, lp_packing, order_minhash, quality_rules, suffix_dedup
+from journeyflow.llm import (
+    cross_polytope,
+    language_rank,
+    lp_packing,
+    mincut_html,
+    order_minhash,
+    passage_mil,
+    quality_rules,
+    sentencepiece_nbest,
+    suffix_dedup,
+    url_filter,
+)
 from journeyflow.llm.shipping import ship
 
 
@@ -22,10 +33,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.encode_nbest(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_passage_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_mil.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(_read(spark, sf_dir, "documents"))
 
@@ -34,10 +53,22 @@ def op5_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lp_packing.packing_digest(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op7_language_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_rank.language_digest(_read(spark, sf_dir, "documents"))
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut_html.extraction_digest(_read(spark, sf_dir, "pages"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(_read(spark, sf_dir, "documents"))
 
@@ -49,12 +80,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_order_minhash": op2_order_minhash,
-    "op4_quality_rules": op4_quality_rules,
-    "op5_lp_packing": op5_lp_packing,
-    "op7_language_rank": op7_language_rank,
-    "op10_suffix_dedup": op10_suffix_dedup,
-    "pipeline": pipeline,
+    f.__name__: f
+    for f in (
+        op1_sentencepiece_nbest,
+        op2_order_minhash,
+        op3_passage_mil,
+        op4_quality_rules,
+        op5_lp_packing,
+        op6_url_filter,
+        op7_language_rank,
+        op8_cross_polytope,
+        op9_mincut_html,
+        op10_suffix_dedup,
+        pipeline,
+    )
 }
 
 ORACLES: dict[str, str] = {}
