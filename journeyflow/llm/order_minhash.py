@@ -129,17 +129,35 @@ def _candidates(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return agree, ok & (np.minimum.outer(n, n) >= SIMILARITY * most - 1e-9)
 
 
+def _possible(ok: np.ndarray, n: np.ndarray, short: list[np.ndarray]) -> list[tuple[int, int]]:
+    """The pairs of ``ok`` that can reach the similarity, by their shingles' 16-bit hashes: no
+    more shingles can match than one text has hashes in common with the other."""
+    out = []
+    seen = np.zeros(1 << 16, bool)
+    for i in range(len(n)):
+        others = np.flatnonzero(ok[i, i + 1:]) + i + 1
+        if len(others):
+            seen[short[i]] = True
+            common = np.add.reduceat(seen[np.concatenate([short[j] for j in others])].astype(np.int64), np.cumsum(n[others]) - n[others])
+            seen[short[i]] = False
+            need = SIMILARITY / (1 + SIMILARITY) * (n[i] + n[others]) - 1e-9
+            out += [(i, int(j)) for j in others[common >= need]]
+    return out
+
+
 def _block_pairs(members: DataFrame, forest: bool) -> DataFrame:
     """Candidate pairs (a, b) of texts that share a bucket, from each pair of a bucket's blocks.
 
-    ``members`` has band, value, blocks (of the bucket), key, comp, n, sketch. With ``forest`` the
-    spanning forest of each group, else every pair of different components; a pair that meets in
-    several buckets is taken in its first one.
+    ``members`` has band, value, blocks (of the bucket), key, comp, n, sketch, and without
+    ``forest`` short. With ``forest`` the spanning forest of each group, else every pair of
+    different components that its short shingles do not rule out; a pair that meets in several
+    buckets is taken in its first one.
     """
+    carried = ["key", "comp", "n", "sketch"] + ([] if forest else ["short"])
     mine = F.pmod(F.xxhash64("key"), F.col("blocks"))
     other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
-    rows = members.select("band", "value", "key", "comp", "n", "sketch", mine.alias("mine"), other).select(
-        "band", "value", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "key", "comp", "n", "sketch")
+    rows = members.select("band", "value", *carried, mine.alias("mine"), other).select(
+        "band", "value", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", *carried)
 
     def run(group: pa.Table) -> pa.Table:
         keys = group["key"].to_pylist()
@@ -159,7 +177,7 @@ def _block_pairs(members: DataFrame, forest: bool) -> DataFrame:
             else:
                 for k in range(band):
                     ok &= s[:, k, None] != s[None, :, k]
-                found = zip(*[x.tolist() for x in np.nonzero(np.triu(ok, 1))], strict=True)
+                found = _possible(ok, n, [np.frombuffer(x, np.uint16) for x in group["short"].to_pylist()])
             pairs = [(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in found]
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.string()), "b": pa.array([x for _, x in pairs], pa.string())})
 
@@ -212,22 +230,23 @@ def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (key, shingles) for the wanted (doc_id, tid, key): each text's labelled shingles as bytes."""
+    """Rows (key, shingles, short) for the wanted (doc_id, tid, key): each text's labelled shingles
+    as bytes, 64 bits and 16 bits of each hash."""
 
     def run(batches):
         for batch, c in chunks(batches):
             shingles, n, whole, other = labelled_shingles(c)
             at = np.concatenate(([0], np.cumsum(n)))
             mine = pa.array([f"{x:016x}{y:016x}" for x, y in zip(whole.tolist(), other.tolist(), strict=True)], pa.string())
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles[at[i]:at[i + 1]].tobytes() for i in range(c.n)], pa.binary())],
-                                             names=["key", "shingles"])
+            sides = [pa.array([x[at[i]:at[i + 1]].tobytes() for i in range(c.n)], pa.binary()) for x in (shingles, shingles.astype(np.uint16))]
+            out = pa.RecordBatch.from_arrays([batch.column(0), *sides], names=["key", "shingles", "short"])
             yield out.filter(pc.equal(mine, batch.column(0)))
 
     tid = F.xxhash64("text").alias("tid")
     wanted = wanted.withColumnsRenamed({"doc_id": "w_id", "tid": "w_tid"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tid, "text")
     on = rows["doc_id"].eqNullSafe(wanted["w_id"]) & (rows["tid"] == wanted["w_tid"])
-    return rows.join(wanted, on).select("key", "text").mapInArrow(run, "key string, shingles binary").dropDuplicates(["key"])
+    return rows.join(wanted, on).select("key", "text").mapInArrow(run, "key string, shingles binary, short binary").dropDuplicates(["key"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -250,7 +269,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = components(links, "joined")
     rest = members.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     open_ = rest.groupBy("band", "value").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").drop("open")
-    more = _block_pairs(rest.join(open_, ["band", "value"]), forest=False).join(pairs, ["a", "b"], "left_anti")
+    rest = rest.join(open_, ["band", "value"]).join(shingles.select("key", "short"), "key")
+    more = _block_pairs(rest, forest=False).join(pairs, ["a", "b"], "left_anti")
     more = materialize(_verified(more, shingles), "more")
     classes = components(links.unionByName(more), "classes").withColumnRenamed("node", "key")
     named = texts.select("key", "least").join(classes, "key", "left").withColumn("class", F.coalesce("component", "key"))
