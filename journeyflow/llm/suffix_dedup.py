@@ -1,9 +1,9 @@
 """Removal of repeated 100-byte strings by a column-wise suffix construction over many documents.
 
-Candidates. Of every 100-byte string the 16-byte gram with the least hash is its anchor, so equal
-strings have equal anchors at the same place, and about every 43rd byte is one. Anchors whose gram
+Candidates. Of every 100-byte string the 32-byte gram with the least hash is its anchor, so equal
+strings have equal anchors at the same place, and about every 35th byte is one. Anchors whose gram
 stands once in the corpus cannot lie in a repeated string; the others, with all bytes that a
-string around them can hold, make a collection of 184-byte contexts, dealt out by gram.
+string around them can hold, make a collection of 168-byte contexts, dealt out by gram.
 
 Construction. A task sorts each collection column by column from the right: each round inserts
 one symbol per context, brings the suffix order and the common prefixes of neighbours up to date
@@ -36,7 +36,7 @@ from journeyflow.llm.storage import materialize
 from journeyflow.llm.texts import chunks
 
 LENGTH = 100
-GRAM = 16
+GRAM = 32
 REACH = LENGTH - GRAM  # bytes of a string on either side of its anchor, at most
 WIDTH = 2 * REACH + GRAM
 COLLECTION = 100_000  # contexts sorted together, more only for one anchor group
