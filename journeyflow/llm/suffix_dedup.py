@@ -203,7 +203,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copies = materialize(facts.join(owners, "digest").where("struct(did, tid) > owner").select("did", "tid", "n"), "copies")
     unique = keyed.join(copies, ["did", "tid"], "left_anti")
     found = materialize(_anchors(unique), "anchors")
-    often = found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    # stored, so that the join below has two plain exchanges and a hot gram can be split
+    often = materialize(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "often")
     places = materialize(found.join(often, "gram").groupBy("did").agg(F.collect_set("at").alias("ats")), "places")
     contexts = _contexts(unique.join(places, "did"))
     spans = materialize(_spans(contexts), "spans")
