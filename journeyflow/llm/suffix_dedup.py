@@ -28,17 +28,19 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from journeyflow.llm.storage import materialize
-from journeyflow.llm.texts import chunks
+from journeyflow.llm.texts import chunks, mix
 
 LENGTH = 100
 GRAM = 32
 REACH = LENGTH - GRAM  # bytes of a string on either side of its anchor, at most
 WIDTH = 2 * REACH + GRAM
+HELD = 500_000  # contexts whose first place a task remembers
 COLLECTION = 100_000  # contexts sorted together, more only for one anchor group
 LAST = 2 ** 63 - 1
 
@@ -81,10 +83,13 @@ def _contexts(docs: DataFrame) -> DataFrame:
     """Rows (gram, did, tid, at, lo, hi, context) for docs with ``ats``, the places of their anchors.
 
     The context is the text from REACH bytes before the anchor's place to REACH bytes behind its
-    gram; lo and hi bound what of it lies in the text, the rest is zero.
+    gram; lo and hi bound what of it lies in the text, the rest is zero. All strings of a context
+    that equals one of an earlier place repeat: where a task knows such a place, the row goes
+    without its bytes (a null context), so a common passage is sent once per task.
     """
 
     def run(batches):
+        first: dict[tuple, tuple] = {}
         for batch, c in chunks(batches):
             lists = batch.column(3)
             n = np.asarray(lists.value_lengths())
@@ -96,15 +101,28 @@ def _contexts(docs: DataFrame) -> DataFrame:
             lo = np.maximum(REACH - at, 0)
             hi = np.minimum(REACH + (c.ends - c.starts)[of] - at, WIDTH)
             padded = np.concatenate((np.zeros(WIDTH, np.uint8), c.data, np.zeros(WIDTH, np.uint8)))
+            begin = c.starts[of] + at - REACH
+            key = c.bytes.hashes(begin + lo, begin + hi)
+            check = gram ^ mix(c.bytes.hashes(c.starts[of] + at, begin + hi))
+            ids = zip(*(batch.column(k).take(pa.array(of)).to_pylist() for k in (0, 1)), at.tolist(), strict=True)
+            known = np.zeros(len(at), bool)
+            for k, (name, place) in enumerate(zip(zip(key.tolist(), check.tolist(), lo.tolist(), hi.tolist(), strict=True), ids, strict=True)):
+                known[k] = first.get(name, place) < place
+                if not known[k] and (len(first) < HELD or name in first):
+                    first[name] = place
             for k in range(0, len(at), 4096):
                 part = slice(k, k + 4096)
                 column = np.arange(WIDTH)
                 x = padded[(at[part] + c.starts[of[part]] + WIDTH - REACH)[:, None] + column]
                 x[(column < lo[part, None]) | (column >= hi[part, None])] = 0
+                sent = ~known[part]
+                ends = np.concatenate(([0], np.cumsum(sent))) * WIDTH
+                bits = pa.array(sent).buffers()[1]
+                context = pa.Array.from_buffers(pa.binary(), len(x), [bits, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x[sent].tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[part].view(np.int64)), batch.column(0).take(pa.array(of[part])), batch.column(1).take(pa.array(of[part])),
-                     pa.array(at[part].astype(np.int32)), pa.array(lo[part].astype(np.int32)), pa.array(hi[part].astype(np.int32)),
-                     pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * WIDTH).astype(np.int32)), pa.py_buffer(x.tobytes())])],
+                    [pa.array(np.where(sent, gram[part].view(np.int64), mix(gram[part] + at[part].astype(np.uint64)).view(np.int64))), batch.column(0).take(pa.array(of[part])),
+                     batch.column(1).take(pa.array(of[part])), pa.array(at[part].astype(np.int32)), pa.array(lo[part].astype(np.int32)),
+                     pa.array(hi[part].astype(np.int32)), context],
                     names=["gram", "did", "tid", "at", "lo", "hi", "context"])
 
     return docs.select("did", "tid", "text", "ats").mapInArrow(run, "gram bigint, did bigint, tid bigint, at int, lo int, hi int, context binary")
@@ -150,6 +168,12 @@ def repeated_starts(contexts: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.
 def _spans(contexts: DataFrame) -> DataFrame:
     """Rows (did, tid, begin, end): bytes of repeated strings, from contexts dealt out by gram."""
 
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        at, lo, hi = (table[k].to_numpy().astype(np.int64) for k in ("at", "lo", "hi"))
+        long = pa.array(hi - lo >= LENGTH)
+        out = [table["did"].combine_chunks(), table["tid"].combine_chunks(), pa.array(at - REACH + lo), pa.array(at - REACH + hi)]
+        return pa.RecordBatch.from_arrays(out, names=["did", "tid", "begin", "end"]).filter(long)
+
     def solve(table: pa.Table) -> pa.RecordBatch:
         keys = [table[k].to_numpy() for k in ("did", "tid", "at", "lo", "hi")]
         context = np.frombuffer(b"".join(table["context"].to_pylist()), np.uint8).reshape(-1, WIDTH)
@@ -169,6 +193,12 @@ def _spans(contexts: DataFrame) -> DataFrame:
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
+            sent = batch.column(6).is_valid()
+            if sent.false_count:
+                yield whole(pa.Table.from_batches([batch.filter(pc.invert(sent))]))
+                batch = batch.filter(sent)
+            if not batch.num_rows:
+                continue
             held.append(batch)
             rows += batch.num_rows
             if rows >= COLLECTION:
