@@ -32,7 +32,8 @@ from journeyflow.llm.storage import materialize
 SIZE = 1024
 END = 2
 ROUNDS = 1000
-RATE = 0.3  # how fast a length's weight falls as it gets covered
+LARGE = 0.02  # how much dearer long pieces are at first, being harder to place
+RATE = 20.0  # how fast a length's weight falls as it gets covered
 BUCKETS = 64  # hash buckets that number the pieces of a length
 
 _encoder = None
@@ -155,12 +156,14 @@ def solve(histogram: np.ndarray, size: int = SIZE, rounds: int = ROUNDS, rate: f
     per_round = (n * lengths).sum() / size / rounds
     used: dict[bytes, list] = {}
     covered = np.zeros(size + 1)
-    for k in range(rounds):
+    done = 0.0
+    while done < rounds:
         share = np.divide(covered, n, out=np.full(size + 1, np.inf), where=some)
-        price = np.where(some, lengths * np.exp(-rate * (share - k / rounds)), 0.0)
+        price = np.where(some, lengths * (1 + LARGE * lengths / size) * np.exp(np.clip(-rate * (share - done / rounds), -30, 30)), 0.0)
         counts = best_configuration(price, histogram, size)
         fill = np.flatnonzero(counts)
         amount = min(per_round, (n[fill] / counts[fill]).min())
+        done += max(amount / per_round, 0.25)
         covered += amount * counts
         used.setdefault(counts.tobytes(), [counts, 0.0])[1] += amount
     return [(c, x) for c, x in used.values()]

@@ -82,14 +82,15 @@ class Model:
     """Encoder, gated attention and logistic unit."""
 
     def __init__(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 1e-4):
+        self.share = float(y.mean()) if len(y) else 0.5
+        self.fitted = 0 < self.share < 1
+        if not self.fitted:
+            return
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         random = np.random.default_rng(3)
         shapes = {"W": (x.shape[1], HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": ()}
         self.p = {k: random.normal(0, 1 / np.sqrt(s[0]) if s else 0, s) for k, s in shapes.items()}
-        self.share = float(y.mean()) if len(y) else 0.5
-        self.fitted = 0 < self.share < 1
-        if self.fitted:
-            self._fit(x, n, y, steps, rate, decay)
+        self._fit(x, n, y, steps, rate, decay)
 
     def _forward(self, x: np.ndarray, n: np.ndarray) -> tuple:
         p, at = self.p, _segments(n)
