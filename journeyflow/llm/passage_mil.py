@@ -83,7 +83,7 @@ class Model:
 
     def __init__(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 1e-4):
         self.share = float(y.mean()) if len(y) else 0.5
-        self.fitted = 0 < self.share < 1
+        self.fitted = len(y) > 0 and 0 < self.share < 1
         if not self.fitted:
             return
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
