@@ -260,7 +260,11 @@ def main_text(page: str, weights: np.ndarray) -> str:
 
 
 def learn_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
-    """Train the text part on the marked blocks of at most ``sample`` pages (least hashes of the url)."""
+    """Train the text part on the marked blocks of at most ``sample`` pages (least hashes of page_id and url).
+
+    Only hashes are sorted; the pages of the chosen ones are then read where they lie. Of several
+    pages with one hash the least html counts.
+    """
 
     def run(batches):
         for batch in batches:
@@ -268,8 +272,10 @@ def learn_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32())],
                                              names=["x", "marked"])
 
-    chosen = pages.orderBy(F.xxhash64("url"), "url").limit(sample).select("html")
-    return train_text_part([(r["x"], r["marked"]) for r in chosen.mapInArrow(run, "x array<double>, marked int").collect()])
+    hashed = pages.select(F.xxhash64("page_id", "url").alias("h"), "html")
+    chosen = hashed.select("h").distinct().orderBy("h").limit(sample)
+    taken = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("html").alias("html"))  # `sample` hashes at most
+    return train_text_part([(r["x"], r["marked"]) for r in taken.select("html").mapInArrow(run, "x array<double>, marked int").collect()])
 
 
 def extract_text(pages: DataFrame, weights: np.ndarray) -> DataFrame:
