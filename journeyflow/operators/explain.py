@@ -52,13 +52,17 @@ def linspace_grid(df: DataFrame, feature: str, n: int, lo_q: float | None, hi_q:
 
 def pdp_ice(df: DataFrame, scorer: Scorer, feature: str, grid_n: int = 30, n_rows: int = 100, seed: int = 42,
             key: str = "id", lo_q: float = 0.05, hi_q: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """ICE curves for ``n_rows`` hashed-sample rows and their PDP mean, over a grid spanning
-    the [lo_q, hi_q] quantiles of the feature. Returns (ice, pdp)."""
+    """ICE curves for ``n_rows`` hashed-sample rows and the PDP mean over all rows, over a grid
+    spanning the [lo_q, hi_q] quantiles of the feature. Returns (ice, pdp). The grid (``grid_n``
+    values) is exploded in the map and averaged by partial aggregation."""
     grid = linspace_grid(df, feature, grid_n, lo_q, hi_q)
-    rows = sample_n(df, n_rows, seed, key)
-    ice = scorer(rows.crossJoin(F.broadcast(grid)).withColumn(feature, F.col("grid_value")))
-    ice = ice.select(key, "grid_value", "p")
-    pdp = ice.groupBy("grid_value").agg(F.avg("p").alias("pdp"), F.count(F.lit(1)).alias("n_rows"))
+
+    def curves(rows: DataFrame) -> DataFrame:
+        s = scorer(rows.crossJoin(F.broadcast(grid)).withColumn(feature, F.col("grid_value")))
+        return s.select(key, "grid_value", "p")
+
+    ice = curves(sample_n(df, n_rows, seed, key))
+    pdp = curves(df).groupBy("grid_value").agg(F.avg("p").alias("pdp"), F.count(F.lit(1)).alias("n_rows"))
     return ice, pdp
 
 

@@ -236,7 +236,8 @@ def tier_grid_search(df: DataFrame, t1: Sequence[float], t2: Sequence[float], t3
         *[F.col(f"tier_{i}_count").cast("long").alias(f"tier_{i}_count") for i in range(4)],
         mean.alias("pred_mean"), F.sqrt(F.greatest(F.col("_s2") / F.col("_n") - mean * mean, z)).alias("pred_std"),
     )
-    return res.withColumnsRenamed({"t1": "tier1_threshold", "t2": "tier2_threshold", "t3": "tier3_threshold"})
+    # one row per grid point, so the sort is bounded by the grid
+    return res.orderBy("tiered_logloss", "t1", "t2", "t3").withColumnsRenamed({"t1": "tier1_threshold", "t2": "tier2_threshold", "t3": "tier3_threshold"})
 
 
 def cv_summary(per_fold: DataFrame, metric: str, group: Sequence[str] = ()) -> DataFrame:

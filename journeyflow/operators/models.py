@@ -222,17 +222,29 @@ def stage_transition_matrix(events: DataFrame, defs: DataFrame, cols=None) -> Da
     return probs.unionByName(absorbing)
 
 
-def absorption(matrix: DataFrame, squarings: int = 7) -> DataFrame:
-    """Absorption probabilities = rows of P^(2^squarings) restricted to absorbing columns.
-    Matrix products are joins + sums on the (states x states) table, which is tiny. Each
-    product reads the previous one twice, so the lineage is cut with a reliable checkpoint
-    (``spark.checkpoint.dir``) after every squaring."""
-    from journeyflow.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(matrix.sparkSession)
-    p = matrix.select(F.col("from_stage").alias("i"), F.col("to_stage").alias("j"), F.col("prob").alias("v")).checkpoint(eager=True)
-    for _ in range(squarings):
-        a = p.select(F.col("i"), F.col("j").alias("k"), F.col("v").alias("va"))
-        b = p.select(F.col("i").alias("k"), F.col("j"), F.col("v").alias("vb"))
-        p = a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v")).checkpoint(eager=True)
-    return p.where(F.col("j").isin("success", "ended")).select(F.col("i").alias("from_stage"), F.col("j").alias("absorbed_in"), F.col("v").alias("probability"))
+def absorption(matrix: DataFrame, absorbing: Sequence[str] = ("success", "ended")) -> DataFrame:
+    """Exact absorption probabilities, the solution x of (I - Q) x = R with Q the moves among
+    passing stages and R those into absorbing ones; one row per stage and absorbing state. A stage
+    that cannot reach an absorbing state has probability 0. The matrix holds one row per pair of
+    stages (the fixed event dimension has at most 28), so it is solved in one task."""
+    names = list(absorbing)
+
+    def solve(pdf):
+        import numpy as np
+        import pandas as pd
+
+        moves = {(i, j): p for i, j, p in zip(pdf["from_stage"], pdf["to_stage"], pdf["prob"], strict=True) if p > 0}
+        reach = set(names)
+        while more := {i for i, j in moves if j in reach} - reach:
+            reach |= more
+        stages = sorted(reach - set(names))
+        q = np.array([[moves.get((i, j), 0.0) for j in stages] for i in stages]).reshape(len(stages), len(stages))
+        r = np.array([[moves.get((i, j), 0.0) for j in names] for i in stages]).reshape(len(stages), len(names))
+        x = np.linalg.solve(np.eye(len(stages)) - q, r)
+        found = {(i, a): float(v) for i, row in zip(stages, x, strict=True) for a, v in zip(names, row, strict=True)}
+        found |= {(a, a): 1.0 for a in names}
+        rows = [(i, a, found.get((i, a), 0.0)) for i in sorted({*pdf["from_stage"], *names}) for a in names]
+        return pd.DataFrame(rows, columns=["from_stage", "absorbed_in", "probability"])
+
+    small = matrix.select("from_stage", "to_stage", "prob")
+    return small.groupBy().applyInPandas(solve, "from_stage string, absorbed_in string, probability double")

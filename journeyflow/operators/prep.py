@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,25 +41,15 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: s
     return j.select(*out)
 
 
-def category_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
-    """Distinct values of a categorical column, sorted, NULL last. Bounded: fails above max_values."""
-    vals = [r[0] for r in df.select(col).distinct().limit(max_values + 1).collect()]
-    if len(vals) > max_values:
-        raise ValueError(f"{col} has more than {max_values} categories; pass the values explicitly")
-    return sorted([v for v in vals if v is not None]) + ([None] if None in vals else [])
-
-
-def one_hot(df: DataFrame, cols: Sequence[str], values: dict | None = None, drop_prefixes: Sequence[str] = (),
+def one_hot(df: DataFrame, cols: Sequence[str], values: dict, drop_prefixes: Sequence[str] = (),
             keep_original: bool = False) -> DataFrame:
     """M7: one 0/1 INT column per category value (``<col>_<value>``; NULL -> ``<col>_nan``).
+    ``values`` lists the categories of each column: they name the output columns, so they are an
+    argument and not looked up in the data.
     Dummies whose name starts with one of ``drop_prefixes`` (leaking categories) are dropped."""
-    values = dict(values or {})
     exprs = [F.col(c) for c in df.columns if keep_original or c not in cols]
     for c in cols:
-        vals = values.get(c)
-        if vals is None:
-            vals = category_values(df, c)
-        for v in vals:
+        for v in values[c]:
             name = f"{c}_nan" if v is None else f"{c}_{v}"
             if any(name.startswith(p) for p in drop_prefixes):
                 continue
@@ -68,27 +58,17 @@ def one_hot(df: DataFrame, cols: Sequence[str], values: dict | None = None, drop
     return df.select(*exprs)
 
 
-def index_categories(df: DataFrame, cols: Sequence[str], max_values: int = 1_000_000) -> DataFrame:
+def index_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M8: stable integer code per category (dense rank of the sorted distinct values, NULL -> 0).
 
-    The code table holds one row per distinct value (a small frame); it is ranked there and
-    joined back (broadcast only when known to be small)."""
-    from pyspark.sql import types as T
-
-    from journeyflow.operators.ordered import ordered_scan
-    from journeyflow.operators.sampling import _sortable_prefix
+    The code table holds one row per distinct value; it is ranked in balanced ranges and joined
+    back (adaptive execution broadcasts it by measured bytes)."""
+    from journeyflow.operators.sampling import rank_distinct
 
     out = df
     for c in cols:
-        codes = df.select(c).where(F.col(c).isNotNull()).distinct()
-        if isinstance(df.schema[c].dataType, T.StringType):
-            # rank of the sorted distinct values in two levels (string-prefix bucket, then value)
-            codes = ordered_scan(codes.withColumn("_p", _sortable_prefix(c)).withColumn("_all", F.lit(0)), ["_all"], "_p", [c],
-                                 index=f"{c}_code", bucket_us=1 << 24).select(c, F.col(f"{c}_code").cast("int").alias(f"{c}_code"))
-        else:
-            codes = codes.withColumn(f"{c}_code", F.dense_rank().over(Window.orderBy(c)))
-        n = codes.limit(200_001).count()
-        codes = F.broadcast(codes) if n <= 200_000 else codes
+        values = df.select(c).where(F.col(c).isNotNull()).distinct()
+        codes = rank_distinct(values, c, f"{c}_code").select(c, F.col(f"{c}_code").cast("int").alias(f"{c}_code"))
         out = out.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0)))
     return out
 

@@ -21,19 +21,15 @@ LEAKY_COLUMNS = (
     "is_success",
     "leaked_success",
 )
-MAX_BROADCAST_ROWS = 200_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a dimension only when its size is known to be small.
 
-    Tables built by this library from fixed values carry ``_jf_rows``; anything else is
-    counted once (a cheap job for a real dimension) and left to a shuffle join if too big.
+    Tables built by this library from fixed values carry ``_jf_rows``; any other is left to
+    adaptive execution, which broadcasts by measured bytes.
     """
-    n = getattr(df, "_jf_rows", None)
-    if n is None:
-        n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return df if getattr(df, "_jf_rows", None) is None else F.broadcast(df)
 
 
 def only_event(df: DataFrame, event_id: int, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
@@ -161,7 +157,7 @@ def with_event_meta(
     Unknown ids keep their row with NULL name/stage.
     """
     d = defs.select(F.col("ed_id").alias(on), *[F.col(f).alias(f"{prefix}{f}") for f in fields])
-    return df.join(bounded_broadcast(d) if getattr(defs, "_jf_rows", None) is None else F.broadcast(d), on, "left")
+    return df.join(d if getattr(defs, "_jf_rows", None) is None else F.broadcast(d), on, "left")
 
 
 def attach_predictions(ids: DataFrame, preds: DataFrame, key: str = "id") -> DataFrame:

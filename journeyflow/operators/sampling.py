@@ -63,19 +63,30 @@ def split(df: DataFrame, test: float = 0.2, seed: int = 42, key: str = "id") ->
     return r.withColumn("split", F.when(F.col("_r") <= F.ceil(F.col("_n") * test), "valid").otherwise("train")).drop("_r", "_n")
 
 
-def _sortable_prefix(c: str) -> Column:
-    """Monotone BIGINT of a string's first 7 UTF-8 bytes (byte order = Spark string order)."""
-    b = F.substring(F.encode(F.col(c), "UTF-8"), 1, 7)
-    padded = F.concat(b, F.unhex(F.repeat(F.lit("00"), (F.lit(7) - F.length(b)).cast("int"))))
-    return F.conv(F.hex(padded), 16, 10).cast("long")
+def rank_distinct(values: DataFrame, key: str, name: str, fan: int = 32) -> DataFrame:
+    """1-based rank of each row of ``values`` (distinct values of ``key``) in sorted order.
+
+    The values are cut into balanced ranges at the ``fan ** 2 - 1`` values of least hash (a one-row
+    broadcast of that size), ranked inside each range, and the ranges' counts carried over. A
+    value's range is the number of bounds up to it, found in two steps of ``fan`` comparisons."""
+    chosen = values.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(fan * fan - 1)
+    bounds = chosen.agg(F.sort_array(F.collect_list(key)).alias("_bounds"))
+    v = F.col(key)
+    d = values.crossJoin(F.broadcast(bounds))  # one row
+    d = d.withColumn("_outer", F.size(F.filter("_bounds", lambda x, i: (i % fan == 0) & (x <= v))))
+    inner = F.slice("_bounds", (F.col("_outer") - 1) * fan + 2, F.lit(fan - 1))
+    low = (F.col("_outer") - 1) * fan + 1 + F.size(F.filter(inner, lambda x: x <= v))
+    d = d.withColumn("_range", F.when(F.col("_outer") == 0, F.lit(0)).otherwise(low)).drop("_bounds", "_outer")
+    r = ordered_scan(d.withColumn("_all", F.lit(0)), ["_all"], key, index=name, bucket_col="_range")
+    return r.drop("_all", "_range")
 
 
 def id_split(df: DataFrame, train: float = 0.8, key: str = "id") -> DataFrame:
     """The first ``floor(train * n_ids)`` ids in sorted order are 'train', the rest 'valid';
-    every row of an id lands on the same side. The id order is ranked in two levels (string
-    prefix bucket, then the id), never in one global window."""
-    ids = df.select(key).distinct().withColumn("_p", _sortable_prefix(key))
-    r = ordered_scan(ids.withColumn("_all", F.lit(0)), ["_all"], "_p", [key], index="_r", bucket_us=1 << 24)
+    every row of an id lands on the same side. The ids are ranked in balanced ranges of whole
+    ids, never in one global window."""
+    ids = df.select(key).distinct()
+    r = rank_distinct(ids, key, "_r")
     n = ids.agg(F.count(F.lit(1)).alias("_n"))
     lab = r.crossJoin(F.broadcast(n)).select(key, F.when(F.col("_r") <= F.floor(F.col("_n") * train), "train").otherwise("valid").alias("split"))
     return df.join(lab, key)

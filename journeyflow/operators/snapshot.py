@@ -199,7 +199,7 @@ def snapshot(
     the success itself (their cutoff is the start, so the success is observed).
     """
     df = with_us(df, cols)
-    d = bounded_broadcast(defs) if getattr(defs, "_jf_rows", None) is None else F.broadcast(defs)
+    d = bounded_broadcast(defs)
     ms = d.select(F.col("ed_id").alias(cols.event), F.col("milestone_number").alias("_ms"))
     obs = observed_prefix(df, seed, cols).join(ms, cols.event, "left")
     first = F.min(F.struct("us", cols.event))
@@ -314,15 +314,13 @@ def open_prefix(df: DataFrame, cols: JourneyCols = DEFAULT_COLS, success_id: int
     return j.where(before).drop("_fs")
 
 
-def oversample_by_days(df: DataFrame, seed: int = 42, max_copies: int | None = None, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
+def oversample_by_days(df: DataFrame, seed: int = 42, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
     """A journey of N (weight) days gives N cutoffs, each with its own seed ``seed + copy``.
 
-    Returns (id, copy, cutoff_time). The explode is per journey row (bounded by its weight);
-    ``max_copies`` is off by default so no journey loses samples.
+    Returns (id, copy, cutoff_time). The explode is per journey row (bounded by its weight).
     """
     fr = cutoff_frame(df, seed, cols)
-    n = F.col("sampling_weight_days") if max_copies is None else F.least(F.col("sampling_weight_days"), F.lit(max_copies))
-    ex = fr.select(cols.id, "start_us", "terminal_us", F.explode(F.sequence(F.lit(1), n)).alias("copy"))
+    ex = fr.select(cols.id, "start_us", "terminal_us", F.explode(F.sequence(F.lit(1), F.col("sampling_weight_days"))).alias("copy"))
     upper = F.col("terminal_us") - 1
     u = hash_uniform(F.col(cols.id), (F.lit(seed) + F.col("copy")).cast("string"))
     cut = F.when(upper <= F.col("start_us"), F.col("start_us")).otherwise(

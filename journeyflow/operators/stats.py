@@ -268,7 +268,10 @@ def class_balance(df: DataFrame, label: str = "y") -> DataFrame:
 
 
 def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation; NULL (not an error) when a column is constant."""
+    """Pearson correlation over the rows where both columns are set; NULL (not an error) when
+    one of them is constant there."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 

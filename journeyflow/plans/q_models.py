@@ -138,17 +138,28 @@ def p14(spark, sf):
     return md.markov_transitions(_status(spark, sf, "j2"), "segment")
 
 
-@query("p14_stage_transitions", sql=with_ctes("j1", "defs") + _OPEN.format(b="j1") + """, s AS (SELECT e.id, e.us, e.ed_id, coalesce(d.stage, 'Unknown') AS stage FROM pe e LEFT JOIN defs d ON e.ed_id = d.ed_id),
+_STAGE_MOVES = with_ctes("j1", "defs") + _OPEN.format(b="j1") + """, s AS (SELECT e.id, e.us, e.ed_id, coalesce(d.stage, 'Unknown') AS stage FROM pe e LEFT JOIN defs d ON e.ed_id = d.ed_id),
 f AS (SELECT id, bool_or(ed_id = 28) AS succ FROM j1 GROUP BY id),
 n AS (SELECT s.stage AS from_stage, coalesce(lead(s.stage) OVER (PARTITION BY s.id ORDER BY s.us, s.ed_id), CASE WHEN f.succ THEN 'success' ELSE 'ended' END) AS to_stage
       FROM s JOIN f ON s.id = f.id),
 c AS (SELECT from_stage, to_stage, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY ALL)
 SELECT from_stage, to_stage, n, n / sum(n) OVER (PARTITION BY from_stage) AS prob FROM c
-UNION ALL SELECT 'success', 'success', 0, 1.0 UNION ALL SELECT 'ended', 'ended', 0, 1.0""")
+UNION ALL SELECT 'success', 'success', 0, 1.0 UNION ALL SELECT 'ended', 'ended', 0, 1.0"""
+
+
+@query("p14_stage_transitions", sql=_STAGE_MOVES)
 def p14s(spark, sf):
     return md.stage_transition_matrix(ev(spark, sf, "j1"), defs(spark))
 
 
-@query("p14_absorption")
+# the same probabilities as the limit of repeated steps, far beyond the slowest stage
+@query("p14_absorption", sql=f"""WITH RECURSIVE m AS MATERIALIZED (SELECT * FROM ({_STAGE_MOVES}) AS moves),
+x(step, i, a, v) AS (
+  SELECT 0, i.from_stage, a.from_stage, CAST(i.from_stage = a.from_stage AS DOUBLE)
+  FROM (SELECT DISTINCT from_stage FROM m) i, (SELECT from_stage FROM m WHERE from_stage IN ('success', 'ended')) a
+  UNION ALL
+  SELECT x.step + 1, m.from_stage, x.a, sum(CAST(m.prob AS DOUBLE) * x.v) FROM x JOIN m ON m.to_stage = x.i
+  WHERE x.step < 2000 GROUP BY x.step, m.from_stage, x.a)
+SELECT i AS from_stage, a AS absorbed_in, v AS probability FROM x WHERE step = 2000""")
 def p14a(spark, sf):
     return md.absorption(md.stage_transition_matrix(ev(spark, sf, "j1"), defs(spark)))

@@ -21,12 +21,12 @@ def c1(spark, sf):
     return pj.only_event(flat(ev(spark, sf, "j1")), 28)
 
 
-@query("c2_keep_ids", sql=with_ctes("j1", "scores") + """SELECT id, event_timestamp, ed_id FROM j1
-WHERE id IN (SELECT id FROM (SELECT * FROM (SELECT DISTINCT id FROM j1) ORDER BY md5(id) LIMIT 300))""")
+@query("c2_keep_ids", sql=with_ctes("j1") + """SELECT id, event_timestamp, ed_id FROM j1
+WHERE id IN (SELECT id FROM j1 WHERE ed_id = 28)""")
 def c2(spark, sf):
+    """All events of the journeys that reach the success event."""
     e = flat(ev(spark, sf, "j1"))
-    ids = e.select("id").distinct().orderBy(F.md5("id")).limit(300)
-    return pj.keep_ids(e, ids)
+    return pj.keep_ids(e, pj.only_event(e, 28).select("id"))
 
 
 @query("c3_min_length", sql=with_ctes("j1") + "SELECT id, event_timestamp, ed_id FROM j1 WHERE id IN (SELECT id FROM j1 GROUP BY id HAVING count(*) >= 2)")

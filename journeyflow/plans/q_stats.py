@@ -413,18 +413,13 @@ def d4(spark, sf):
     return keep_ids(flat(ev(spark, sf, "j2")), ids)
 
 
-@query("d6_row_grid_cross_product", sql=with_ctes("m1") + """, s AS (SELECT * FROM m1 ORDER BY md5(id), id LIMIT 40),
-g(t) AS (VALUES (0.1), (0.3), (0.5), (0.7), (0.9))
-SELECT s.id, CAST(g.t AS DOUBLE) AS threshold, CAST(s.p >= g.t AS INTEGER) AS y_hat FROM s CROSS JOIN g""")
+@query("d6_row_grid_cross_product", sql=with_ctes("m1") + """, g(t) AS (VALUES (0.1), (0.3), (0.5), (0.7), (0.9))
+SELECT m1.id, CAST(g.t AS DOUBLE) AS threshold, CAST(m1.p >= g.t AS INTEGER) AS y_hat FROM m1 CROSS JOIN g""")
 def d6(spark, sf):
-    """A bounded row sample x a parameter grid (broadcast), the shape of every profile."""
-    from journeyflow.operators.metrics import classify
-
-    rows = scores(spark, sf, ("m1",)).select("id", "p").orderBy(F.md5("id"), "id").limit(40)
-    grid = spark.createDataFrame([(t,) for t in (0.1, 0.3, 0.5, 0.7, 0.9)], "threshold double")
-    x = rows.crossJoin(F.broadcast(grid))
-    return classify(x.withColumn("_p", F.col("p")), 0.0).select(
-        "id", "threshold", (F.col("p") >= F.col("threshold")).cast("int").alias("y_hat"))
+    """Every row x a parameter grid, exploded in the map (no shuffle)."""
+    grid = F.array(*[F.lit(t) for t in (0.1, 0.3, 0.5, 0.7, 0.9)])
+    x = scores(spark, sf, ("m1",)).select("id", "p", F.explode(grid).alias("threshold"))
+    return x.select("id", "threshold", (F.col("p") >= F.col("threshold")).cast("int").alias("y_hat"))
 
 
 @query("d7_cutoff_filter", sql=with_ctes("j1_c", "j1") + """SELECT e.id, e.event_timestamp, e.ed_id FROM j1 e JOIN j1_c c ON e.id = c.id WHERE e.us <= c.cutoff_us""")

@@ -43,11 +43,15 @@ def journey_sessions(df: DataFrame, key: str, ts: str, gap: str, success: F.Colu
 
 
 def stream_journeys(spark: SparkSession, path: str, gap: str = "12 hours", watermark: str | None = None,
-                    max_files_per_trigger: int = 1) -> DataFrame:
+                    max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming journeys from a folder of event parquet files (file source, explicit schema).
+    ``max_files_per_trigger`` sets the files of a batch (None: all that are there).
 
     Returns the streaming DataFrame; start it with ``writeStream`` in append mode (sessions are
     final once the watermark passes them) into a sink with a checkpoint location."""
-    ev = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    ev = reader.parquet(path)
     return journey_sessions(ev, "user_id", "ts", gap, F.col("event_type") == "purchase", watermark or gap)
 
