@@ -11,6 +11,10 @@ each distinct segment is solved once per worker, and the N best of a text are th
 of changes to its segments: only the N - 1 cheapest single changes can be in them. Equal sums are
 ordered by the changed segments' places, later first, then by rank.
 
+The forward pass runs over all new segments of a batch at once and also gives each one's second
+best score. A change to a segment costs at least the step to its second best, so only the N - 1
+segments of a text with the least steps can change, and the backward search runs on those alone.
+
 A null text gives null ids and no rows; an empty one has the empty segmentation. Fewer than N
 segmentations give fewer rows. Decoding skips unknown ids and replaces broken UTF-8. Columns other
 than doc_id and text are not read by `encode_nbest`.
@@ -33,6 +37,8 @@ NBEST = 4
 SPACE = "▁"
 UNKNOWN = 10.0  # how far below the worst piece a character without a piece scores
 HELD = 600_000  # distinct segments that a worker holds before it starts anew
+LONG = 64  # characters of a segment up to which it is solved together with others
+TOGETHER = 1 << 16  # characters of segments that are solved together
 _LOW = 1024
 
 
@@ -49,6 +55,7 @@ class Vocabulary:
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.unknown_id = sp.unk_id()
         self.ids = {p: i for i, p in enumerate(self.pieces) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        self.spelling = {i: p.replace(SPACE, " ") for p, i in self.ids.items()}
         self.score = {p: float(sp.get_score(i)) for p, i in self.ids.items()}
         self.unknown = min(self.score.values()) - UNKNOWN
         #: score of every piece, None for what only begins a piece
@@ -64,12 +71,27 @@ class Vocabulary:
             else:
                 high.append(a << 21 | b)
         self.high = np.array(sorted(high), np.int64)
+        self._number_beginnings()
         self.clear()
 
+    def _number_beginnings(self) -> None:
+        """Number the beginnings of pieces: `codes` has (number, next character), `then` the longer one's number."""
+        self.longest = max(map(len, self.ids), default=1)
+        number = {"": 0} | {p: k for k, p in enumerate(self.begun, 1)}
+        codes = np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in self.begun], np.int64)
+        order = np.argsort(codes)
+        self.codes, self.then = codes[order], order + 1
+        self.piece_of = np.array([-1] + [self.ids.get(p, -1) for p in self.begun], np.int64)
+        self.score_of = np.array([0.0] + [self.score.get(p, 0.0) for p in self.begun])
+
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.solved: list[list[tuple[float, tuple[int, ...]]]] = []
+        self.names: list[str] = []
         self.decoded: list[str] = []
+        self.several: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
+        #: per segment: best score, step to the second best, number of ids and where they begin in `flat`
+        self.best, self.step = np.zeros(0), np.zeros(0)
+        self.size, self.begin, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def joined(self, points: np.ndarray) -> np.ndarray:
         """Whether neighbouring code points stand side by side in some piece."""
@@ -145,19 +167,120 @@ class Vocabulary:
             at += size
         return tuple(ids)
 
-    def segment(self, text: str) -> int:
-        """Number of a segment (with plain spaces), solved if it is new."""
-        k = self.at.get(text)
-        if k is None:
-            k = self.at[text] = len(self.solved)
-            found = self.segmentations(text.replace(" ", SPACE))
-            self.solved.append(found)
-            self.decoded.append(self.text(found[0][1]))
-        return k
+    def _forward(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best score, second best score, number of ids and ids (in a row) of escaped segments, longest
+        first, and which of them have a character without a piece (their results mean nothing)."""
+        points = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.int64)
+        length = np.array([len(x) for x in names], np.int64)
+        first = np.cumsum(length) - length
+        left = np.repeat(first + length, length) - np.arange(len(points))
+        edge = np.full((self.longest, len(points)), -np.inf)
+        piece = np.full(edge.shape, -1, np.int64)
+        at, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+        for k in range(self.longest):
+            code = node << 21 | points[at + k]
+            found = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            good = self.codes[found] == code
+            at, node = at[good], self.then[found[good]]
+            whole = self.piece_of[node] >= 0
+            edge[k, at[whole]], piece[k, at[whole]] = self.score_of[node[whole]], self.piece_of[node[whole]]
+            more = left[at] > k + 1
+            at, node = at[more], node[more]
+        strange = np.maximum.reduceat(piece[0] < 0, first)
+        # place t of segment i is first[i] + i + t
+        base = first + np.arange(len(names))
+        best, second = np.zeros(len(points) + len(names)), np.full(len(points) + len(names), -np.inf)
+        took = np.zeros(len(best), np.int64)
+        for t in range(1, int(length[0]) + 1):
+            m = int(np.searchsorted(-length, -t, "right"))
+            back = np.arange(1, min(t, self.longest) + 1)
+            before = base[:m] + t - back[:, None]
+            score = edge[back[:, None] - 1, first[:m] + t - back[:, None]]
+            total = best[before] + score
+            choice, every = np.argmax(total, axis=0), np.arange(m)  # the shortest of equal ones
+            best[base[:m] + t], took[base[:m] + t] = total[choice, every], choice + 1
+            total[choice, every] = second[before[choice, every]] + score[choice, every]
+            second[base[:m] + t] = total.max(axis=0)
+        ids = np.full((len(names), int(length[0])), -1, np.int64)
+        place, rows, column = length.copy(), np.arange(len(names)), ids.shape[1]
+        while len(rows):
+            column -= 1
+            k = took[base[rows] + place[rows]]
+            place[rows] -= k
+            ids[rows, column] = piece[k - 1, first[rows] + place[rows]]
+            rows = rows[place[rows] > 0]
+        return best[base + length], second[base + length], (ids >= 0).sum(axis=1), ids[ids >= 0], strange
+
+    def segments(self, texts: list[str]) -> np.ndarray:
+        """Numbers of segments (with plain spaces); the new ones are solved."""
+        new = sorted({x for x in texts if x not in self.at}, key=len, reverse=True)
+        parts: list[tuple] = [(self.best, self.step, self.size, self.flat)]
+
+        def add(names, best, step, size, flat):
+            parts.append((best, step, size, flat))
+            for name in names:
+                self.at[name] = len(self.names)
+                self.names.append(name)
+            ends = np.cumsum(size).tolist()
+            ids = flat.tolist()
+            self.decoded += [self.text(ids[b - n:b]) for b, n in zip(ends, size.tolist(), strict=True)]
+
+        def alone(name):
+            found = self.segmentations(name.replace(" ", SPACE))
+            self.several[len(self.names)] = found
+            step = found[0][0] - found[1][0] if len(found) > 1 else np.inf
+            add([name], np.array([found[0][0]]), np.array([step]), np.array([len(found[0][1])]), np.array(found[0][1], np.uint32))
+
+        at = 0
+        while at < len(new):
+            if len(new[at]) > LONG or not self.ids:
+                alone(new[at])
+                at += 1
+                continue
+            names = new[at:at + max(1, TOGETHER // len(new[at]))]
+            at += len(names)
+            best, second, size, flat, strange = self._forward([x.replace(" ", SPACE) for x in names])
+            good = np.flatnonzero(~strange)
+            add([names[k] for k in good.tolist()], best[good], best[good] - second[good], size[good], flat[np.repeat(~strange, size)].astype(np.uint32))
+            for k in np.flatnonzero(strange).tolist():
+                alone(names[k])
+        if len(parts) > 1:
+            self.best, self.step, self.size, self.flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+            self.begin = np.cumsum(self.size) - self.size
+        return np.array([self.at[x] for x in texts], np.int64)
+
+    def nbest_of(self, number: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The best (score, ids) of a numbered segment, searched for when first asked."""
+        found = self.several.get(number)
+        if found is None:
+            found = self.several[number] = self.segmentations(self.names[number].replace(" ", SPACE))
+        return found
+
+    def cheapest(self, numbers: np.ndarray) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+        """`cheapest_changes` of a text's segments, from the N - 1 segments with the least steps."""
+        step, keep = self.step[numbers], self.nbest - 1
+        if keep < 1 or not len(step):
+            return [(0.0, ())]
+        if len(step) > keep:
+            at = np.flatnonzero(step <= np.partition(step, keep - 1)[keep - 1])
+        else:
+            at = np.arange(len(step))
+        at = at[np.isfinite(step[at])]
+        at = np.sort(at[np.lexsort((-at, step[at]))[:keep]])
+        if not len(at):
+            return [(0.0, ())]
+        loss = np.full((len(at), keep), np.inf)
+        for i, p in enumerate(at.tolist()):
+            found = self.nbest_of(int(numbers[p]))
+            loss[i, : len(found) - 1] = [found[0][0] - x for x, _ in found[1:]]
+        return [(x, tuple((int(at[i]), r) for i, r in changes)) for x, changes in cheapest_changes(loss, self.nbest)]
 
     def text(self, ids) -> str:
         """The text that ids spell, spaces unescaped, the space before it still there."""
-        parts, held = [], bytearray()
+        try:
+            return "".join([self.spelling[i] for i in ids])
+        except KeyError:  # bytes or unknown ids
+            parts, held = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
             if b is not None:
@@ -166,11 +289,10 @@ class Vocabulary:
             if held:
                 parts.append(held.decode("utf-8", "replace"))
                 held = bytearray()
-            if 0 <= i < len(self.pieces) and self.pieces[i] in self.ids:
-                parts.append(self.pieces[i])
+            parts.append(self.spelling.get(i, ""))
         if held:
             parts.append(held.decode("utf-8", "replace"))
-        return "".join(parts).replace(SPACE, " ")
+        return "".join(parts)
 
 
 def cheapest_changes(loss: np.ndarray, nbest: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
@@ -224,9 +346,9 @@ def _chunk_segments(v: Vocabulary, c) -> tuple[list[str], np.ndarray, np.ndarray
     start, end = at[:-1], at[1:]
     key = Sequence(points.astype(np.uint64) + np.uint64(1)).hashes(start, end)
     _, one, number = np.unique(key, return_index=True, return_inverse=True)
-    if len(v.solved) + len(one) > HELD:
+    if len(v.names) + len(one) > HELD:
         v.clear()
-    known = np.array([v.segment(escaped[a:b]) for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)], np.int64)
+    known = v.segments([escaped[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
     return texts, known[number] if len(one) else known, np.searchsorted(start, first[1:]) - np.searchsorted(start, first[:-1])
 
 
@@ -242,35 +364,25 @@ def encode_nbest(docs: DataFrame, path: str, nbest: int = NBEST, keep_ids: bool
         v = vocabulary(path, nbest)
         for batch, c in chunks(batches):
             texts, numbers, counts = _chunk_segments(v, c)
-            used, number = np.unique(numbers, return_inverse=True)
-            solved = [v.solved[k] for k in used.tolist()]
-            score = np.array([s[0][0] for s in solved] or [0.0])
-            size = np.array([len(s[0][1]) for s in solved] or [0], np.int64)
-            flat = np.array([i for s in solved for i in s[0][1]], "<u4")
-            begin = np.concatenate(([0], np.cumsum(size)))
-            loss = np.full((len(solved) or 1, max(nbest - 1, 1)), np.inf)
-            for k, s in enumerate(solved):
-                for r in range(1, len(s)):
-                    loss[k, r - 1] = s[0][0] - s[r][0]
             at = np.concatenate(([0], np.cumsum(counts)))
             out = []
             valid = batch.column(1).is_valid().to_pylist()
             for i, text in enumerate(texts):
                 if not valid[i]:
                     continue
-                mine = number[at[i]:at[i + 1]]
-                n = size[mine]
+                mine = numbers[at[i]:at[i + 1]]
+                n = v.size[mine]
                 place = np.concatenate(([0], np.cumsum(n)))
-                ids = flat[np.arange(place[-1]) + np.repeat(begin[mine] - place[:-1], n)] if len(mine) else flat[:0]
-                total = float(score[mine].sum()) if len(mine) else 0.0
-                spelt = "".join([v.decoded[k] for k in used[mine].tolist()])[1:] == text
-                for rank, (lost, changes) in enumerate(cheapest_changes(loss[mine], nbest) if len(mine) and nbest > 1 else [(0.0, ())], 1):
+                ids = v.flat[np.arange(place[-1]) + np.repeat(v.begin[mine] - place[:-1], n)].astype("<u4")
+                total = float(v.best[mine].sum())
+                spelt = "".join([v.decoded[k] for k in mine.tolist()])[1:] == text
+                for rank, (lost, changes) in enumerate(v.cheapest(mine), 1):
                     parts, last, same = [], 0, spelt
                     for p, r in changes:
-                        alt = solved[mine[p]][r][1]
+                        alt = v.nbest_of(int(mine[p]))[r][1]
                         parts += [ids[last:place[p]], np.array(alt, "<u4")]
                         last = place[p + 1]
-                        same = same and v.text(alt) == v.decoded[used[mine[p]]]
+                        same = same and v.text(alt) == v.decoded[mine[p]]
                     now = np.concatenate([*parts, ids[last:]]) if changes else ids
                     out.append((i, rank, total - lost, len(now), zlib.crc32(now.tobytes()), same, *([now.astype(np.int32)] if keep_ids else [])))
             columns = list(zip(*out, strict=True)) or [()] * (6 + keep_ids)
