@@ -7,8 +7,9 @@ that fits a sequence, so that every length is covered and the configurations are
 
 The linear program is solved by multiplicative weights: each length has a weight that shrinks as
 it gets covered, a knapsack dynamic program finds the configuration of most weight, and the
-average of the configurations is a nearly optimal cover. Its rounded-down counts are used, as far
-as pieces last; the pieces left over are packed best fit, longest first, on the histogram.
+average of the configurations is a nearly optimal cover. Its rounded-down counts are used, fullest
+first, as far as pieces last. The pieces left over are a smaller histogram, solved and rounded
+again; what is left after some passes is packed best fit, longest first, on the histogram.
 
 The plan is a bounded table (runs of equal sequences). Pieces of a length get consecutive numbers
 by a count per (length, hash bucket) and a running number inside each, so no task sees all pieces
@@ -31,8 +32,9 @@ from journeyflow.llm.storage import materialize
 
 SIZE = 1024
 END = 2
-ROUNDS = 1000
-LARGE = 0.02  # how much dearer long pieces are at first, being harder to place
+ROUNDS = 300
+PASSES = 4  # how often the linear program is solved for what rounding left
+LARGE = 0.1  # how much dearer long pieces are at first, being harder to place
 RATE = 20.0  # how fast a length's weight falls as it gets covered
 BUCKETS = 64  # hash buckets that number the pieces of a length
 
@@ -171,18 +173,22 @@ def solve(histogram: np.ndarray, size: int = SIZE, rounds: int = ROUNDS, rate: f
 
 def plan(histogram: np.ndarray, size: int = SIZE) -> list[tuple[np.ndarray, int]]:
     """Runs (counts per length, sequences): an integral packing of exactly the histogram."""
-    left, runs = histogram.astype(np.int64).copy(), []
+    left, runs, lengths = histogram.astype(np.int64).copy(), [], np.arange(size + 1)
     left[size] = 0
     if histogram[size]:
         full = np.zeros(size + 1, np.int64)
         full[size] = 1
         runs.append((full, int(histogram[size])))
-    for counts, x in sorted(solve(left, size), key=lambda t: -t[1]):
-        fill = np.flatnonzero(counts)
-        times = int(min(x, (left[fill] // counts[fill]).min()))
-        if times:
-            runs.append((counts, times))
-            left -= times * counts
+    for _ in range(PASSES):
+        before = len(runs)
+        for counts, x in sorted(solve(left, size), key=lambda t: (-int(t[0] @ lengths), -t[1])):
+            fill = np.flatnonzero(counts)
+            times = int(min(x, (left[fill] // counts[fill]).min()))
+            if times:
+                runs.append((counts, times))
+                left -= times * counts
+        if len(runs) == before:
+            break  # a further pass would find the same
     # the rest by best fit, longest first: bins with equal room are one entry
     rooms: dict[int, list] = {}  # room -> [[counts, bins], ...]
     for length in range(size, 0, -1):
