@@ -123,16 +123,16 @@ def best_configuration(value: np.ndarray, most: np.ndarray, size: int) -> np.nda
 
     ``value`` per piece of length 1..size (index 0 unused); a length is used at most ``most`` times.
     """
-    best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    usable = np.flatnonzero(value > 0)
+    # best[size - w] is the value of space w, so the rest beside each length is one slice in order
+    best, last = np.zeros(size + 1), [0] * (size + 1)
+    value = np.where(value > 0, value, -np.inf)
+    total, top = np.empty(size), 0.0
     for w in range(1, size + 1):
-        fit = usable[: np.searchsorted(usable, w, "right")]
-        if len(fit):
-            got = best[w - fit] + value[fit]
-            k = int(np.argmax(got))
-            best[w], last[w] = got[k], fit[k]
-        if best[w - 1] > best[w]:
-            best[w], last[w] = best[w - 1], 0
+        got = np.add(best[size - w + 1:], value[1:w + 1], out=total[:w])
+        k = int(got.argmax())
+        if got[k] >= top:
+            top, last[w] = got[k], k + 1
+        best[size - w] = top
     counts, w = np.zeros(size + 1, np.int64), size
     while w > 0:
         if last[w]:
