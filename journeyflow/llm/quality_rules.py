@@ -3,9 +3,11 @@
 Every document gets integer metrics. Per (lang, source) and metric a mergeable quantile sketch is
 kept: counts of log-linear buckets (exact below 64, then 32 buckets per power of two, so a
 quantile is off by 1/32 at most). Bucket counts add up, so sketches merge by summing: partial
-aggregates, one small shuffle, the same result for any partitioning. From the sketch's quartiles
-come a lower and an upper fence per group and metric; documents are joined with their group's
-fences and kept if no metric is outside.
+aggregates, one small shuffle, the same result for any partitioning. They merge
+upwards too, to each language and to all documents, and a group's distribution is blended with
+that of its parents, which a group of few documents follows. From its quartiles come a lower and
+an upper fence per group and metric; documents are joined with their group's fences and kept if
+no metric is outside.
 
 Rows may hold nulls anywhere: a null text has no words, null languages and sources form a group
 of their own. An empty table gives an empty result. Other columns pass through `rule_metrics`,
@@ -36,6 +38,7 @@ METRICS = {
     "repeats_per_1000_words": ("1000 * n_repeat_words div greatest(n_words, 1)", 300, False),
 }
 FENCE = 3  # quartile distances beyond the quartile
+PARENT = 20  # documents that the distribution of the group above counts as
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -101,17 +104,49 @@ def sketches(metrics: DataFrame, keys: tuple[str, ...] = ("lang", "source")) ->
     return metrics.where("n_words > 0").select(*keys, pairs).groupBy(*keys, "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
+def _quartiles(levels: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int]:
+    """Buckets of the lower and upper quartile of the last level's (bucket, n), blended with the levels above it."""
+    b, n = levels[0]
+    share = np.cumsum(n) / n.sum()
+    for own, count in levels[1:]:
+        run = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(own, b, "right")]  # b has the own buckets too
+        share = (run + PARENT * share) / (count.sum() + PARENT)
+    return tuple(int(b[min(np.searchsorted(share, k / 4 - 1e-9), len(b) - 1)]) for k in (1, 3))
+
+
 def fences(sketch: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Lower and upper fence per group and metric, one row per group: columns ``<metric>_lo/_hi``.
 
-    Quartiles are the first buckets whose running count reaches a quarter or three quarters.
+    The sketches merge upwards, from all keys to none. A group's distribution is its own counts
+    and, as PARENT more documents, the distribution of the group above it, which is blended so
+    itself: few documents are judged by their parents, many by their own. Quartiles are the first
+    buckets whose running share reaches a quarter or three quarters.
     """
-    from pyspark.sql import Window
+    sketch = materialize(sketch, "sketch")
+    joined = None
+    for k in range(len(keys), -1, -1):
+        merged = sketch.groupBy(*keys[:k], "metric", "bucket").agg(F.sum("n").alias("n"))
+        level = merged.groupBy(*[F.col(x).alias(f"_{k}_{x}") for x in keys[:k]], F.col("metric").alias(f"_{k}_metric")).agg(
+            F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias(f"_level_{k}"))  # as many as the sketch has buckets
+        if joined is None:
+            joined = level.withColumnsRenamed({f"_{k}_{x}": x for x in (*keys, "metric")})
+        else:
+            on = [joined[x].eqNullSafe(level[f"_{k}_{x}"]) for x in (*keys[:k], "metric")]
+            joined = joined.join(level, on).drop(*[f"_{k}_{x}" for x in (*keys[:k], "metric")])
+    joined = joined.select(*keys, "metric", *[f"_level_{k}" for k in range(len(keys) + 1)])
 
-    group = Window.partitionBy(*keys, "metric")
-    run = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cum = sketch.withColumns({"run": F.sum("n").over(run), "all": F.sum("n").over(group)})
-    q = cum.groupBy(*keys, "metric").agg(*[F.min(F.when(F.col("run") * 4 >= F.col("all") * k, _value(F.col("bucket")))).alias(f"q{k}") for k in (1, 3)])
+    def run(batches):
+        for batch in batches:
+            levels = []
+            for c in batch.columns[len(keys) + 1:]:
+                at, pairs = c.offsets.to_numpy(), c.values
+                levels.append((at, pairs.field("bucket").to_numpy(), pairs.field("n").to_numpy()))
+            q = [_quartiles([(b[at[i]:at[i + 1]], n[at[i]:at[i + 1]]) for at, b, n in levels]) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:len(keys) + 1] + [pa.array([x[k] for x in q], pa.int64()) for k in (0, 1)],
+                                             names=[*keys, "metric", "b1", "b3"])
+
+    schema = T.StructType([joined.schema[x] for x in (*keys, "metric")] + [T.StructField(x, T.LongType()) for x in ("b1", "b3")])
+    q = joined.mapInArrow(run, schema).select(*keys, "metric", _value(F.col("b1")).alias("q1"), _value(F.col("b3")).alias("q3"))
     wide = []
     for name, (_, least, low) in METRICS.items():
         reach = FENCE * (F.col("q3") - F.col("q1")) + least

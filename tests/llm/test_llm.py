@@ -91,6 +91,21 @@ def test_sketches_merge_and_bound_quantiles(texts):
     assert all(r["b"] <= r["v"] < r["b"] * 33 / 32 + 1 for r in got)
 
 
+def test_fences_of_small_sources(s):
+    junk = " ".join("# word" for _ in range(50)).replace("#", "#$%&*|<>")
+    rows = [(i, f"{words(80, i)} {'# ' * (i % 3)}", "en", "large") for i in range(60)]
+    rows += [(100, junk, "en", "one"), (200, words(80, 200), "en", "two"), (201, junk, "en", "two"), (300, words(80, 300), "en", "three"),
+             (301, words(80, 301), "en", "three"), (302, junk + " x", "en", "three"), (400, junk, None, None), (401, words(80, 401), None, None), (500, junk, "fr", "one")]
+    docs = s.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {i: text[0] != "#" for i, text, _, _ in rows}
+    for got in (quality_rules.quality_digest(docs), quality_rules.quality_rules(docs)):
+        assert not [r for r in got.collect() if r["kept"] != want[r["doc_id"]] or r["base_failed"] and want[r["doc_id"]]]
+    # a large group keeps to its own documents
+    code = [(i, " ".join(f"a{j} = b{i} * c{j} * {i}" for j in range(40)), "en", "code") for i in range(1000, 1080)]
+    docs = docs.unionByName(s.createDataFrame(code, docs.schema))
+    assert quality_rules.quality_digest(docs).where("source = 'code' and kept").count() == len(code)
+
+
 def test_language_held_out(texts):
     got = language_rank.language_digest(texts).join(texts.select("doc_id", "lang", "text"), "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in got)
