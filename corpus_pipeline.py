@@ -5,8 +5,8 @@ each stage's rows as Parquet in the shared folder and hands the written table on
 the last return the columns of ``documents``; n_chars follows the text.
 
 Rows with a null doc_id or text are ordinary rows: a text without words fails the rules. Rows that
-repeat a doc_id are judged each by its own text; a near copy is dropped unless its doc_id is the
-least of its class. Clashing extra columns pass through the filters untouched.
+repeat a doc_id are judged each by its own text; of near copies and equal rows exactly one row
+stays, the first by doc_id (nulls last) and text hash. Clashing extra columns pass through the filters untouched.
 """
 
 from __future__ import annotations
@@ -42,11 +42,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one of least doc_id."""
+    """One row of each near-duplicate class: the first by doc_id (nulls last) and text hash."""
     ship(spark)
-    dropped = order_minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    dropped = materialize(dropped, "dropped")
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["dropped_id"]), "left_anti").select(*docs.columns)
+    return order_minhash.without_near_copies(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

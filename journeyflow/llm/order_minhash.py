@@ -18,7 +18,8 @@ candidate pair that is still in different components, so no link between compone
 
 Texts without words (null, empty, white space) are each alone. Repeated rows and repeated or null
 doc_ids are fine: rows with equal word sequences share a class; a class without any doc_id is
-null. Columns besides doc_id and text are not read by `near_duplicates`.
+null. One row of each class is kept: the first by doc_id (nulls last), text hash and, of equal
+rows, place. Columns besides doc_id and text are not read by `near_duplicates`.
 """
 
 from __future__ import annotations
@@ -249,14 +250,14 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, on).select("key", "text").mapInArrow(run, "key string, shingles binary, short binary").dropDuplicates(["key"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (least doc_id of its class), kept (it is that one).
+def row_verdicts(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, tid, key (see `sketch_texts`), class_id, kept.
 
-    Rows that share the least doc_id are all kept, as are those of a class without a doc_id.
+    kept holds for exactly one row of a class, and for every row without words.
     """
-    rows = materialize(sketch_texts(docs), "sketches")
+    rows = materialize(sketch_texts(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
     texts = materialize(rows.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tid")).alias("one"), F.first("n").alias("n"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid", "row")).alias("least"), F.min(F.struct("doc_id", "tid")).alias("one"), F.first("n").alias("n"),
         F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "texts")
     spread = texts.select("key", "n", "sketch", F.posexplode("bands").alias("band", "value"))
     large = spread.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1").select(
@@ -274,8 +275,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = materialize(_verified(more, shingles), "more")
     classes = components(links.unionByName(more), "classes").withColumnRenamed("node", "key")
     named = texts.select("key", "least").join(classes, "key", "left").withColumn("class", F.coalesce("component", "key"))
-    least = named.groupBy("class").agg(F.min("least").alias("class_id"))
-    known = named.select("key", "class").join(least, "class").select("key", "class_id", F.lit(True).alias("known"))
-    class_id = F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "key").join(known, "key", "left").select(
-        "doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    least = named.groupBy("class").agg(F.min("least").alias("head"))
+    known = named.select("key", "class").join(least, "class").select("key", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head"))
+    worded = F.col("key").isNotNull()
+    return rows.select("doc_id", "tid", "key", "row").join(known, "key", "left").select(
+        "doc_id", "tid", "key", F.when(worded, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(worded, F.col("row") == F.col("head")).otherwise(True).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (least doc_id of its class), kept (it is the class's one row)."""
+    return row_verdicts(docs).select("doc_id", "class_id", "kept")
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Rows are told apart by doc_id and text. Of equal ones that stand for their class, the one whose
+    other columns have the least hash stays.
+    """
+    id_, tid = F.col("doc_id").cast("long"), F.xxhash64("text")
+    verdicts = row_verdicts(docs).where("key is not null").groupBy("doc_id", "tid").agg(
+        F.count("*").alias("n"), F.count_if("kept").alias("n_kept")).where("n_kept < n")
+    verdicts = materialize(verdicts.select(F.col("doc_id").alias("_v_id"), F.col("tid").alias("_v_tid"), "n_kept"), "dropped")
+    on = id_.eqNullSafe(F.col("_v_id")) & (tid == F.col("_v_tid"))
+    alone = docs.join(verdicts, on, "left_anti")
+    equal = docs.join(verdicts.where("n_kept > 0"), on, "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    place = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0)
+    one = equal.groupBy(id_.alias("_id"), tid.alias("_tid")).agg(F.min_by(F.struct(*docs.columns), place).alias("row"))
+    return alone.select(*docs.columns).unionByName(one.select("row.*"))

@@ -126,6 +126,22 @@ def test_order_minhash_finds_near_copies(s):
     assert got == {i: i if i % 100 == 9 else i // 100 * 100 for i, _ in rows}
 
 
+def test_one_row_of_each_class_is_kept(s):
+    a, b, c, d = (words(120, 900 + k) for k in range(4))
+    rows = [(1, a, "x"), (None, a + " end", "x"), (None, b, "x"),  # null near copy of 1; null row of its own
+            (5, a + " more", "x"), (5, words(90, 905), "x"),  # a copy of 1, and a clean text under the same id
+            (7, c, "x"), (7, c, "y"), (7, c, "x"), (8, c + " end", "x"),  # equal rows of the least id
+            (None, d, "x"), (None, d + " end", "x"), (None, d, "x"), (9, None, "x"), (9, None, "x"), (None, " ", "x")]
+    docs = s.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copy_stage(s, docs, SF).collect())
+    of_d = [k for k in kept if k[0] is None and k[1] and k[1].startswith(d)]
+    assert len(of_d) == 1 and kept.pop(of_d[0]) == 1
+    assert kept == {(1, a): 1, (None, b): 1, (5, words(90, 905)): 1, (7, c): 1, (9, None): 2, (None, " "): 1}
+    verdicts = order_minhash.near_duplicates(docs).collect()
+    assert Counter(r["doc_id"] for r in verdicts if r["kept"]) == {1: 1, None: 3, 5: 1, 7: 1, 9: 2}
+    assert sum(r["class_id"] == 7 for r in verdicts) == 4 and len(verdicts) == len(rows)
+
+
 def test_alignment_against_plain_lcs():
     r = random.Random(4)
     for _ in range(200):
