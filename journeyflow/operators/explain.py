@@ -108,12 +108,11 @@ def shapley_permutation(rows: DataFrame, background: DataFrame, scorer: Scorer,
     """R6 (any scorer, sampled): permutation Shapley estimate against a one-row background
     (feature means). For each row and each of ``n_perm`` hashed permutations, features are
     switched from the background to the row's value in permutation order; the score change at
-    each switch is that feature's contribution. Work = rows x n_perm x (features + 1) scores.
-    Returns (key, feature, phi)."""
+    each switch is that feature's contribution. Work = rows x n_perm x (features + 1) scores,
+    exploded in the map; a score counts for the feature switched last and against the one switched
+    next, so one sum per row and feature is all that is shuffled. Returns (key, feature, phi)."""
     k = len(features)
     bg = background.agg(*[F.avg(F.col(c).cast("double")).alias(f"_b_{c}") for c in features])
-    perms = rows.sparkSession.range(n_perm).select(F.col("id").cast("int").alias("_perm"))
-    steps = rows.sparkSession.range(k + 1).select(F.col("id").cast("int").alias("_step"))
     # position of each feature in permutation _perm: rank of a hash of (perm, feature)
     order = [F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("_perm").cast("string"), F.lit(f"|{c}"))), 1, 8), 16, 10).cast("long")
              for c in features]
@@ -124,18 +123,17 @@ def shapley_permutation(rows: DataFrame, background: DataFrame, scorer: Scorer,
             if j != i:
                 r = r + ((oj < oi) | ((oj == oi) & F.lit(j < i))).cast("int")
         pos.append(r)
-    base = rows.select(key, *features).crossJoin(F.broadcast(bg)).crossJoin(F.broadcast(perms)).crossJoin(F.broadcast(steps))
-    base = base.select("*", *[p.alias(f"_pos_{c}") for p, c in zip(pos, features)])
-    mixed = base.select(key, "_perm", "_step", *[f"_pos_{c}" for c in features],
+    perms = rows.sparkSession.range(n_perm).select(F.col("id").cast("int").alias("_perm")).select("_perm", *[p.alias(f"_pos_{c}") for p, c in zip(pos, features)])
+    steps = rows.sparkSession.range(k + 1).select(F.col("id").cast("int").alias("_step"))
+    grid = perms.crossJoin(steps)  # n_perm x (k + 1) rows
+    base = rows.select(key, *features).crossJoin(F.broadcast(bg)).crossJoin(F.broadcast(grid))
+    mixed = base.select(key, "_step", *[f"_pos_{c}" for c in features],
                         *[F.when(F.col(f"_pos_{c}") < F.col("_step"), F.col(c)).otherwise(F.col(f"_b_{c}")).alias(c) for c in features])
     scored = scorer(mixed)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key, "_perm").orderBy("_step")  # k + 1 rows per (row, permutation)
-    d = scored.withColumn("_delta", F.col("p") - F.lag("p").over(w)).where(F.col("_step") > 0)
-    arr = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"_pos_{c}") == F.col("_step") - 1).alias("hit")) for c in features])
-    ex = d.select(key, "_delta", F.explode(arr).alias("f")).where("f.hit")
-    return ex.groupBy(key, F.col("f.feature").alias("feature")).agg(F.avg("_delta").alias("phi"))
+    sums = [F.sum(F.when(F.col(f"_pos_{c}") == F.col("_step") - 1, F.col("p")).when(F.col(f"_pos_{c}") == F.col("_step"), -F.col("p"))).alias(f"_phi_{c}")
+            for c in features]
+    phi = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"_phi_{c}") / n_perm).alias("phi")) for c in features])).alias("s")
+    return scored.groupBy(key).agg(*sums).select(key, phi).select(key, "s.feature", "s.phi")
 
 
 def interpolate(curve: DataFrame, points: DataFrame, key: str, x: str = "feature_value", y: str = "predicted_success_probability",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from journeyflow.operators import explain as ex
 from journeyflow.operators import models as md
 from journeyflow.operators import snapshot as snap
-from journeyflow.operators.sampling import sample_n, stratified_split
+from journeyflow.operators.sampling import stratified_split
 from journeyflow.plans.common import defs, ev
 from journeyflow.plans.q_features import _OPEN
 from journeyflow.plans.registry import query
@@ -105,8 +105,7 @@ def p13(spark, sf):
 def r6p(spark, sf):
     d = _train(spark, sf)
     m = md.fit_logistic(d, _X)
-    rows = sample_n(d, 20, 42)
-    return ex.shapley_permutation(rows, d, md.ml_scorer(m), _X, n_perm=6)
+    return ex.shapley_permutation(d, d, md.ml_scorer(m), _X, n_perm=6)
 
 
 def _status(spark, sf, b):

@@ -74,3 +74,14 @@ def test_calendar_forecast_weekends_zero(spark):
     rows = f.withColumn("wd", F.weekday("date")).collect()
     assert all(r["mean"] == 0.0 for r in rows if r.wd >= 5)
     assert all(r.lower <= r["mean"] <= r.upper for r in rows)
+
+
+def test_shapley_permutation_of_all_rows_sums_to_score_difference(spark, train):
+    from journeyflow.plans.registry import all_queries
+
+    scorer = md.ml_scorer(md.fit_logistic(train, X))
+    at_mean = scorer(train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in X])).first().p
+    got = all_queries()["r6_shapley_permutation"](spark, SF_CHECK)
+    assert got.groupBy("feature").count().collect() and {r["count"] for r in got.groupBy("feature").count().collect()} == {train.count()}
+    total = got.groupBy("id").agg(F.sum("phi").alias("phi")).join(scorer(train).select("id", "p"), "id", "full")
+    assert total.where(F.abs(F.col("phi") - (F.col("p") - at_mean)) < 1e-6).count() == train.count() > 20
