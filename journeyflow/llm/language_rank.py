@@ -12,16 +12,19 @@ never learned. Other columns pass through; those named lang_pred, score or top_s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from journeyflow.llm.texts import chunks
+from journeyflow.llm.texts import chunks, column_batches
 
 PROFILE = 400  # n-grams in a profile
 UND = "und"
+SLICE = 1 << 18  # bytes of text whose n-grams are held at once
 _END = np.uint64(0x1FFFFF)  # fills the places of shorter n-grams
 _lower: np.ndarray | None = None
 
@@ -49,20 +52,22 @@ def ngram_codes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     """
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[starts]
-    letters = _letters()[points]
-    keep = np.concatenate(([True], (letters[1:] != 0) | (letters[:-1] != 0))) if len(letters) else np.zeros(0, bool)
+    letters = np.concatenate(([0], _letters()[points]))  # a gap stands before the first text too
+    keep = np.concatenate(([True], (letters[1:] != 0) | (letters[:-1] != 0)))
     x = np.concatenate(([0], letters[keep], [0])).astype(np.uint64)
-    text_at = np.concatenate(([0], np.cumsum(keep)))[at]  # places in x[1:-1]
+    text_at = np.cumsum(keep)[at] - 1  # each text begins with the gap before it, and ends before its last one
     before, this, after = x[:-2], x[1:-1], x[2:]
     shift = np.uint64(21), np.uint64(42)
-    one = this << shift[1] | _END << shift[0] | _END
-    two = this << shift[1] | after << shift[0] | _END
-    three = before << shift[1] | this << shift[0] | after
-    grams = np.stack((one, two, three), 1)
-    good = np.stack((this != 0, (this != 0) | (after != 0), this != 0), 1)
-    # the last place of a text must not reach into the next one: between texts there is a 0
-    count = np.concatenate(([0], np.cumsum(good.sum(1))))
-    return grams[good], count[text_at]
+    # at each place a letter, a letter or gap with what follows, and the three around a letter
+    one = this != 0
+    two = one | (after != 0)
+    count = np.concatenate(([0], np.cumsum(2 * one.astype(np.int64) + two)))
+    grams = np.empty(count[-1], np.uint64)
+    at = count[:-1]
+    grams[at[one]] = (this << shift[1] | _END << shift[0] | _END)[one]
+    grams[(at + one)[two]] = (this << shift[1] | after << shift[0] | _END)[two]
+    grams[(at + 2)[one]] = (before << shift[1] | this << shift[0] | after)[one]
+    return grams, count[text_at]
 
 
 def _counted(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +86,7 @@ def ngram_counts(docs: DataFrame, label: str = "lang", text: str = "text") -> Da
 
     def run(batches):
         held: dict[str, list] = {}
-        for batch, c in chunks(batches, text):
+        for batch, c in chunks(batches, text, SLICE):
             codes, at = ngram_codes(c.data, np.concatenate((c.starts, [len(c.data)])))
             labels = batch.column(batch.schema.get_field_index(label)).to_pylist()
             by: dict[str, list[int]] = {}
@@ -139,18 +144,20 @@ class Profiles:
 
 def predict_language(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", size: int = PROFILE) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1) from every whole text."""
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType(docs.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-
-    def run(batches):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Profiles(profiles, size)
-        for batch, c in chunks(batches, text):
-            codes, at = ngram_codes(c.data, np.concatenate((c.starts, [len(c.data)])))
-            found = [known.nearest(codes[at[i]:at[i + 1]]) for i in range(c.n)]
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                                             names=batch.schema.names + ["lang_pred", "score"])
-
-    return docs.mapInArrow(run, schema)
+        for batch in column_batches(texts):
+            found = []
+            for _, c in chunks([batch], limit=SLICE):
+                codes, at = ngram_codes(c.data, np.concatenate((c.starts, [len(c.data)])))
+                found += [known.nearest(codes[at[i]:at[i + 1]]) for i in range(c.n)]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
+                                             ["lang_pred", "score"])
+
+    # only the texts go to Python; not "deterministic", so that no filter above repeats the call
+    call = F.arrow_udf(run, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])).asNondeterministic()
+    docs = docs.drop("lang_pred", "score")
+    return docs.select("*", call(F.col(text)).alias("_found")).select(*docs.columns, "_found.lang_pred", "_found.score")
 
 
 def fold(modulus: int):

@@ -16,6 +16,8 @@ of their own. An empty table gives an empty result. Other columns pass through `
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from journeyflow.llm.storage import materialize
-from journeyflow.llm.texts import SPACE, Sequence, chunks, mix, ranks_of_equal, segment_sum
+from journeyflow.llm.texts import SPACE, Sequence, chunks, column_batches, mix, ranks_of_equal, segment_sum
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+SLICE = 1 << 19  # bytes of text counted at once; counting holds some 44 bytes for each
 
 #: metric: (SQL over the counts, least spread beyond the quartile, whether low values are judged too)
 METRICS = {
@@ -69,17 +72,23 @@ def count_chunk(c) -> list[np.ndarray]:
     return [n_words, points, symbols, dup_lines, segment_sum(np.cumsum(repeated)[:-1] > 0, n_words)]
 
 
-def rule_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the five counts (long) of every whole text, replacing columns so named."""
-    docs = docs.drop(*COUNTS)
-    schema = T.StructType(docs.schema.fields + [T.StructField(k, T.LongType()) for k in COUNTS])
+def _count_texts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in column_batches(texts):
+        counts = [[np.zeros(0, np.int64)] * len(COUNTS)]
+        counts += [[x.astype(np.int64) for x in count_chunk(c)] for _, c in chunks([batch], limit=SLICE)]
+        yield pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*counts, strict=True)], list(COUNTS))
 
-    def run(batches):
-        for batch, c in chunks(batches, text):
-            counts = [pa.array(x.astype(np.int64)) for x in count_chunk(c)]
-            yield pa.RecordBatch.from_arrays(batch.columns + counts, names=batch.schema.names + list(COUNTS))
 
-    return docs.mapInArrow(run, schema)
+def rule_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the five counts (long) of every whole text, replacing columns so named.
+
+    Only the texts go to Python and only the counts come back; the rows stay where they are.
+    """
+    # not "deterministic", so that no filter or projection above repeats the call
+    count = F.arrow_udf(_count_texts, T.StructType([T.StructField(k, T.LongType()) for k in COUNTS])).asNondeterministic()
+    docs = docs.drop(*COUNTS)
+    counted = docs.select("*", count(F.col(text)).alias("_counts"))
+    return counted.select(*docs.columns, *[F.col(f"_counts.{k}").alias(k) for k in COUNTS])
 
 
 def _bucket(v):

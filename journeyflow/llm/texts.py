@@ -126,6 +126,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text",
             at = to
 
 
+def column_batches(columns: Iterator[pa.Array]) -> Iterator[pa.RecordBatch]:
+    """The arrays an Arrow function is handed, as batches with the one column ``text``."""
+    for column in columns:
+        yield pa.RecordBatch.from_arrays([column], names=["text"])
+
+
 def ranks_of_equal(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each element: how many equal ones stand before it, and how many equal ones there are."""
     order = np.argsort(key, kind="stable")

@@ -79,6 +79,24 @@ def test_rules_against_plain_counts(texts):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_ngrams_do_not_depend_on_neighbours():
+    def plain(text):
+        x = [0]
+        for v in [int(language_rank._letters()[ord(c)]) for c in text] + [0]:
+            if v or x[-1]:
+                x.append(v)
+        end = 0x1FFFFF
+        out = [x[i] << 42 | x[i + 1] << 21 | end for i in range(len(x) - 1)]
+        return sorted(out + [code for i in range(1, len(x) - 1) if x[i] for code in (x[i] << 42 | end << 21 | end, x[i - 1] << 42 | x[i] << 21 | x[i + 1])])
+
+    r = random.Random(3)
+    for _ in range(200):
+        some = ["".join(r.choice("ab é.\n漢Z") for _ in range(r.randint(0, 9))) for _ in range(5)]
+        c = Chunk(*utf8(pa.array(some)))
+        codes, at = language_rank.ngram_codes(c.data, np.concatenate((c.starts, [len(c.data)])))
+        assert [sorted(codes[at[i]:at[i + 1]].tolist()) for i in range(5)] == [plain(t) for t in some]
+
+
 def test_sketches_merge_and_bound_quantiles(texts):
     m = quality_rules.rule_metrics(texts)
     keys = ("lang", "source", "metric", "bucket")
@@ -345,6 +363,9 @@ def test_pipeline_stages(s, odd, empty):
     after = {r["doc_id"]: r for r in out["repeated strings"].collect()}
     assert all(after[i]["n_chars"] == len(after[i]["text"]) and want[i][0] - want[i][1] <= len(after[i]["text"].encode()) <= want[i][0] - want[i][1] + 6 * want[i][2]
                for i, _ in before)
+    extra = ("kept", "score", "n_words", "spans")
     for d in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             d = corpus_pipeline.materialize(stage(s, d, SF), "t")
+            if name != "packing":
+                assert d.columns == odd.columns and all(tuple(r[k] for k in extra) == ("x", "y", "z", "w") for r in d.collect())
