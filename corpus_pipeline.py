@@ -6,7 +6,8 @@ the last return the columns of ``documents``; n_chars follows the text.
 
 Rows with a null doc_id or text are ordinary rows: a text without words fails the rules. Rows that
 repeat a doc_id are judged each by its own text; of near copies and equal rows exactly one row
-stays, the first by doc_id (nulls last) and text hash. Clashing extra columns pass through the filters untouched.
+stays, the first by doc_id (nulls last) and text hash. Every stage puts the columns it does not read aside
+under private names, so extra columns with any name pass through untouched.
 """
 
 from __future__ import annotations
@@ -27,30 +28,41 @@ from journeyflow.llm.storage import materialize  # noqa: E402
 MIN_LANGUAGE_SCORE = 0.2  # below it a text resembles none of the learned languages
 
 
+def _aside(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with all but the ``used`` columns under private names, and the selection that undoes it."""
+    names = {c: c if c in used else f"_aside_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[docs[c].alias(k) for c, k in names.items()]), [F.col(k).alias(c) for c, k in names.items()]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their group's fences."""
     ship(spark)
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    docs, back = _aside(docs, ("lang", "source", "text"))
+    return quality_rules.quality_rules(docs).where("kept").select(*back)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that resemble a language learned from the labelled ones; ``und`` and strangers go."""
     ship(spark)
+    docs, back = _aside(docs, ("lang", "text"))
     found = language_rank.predict_language(docs, language_rank.learn_profiles(docs))
     good = (F.col("lang_pred") != language_rank.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.where(good).select(*docs.columns)
+    return found.where(good).select(*back)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate class: the first by doc_id (nulls last) and text hash."""
     ship(spark)
-    return order_minhash.without_near_copies(docs)
+    docs, back = _aside(docs, ("doc_id", "text"))
+    return order_minhash.without_near_copies(docs).select(*back)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that stood in the corpus before."""
     ship(spark)
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    docs, back = _aside(docs, ("doc_id", "text"))
+    return suffix_dedup.without_repeats(docs).select(*back).withColumn("n_chars", size)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
