@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from journeyflow.llm import (
+    conversation_repair,
     cross_polytope,
     language_rank,
     lp_packing,
+    merkle_manifest,
     mincut_html,
     order_minhash,
     passage_mil,
+    pivot_topk,
     quality_rules,
     sentencepiece_nbest,
     suffix_dedup,
     url_filter,
 )
+from journeyflow.llm.oracles import ORACLES as ORACLES
 from journeyflow.llm.shipping import ship
 
 
@@ -73,6 +77,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(_read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digest(_read(spark, sf_dir, "conversations"))
+
+
+def op12_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.topk_digest(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest_digest(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,8 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_cross_polytope,
         op9_mincut_html,
         op10_suffix_dedup,
+        op11_conversation_repair,
+        op12_pivot_topk,
+        op13_merkle_manifest,
         pipeline,
     )
 }
-
-ORACLES: dict[str, str] = {}
