@@ -31,7 +31,6 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-SLICE = 1 << 19  # bytes of text counted at once; counting holds some 44 bytes for each
 
 #: metric: (SQL over the counts, least spread beyond the quartile, whether low values are judged too)
 METRICS = {
@@ -75,7 +74,7 @@ def count_chunk(c) -> list[np.ndarray]:
 def _count_texts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in column_batches(texts):
         counts = [[np.zeros(0, np.int64)] * len(COUNTS)]
-        counts += [[x.astype(np.int64) for x in count_chunk(c)] for _, c in chunks([batch], limit=SLICE)]
+        counts += [[x.astype(np.int64) for x in count_chunk(c)] for _, c in chunks([batch])]
         yield pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*counts, strict=True)], list(COUNTS))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19  # work on a slice of texts holds up to 70 bytes for each of them
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2^64
 _P_INV = pow(_P, -1, 1 << 64)
@@ -124,6 +124,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text",
             to = min(to, batch.num_rows)
             yield batch.slice(at, to - at), Chunk(data, offsets[at:to + 1])
             at = to
+    pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
 
 def column_batches(columns: Iterator[pa.Array]) -> Iterator[pa.RecordBatch]:
