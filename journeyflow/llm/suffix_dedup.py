@@ -67,16 +67,16 @@ def anchors_of(c) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """Rows (gram, did, at): the anchors of every text."""
+    """Rows (gram, tid, at): the anchors of every text, which its hash stands for."""
 
     def run(batches):
         for batch, c in chunks(batches):
             at, gram = anchors_of(c)
             of = np.searchsorted(c.starts, at, "right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), batch.column(0).take(pa.array(of)), pa.array((at - c.starts[of]).astype(np.int32))],
-                                             names=["gram", "did", "at"])
+                                             names=["gram", "tid", "at"])
 
-    return docs.select("did", "text").mapInArrow(run, "gram bigint, did bigint, at int")
+    return docs.select("tid", "text").mapInArrow(run, "gram bigint, tid bigint, at int")
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
@@ -235,8 +235,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = materialize(_anchors(unique), "anchors")
     # stored, so that the join below has two plain exchanges and a hot gram can be split
     often = materialize(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "often")
-    places = materialize(found.join(often, "gram").groupBy("did").agg(F.collect_set("at").alias("ats")), "places")
-    contexts = _contexts(unique.join(places, "did"))
+    # by text, so that rows without an id have lists of their own; two texts of one hash would only share more places
+    places = materialize(found.join(often, "gram").groupBy("tid").agg(F.collect_set("at").alias("ats")), "places")
+    contexts = _contexts(unique.join(places, "tid"))
     spans = materialize(_spans(contexts), "spans")
     every = spans.unionByName(copies.select("did", "tid", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end")))
     return every.groupBy("did", "tid").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))

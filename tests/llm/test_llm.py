@@ -315,6 +315,23 @@ def test_minimum_cut_against_all_cuts():
         assert price(mincut_html.minimum_cut(cost, edges)) == pytest.approx(best, abs=0.02)
 
 
+def test_contexts_of_null_ids(s):
+    """Rows without an id cost what others cost."""
+    shared = words(60, 1)
+    rows = [(i, f"{words(40, 100 + i)} {shared} {words(40, 500 + i)}") for i in range(60)]
+    counts = []
+    for null in (False, True):
+        docs = s.createDataFrame([(None if null else i, t) for i, t in rows], "doc_id long, text string")
+        keyed = suffix_dedup._keyed(docs)
+        found = suffix_dedup._anchors(keyed)
+        often = found.groupBy("gram").count().where("count > 1").select("gram")
+        places = found.join(often, "gram").groupBy("tid").agg(F.collect_set("at").alias("ats"))
+        counts.append(suffix_dedup._contexts(keyed.select("did", "tid", "text").join(places, "tid")).count())
+        got = sorted((r["n_removed"] for r in suffix_dedup.removal_digest(docs).collect()))
+        assert sum(x > 0 for x in got) == 59
+    assert counts[0] == counts[1]
+
+
 def test_awkward_tables(s, odd, empty):
     path, pieces = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
     labels = s.createDataFrame([(1, 1, 0), (8, 0, 0), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
