@@ -22,6 +22,7 @@ _MODULES = (
     "journeyflow.plans.q_scores",
     "journeyflow.plans.q_series",
     "journeyflow.plans.q_models",
+    "journeyflow.plans.q_fits",
     "journeyflow.plans.q_project",
     "journeyflow.plans.q_stream",
     "journeyflow.plans.q_functions",

@@ -46,6 +46,37 @@ def test_calibration_keeps_ranking_quality(train):
     assert b_cal <= b_raw + 1e-3
 
 
+@pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
+def test_ensemble_scores_new_rows_and_is_saved(spark, train, tmp_path, method):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+
+    from journeyflow.operators import ensemble as en
+
+    base = Pipeline(stages=[md._assembler(X), LogisticRegression(labelCol="y")])
+    est = en.CalibratedEnsemble(base=base, method=method, folds=3, seeds=[1, 2])
+    est.write().save(str(tmp_path / "estimator"))
+    est = en.CalibratedEnsemble.load(str(tmp_path / "estimator"))
+    old, new = train.where("hash(id) % 4 != 0"), train.where("hash(id) % 4 = 0")
+    model = est.fit(old)
+    assert len(model.pairs) == 6
+    # columns named like the bases' own, and a null input
+    clash = new.withColumn("features", F.lit("f")).withColumn("prediction", F.lit(7)).withColumn("x1", F.when(F.col("x1") > 3, None).otherwise(F.col("x1")))
+    got = model.transform(clash.withColumn("p", F.lit("gone")))
+    assert set(got.columns) == {*clash.columns, "p"} and got.count() == new.count()
+    assert got.where("features = 'f' and prediction = 7").count() == new.count()
+    model.write().save(str(tmp_path / "model"))
+    again = en.CalibratedEnsembleModel.load(str(tmp_path / "model")).transform(new)
+    both = model.transform(new).select("id", F.col("p").alias("a")).join(again.select("id", "p"), "id")
+    assert both.where("a = p").count() == new.count()
+    scored = model.transform(new)
+    raw = md.score(md.fit_logistic(old, X), new, keep=["id", "y"])
+    assert mt.brier(scored, "p", "y").first().brier <= mt.brier(raw, "p", "y").first().brier + 5e-3
+    assert model.transform(new.limit(0)).count() == 0
+    held = model.held_out(old)
+    assert held.count() == 2 * old.count() and held.select("seed", "id").distinct().count() == held.count()
+
+
 def test_tuning_grid_rows(train):
     t = md.tune_gbt(train, X, trees=(3, 6), rates=(0.1, 0.3), depth=2)
     rows = t.collect()
