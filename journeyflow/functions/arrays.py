@@ -26,6 +26,7 @@ __all__ = [
     "pad",
     "pad_mask",
     "array_mean",
+    "count_upto",
     "array_median",
     "array_text",
 ]
@@ -144,3 +145,15 @@ def array_text(a: str | Column, digits: int | None = None) -> Column:
     if digits is not None:
         arr = F.transform(arr, lambda x: F.round(x.cast("double"), digits))
     return F.array_join(F.transform(arr, lambda x: x.cast("string")), ",")
+
+
+def count_upto(values: str | Column, x: Column, most: int) -> Column:
+    """How many elements of a sorted array are at most ``x``, by binary search; ``most`` bounds the array's size."""
+    a = F.col(values) if isinstance(values, str) else values
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(most, 1).bit_length()))])
+    n = F.size(a)
+
+    def step(at: Column, more: Column) -> Column:
+        return F.when((at + more <= n) & (F.get(a, at + more - 1) <= x), at + more).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)

@@ -1,88 +1,108 @@
-"""Exact percentiles without one task holding a whole column.
+"""Exact order statistics over a counted-value table.
 
-``percentile`` keeps a map of every distinct value in a single buffer for the final merge:
-fine per journey (its gaps take few distinct values), not for a population of continuous
-values at scale. Here the exact order statistics are found in three distributed steps:
+``percentile`` keeps every distinct value in one buffer, and a window over raw rows sends equal
+values to one task. Here columns are unpivoted and counted first: one row per (group, column,
+distinct value) with its weight, a partial aggregate, so a value that half the rows share is one
+row. The rest works on that table:
 
-1. approximate quantiles (``percentile_approx``, bounded memory) cut the values into ~1024
-   balanced buckets (a 1-row result);
-2. the two-level ordered scan ranks every value inside (group, bucket) and carries the rank
-   offset across buckets -- each bucket is sorted by its own task;
-3. only the rows at the needed ranks are kept and combined.
+1. 1023 of its values, those of least hash, bound balanced ranges of values (a one-row broadcast);
+2. range weights, summed per (group, column) over at most 1024 ranges, tell which range holds
+   each wanted rank and how much weight stands before it;
+3. only those ranges are ranked, each by its own task, to find the values at the wanted ranks.
 
-``linear`` interpolates like SQL ``quantile_cont`` / ``median``: at position p (n - 1),
-lo + frac (hi - lo); ``disc`` returns the first value whose cumulative share reaches p.
+Nothing runs while the plan is built. ``linear`` interpolates like SQL ``quantile_cont`` /
+``median``: at position p (n - 1), lo + frac (hi - lo); ``disc`` returns the first value whose
+cumulative share reaches p. NULL and NaN values are ignored; NULL group values form a group.
+Without rows, a grouped result is empty and one without groups is a row of NULLs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from journeyflow.operators.ordered import ordered_scan
+from journeyflow.functions.arrays import count_upto
 
+BOUNDS = 1023
 
-def _splits(d: DataFrame, n_buckets: int, accuracy: int) -> list[float]:
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    row = d.agg(F.percentile_approx("_x", qs, accuracy).alias("q")).first()  # one row, n_buckets values
-    inner = sorted({float(v) for v in (row.q or []) if v is not None and not math.isnan(v)})
-    return [-math.inf, *inner, math.inf]
 
+def percentile_names(ps: Sequence[float]) -> list[str]:
+    return [f"p{int(round(p * 100))}" for p in ps]
 
-def exact_percentiles(df: DataFrame, col: str, ps: Sequence[float], names: Sequence[str] | None = None,
-                      group: Sequence[str] = (), method: str = "linear", n_buckets: int = 1024,
-                      accuracy: int = 10000) -> DataFrame:
-    """One row per group with one column per requested percentile (NULLs ignored)."""
-    from pyspark.ml.feature import Bucketizer
-
-    names = list(names or [f"p{int(round(p * 100))}" for p in ps])
-    group = list(group)
-    d = df.select(*group, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    splits = _splits(d, n_buckets, accuracy)
-    b = Bucketizer(splits=splits, inputCol="_x", outputCol="_qb", handleInvalid="keep").transform(d)
-    keys = group or ["_all"]
-    if not group:
-        b = b.withColumn("_all", F.lit(0))
-    r = ordered_scan(b, keys, "_x", [], index="_rank", bucket_col="_qb", key_totals=True)
-    n = F.col("_rank_total")
-    wanted = []
-    parts = {}
-    for p, nm in zip(ps, names):
-        if method == "linear":
-            pos = F.lit(float(p)) * (n - 1).cast("double")
-            lo = F.floor(pos).cast("long") + 1
-            hi = F.least(F.ceil(pos).cast("long") + 1, n)
-            parts[nm] = (lo, hi, pos - F.floor(pos))
-            wanted += [F.col("_rank") == lo, F.col("_rank") == hi]
-        else:
-            k = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(float(p)) * n).cast("long"))
-            parts[nm] = (k, k, None)
-            wanted.append(F.col("_rank") == k)
-    cond = wanted[0]
-    for c in wanted[1:]:
-        cond = cond | c
-    sel = r.where(cond)
-    aggs = []
-    for nm, (lo, hi, _) in parts.items():
-        aggs += [F.max(F.when(F.col("_rank") == lo, F.col("_x"))).alias(f"_lo_{nm}"),
-                 F.max(F.when(F.col("_rank") == hi, F.col("_x"))).alias(f"_hi_{nm}"),
-                 F.first(F.col("_rank_total")).alias(f"_n_{nm}")]
-    g = sel.groupBy(*keys).agg(*aggs)
+
+def value_counts(df: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """Rows (group, column_name, _x, _n): how often each value of each column stands in each group."""
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_x")) for c in cols]
+    long = df.select(*group, (F.explode(F.array(*pairs)) if len(pairs) > 1 else pairs[0]).alias("_kv")).select(*group, "_kv.*")
+    return long.where(F.col("_x").isNotNull() & ~F.isnan("_x")).groupBy(*group, "column_name", "_x").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _ranks(total: Column, p: float, method: str) -> tuple[Column, Column]:
+    """The two ranks (from 1) whose values a percentile lies between."""
+    if method == "linear":
+        at = F.lit(float(p)) * (total - 1).cast("double")
+        return F.floor(at).cast("long") + 1, F.least(F.ceil(at).cast("long") + 1, total)
+    k = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(float(p)) * total).cast("long"))
+    return k, k
+
+
+def counted_percentiles(counted: DataFrame, keys: Sequence[str], ps: Sequence[float], names: Sequence[str], method: str = "linear",
+                        bounds: int = BOUNDS) -> DataFrame:
+    """Percentiles per ``keys`` of a table with distinct values ``_x`` and weights ``_n``."""
+    keys = list(keys)
+    chosen = counted.select("_x", F.xxhash64(*keys, "_x").alias("_h")).orderBy("_h", "_x").limit(bounds)
+    edges = chosen.agg(F.sort_array(F.collect_list("_x")).alias("_bounds"))
+    dealt = counted.crossJoin(F.broadcast(edges)).withColumn("_range", count_upto("_bounds", F.col("_x"), bounds)).drop("_bounds")  # one row
+
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rn"))
+    own = Window.partitionBy(*keys)  # a row per range
+    before = F.coalesce(F.sum("_rn").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    runs = sums.withColumns({"_before": before, "_total": F.sum("_rn").over(own)})
+    wanted = [_ranks(F.col("_total"), p, method) for p in ps]
+    holds = [(F.col("_before") < r) & (r <= F.col("_before") + F.col("_rn")) for lo, hi in wanted for r in (lo, hi)]
+    runs = runs.where(reduce(lambda a, b: a | b, holds))
+
+    there = runs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_kr"), "_before", "_total")
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_range") == F.col("_kr")]
+    inside = Window.partitionBy(*keys, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = dealt.join(there, on).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_n") < rank) & (rank <= F.col("_upto")), F.col("_x")))
+
+    found = [(value_at(lo).alias(f"_lo_{n}"), value_at(hi).alias(f"_hi_{n}")) for (lo, hi), n in zip(wanted, names, strict=True)]
+    got = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *[c for pair in found for c in pair])
     out = []
-    for nm, p in zip(names, ps):
-        lo_v, hi_v = F.col(f"_lo_{nm}"), F.col(f"_hi_{nm}")
-        if method == "linear":
-            pos = F.lit(float(p)) * (F.col(f"_n_{nm}") - 1).cast("double")
-            frac = pos - F.floor(pos)
-            out.append((lo_v + frac * (hi_v - lo_v)).alias(nm))
-        else:
-            out.append(lo_v.alias(nm))
-    res = g.select(*keys, *out)
-    return res.drop("_all") if not group else res
+    for p, n in zip(ps, names, strict=True):
+        lo, hi = F.col(f"_lo_{n}"), F.col(f"_hi_{n}")
+        at = F.lit(float(p)) * (F.col("_total") - 1).cast("double")
+        out.append((lo + (at - F.floor(at)) * (hi - lo) if method == "linear" else lo).alias(n))
+    return got.select(*keys, *out)
+
+
+def column_percentiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], names: Sequence[str] | None = None,
+                       group: Sequence[str] = (), method: str = "linear") -> DataFrame:
+    """Rows (group, column_name, one column per percentile) for several columns in one pass."""
+    return counted_percentiles(value_counts(df, cols, group), [*group, "column_name"], ps, list(names or percentile_names(ps)), method)
+
+
+def exact_percentiles(df: DataFrame, col: str, ps: Sequence[float], names: Sequence[str] | None = None,
+                      group: Sequence[str] = (), method: str = "linear", bounds: int = BOUNDS) -> DataFrame:
+    """One row per group with one column per requested percentile."""
+    names = list(names or percentile_names(ps))
+    found = counted_percentiles(value_counts(df, [col], group), [*group, "column_name"], ps, names, method, bounds)
+    return found.drop("column_name") if group else found.agg(*[F.max(n).alias(n) for n in names])  # one row
 
 
 def exact_median(df: DataFrame, col: str, name: str = "median", group: Sequence[str] = ()) -> DataFrame:
     return exact_percentiles(df, col, [0.5], [name], group)
+
+
+def medians(df: DataFrame, named: dict[str, str], group: Sequence[str] = ()) -> DataFrame:
+    """One row per group with the median of each column, named as ``named`` says, in one pass."""
+    found = column_percentiles(df, list(named), [0.5], ["_m"], group)
+    wide = [F.max(F.when(F.col("column_name") == c, F.col("_m"))).alias(n) for c, n in named.items()]
+    return found.groupBy(*group).agg(*wide) if group else found.agg(*wide)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeyflow.operators.ordered import ordered_scan
-from journeyflow.operators.quantiles import exact_percentiles
+from journeyflow.operators.quantiles import column_percentiles, counted_percentiles, exact_percentiles, medians, percentile_names, value_counts
 from journeyflow.operators.snapshot import journey_frame, with_us
 from journeyflow.schema import DEFAULT_COLS, MOMENTUM_WINDOWS, SUCCESS_ID, US_PER_DAY, US_PER_HOUR, US_PER_SEC, JourneyCols, from_us
 
@@ -58,8 +58,7 @@ def journey_population(stats: DataFrame, approx: bool = False, accuracy: int = 1
         med = stats.agg(F.percentile_approx("n_actions", 0.5, accuracy).cast("double").alias("median_actions"),
                         F.percentile_approx("duration_days", 0.5, accuracy).cast("double").alias("median_duration_days"))
     else:
-        med = exact_percentiles(stats, "n_actions", [0.5], ["median_actions"]).crossJoin(
-            exact_percentiles(stats, "duration_days", [0.5], ["median_duration_days"]))
+        med = medians(stats, {"n_actions": "median_actions", "duration_days": "median_duration_days"})
     return base.crossJoin(med).select("n_journeys", "mean_actions", "median_actions", "max_actions", "mean_duration_days",
                                       "median_duration_days", "max_duration_days")
 
@@ -80,9 +79,8 @@ def outcome_comparison(stats: DataFrame, flag: str = "is_success") -> DataFrame:
         F.avg("n_actions").alias("mean_actions"),
         F.avg("duration_days").alias("mean_duration_days"),
     )
-    m1 = exact_percentiles(stats, "n_actions", [0.5], ["median_actions"], group=[flag])
-    m2 = exact_percentiles(stats, "duration_days", [0.5], ["median_duration_days"], group=[flag])
-    return base.join(m1, flag, "left").join(m2, flag, "left").select(
+    med = medians(stats, {"n_actions": "median_actions", "duration_days": "median_duration_days"}, group=[flag])
+    return base.join(med, flag, "left").select(
         flag, "n_journeys", "median_actions", "mean_actions", "median_duration_days", "mean_duration_days")
 
 
@@ -132,18 +130,12 @@ def momentum_by_outcome(mom: DataFrame, windows: Sequence[str] = tuple(MOMENTUM_
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], ps: Sequence[float] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """Count, mean, std (sample), min, percentiles (linear), max per column, one row per column."""
-    names = [f"p{int(round(p * 100))}" for p in ps]
-    parts = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        base = df.agg(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                      F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-        q = exact_percentiles(df, c, ps, names)
-        parts.append(base.crossJoin(q).select("column_name", "count", "mean", "std", "min", *names, "max"))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    names = percentile_names(ps)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_x")) for c in cols]))
+    base = df.select(pairs.alias("_kv")).select("_kv.*").groupBy("column_name").agg(
+        F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+    q = column_percentiles(df, cols, ps, names)  # all columns in one pass
+    return base.join(q, "column_name", "left").select("column_name", "count", "mean", "std", "min", *names, "max")
 
 
 def top_values(df: DataFrame, cols: Sequence[str], k: int = 10, missing: str = "MISSING") -> DataFrame:
@@ -349,13 +341,15 @@ def gap_stats(df: DataFrame, by_outcome: bool = False, cols: JourneyCols = DEFAU
     if by_outcome:
         lab = journey_frame(df, cols).select(cols.id, F.col("success_us").isNotNull().alias("is_success"))
         g, keys = g.join(lab, cols.id), ["is_success"]
-    base = g.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_gaps"),
-        F.avg("gap_seconds").alias("mean_gap_seconds"),
-        F.max("gap_seconds").alias("max_gap_seconds"),
-        F.min("gap_seconds").alias("min_gap_seconds"),
+    # gaps are whole seconds, so a few distinct values stand for all of them: every figure comes from the counts
+    counted = value_counts(g, ["gap_seconds"], keys)
+    base = counted.groupBy(*keys).agg(
+        F.sum("_n").alias("n_gaps"),
+        (F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("mean_gap_seconds"),
+        F.max("_x").alias("max_gap_seconds"),
+        F.min("_x").alias("min_gap_seconds"),
     )
-    med = exact_percentiles(g, "gap_seconds", [0.5], ["median_gap_seconds"], group=keys)
+    med = counted_percentiles(counted, [*keys, "column_name"], [0.5], ["median_gap_seconds"]).drop("column_name")
     joined = base.join(med, keys, "left") if keys else base.crossJoin(med)
     return joined.select(*keys, "n_gaps", "mean_gap_seconds", "median_gap_seconds", "max_gap_seconds", "min_gap_seconds")
 

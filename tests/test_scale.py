@@ -110,14 +110,43 @@ def test_exact_percentiles_match_spark(spark):
     rows = [(i % 4, float(rnd.randrange(0, 40)) if i % 5 else rnd.random() * 500) for i in range(4001)]
     df = spark.createDataFrame(rows, "g int, x double")
     ps = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = exact_percentiles(df, "x", ps, n_buckets=64).first()
+    got = exact_percentiles(df, "x", ps, bounds=63).first()
     ref = df.agg(*[F.percentile("x", p).alias(f"p{int(round(p * 100))}") for p in ps]).first()
     assert got.asDict() == pytest.approx(ref.asDict())
-    g = {r.g: r.m for r in exact_percentiles(df, "x", [0.5], ["m"], group=["g"], n_buckets=16).collect()}
+    g = {r.g: r.m for r in exact_percentiles(df, "x", [0.5], ["m"], group=["g"], bounds=15).collect()}
     rg = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()}
     assert g == pytest.approx(rg)
 
 
+def test_percentiles_of_a_half_equal_column(spark):
+    """Half of all rows share a value: it is one counted row, ranges stay even, and no job runs while the plan is built."""
+    from journeyflow.functions.arrays import count_upto
+    from journeyflow.operators.quantiles import column_percentiles, exact_percentiles, value_counts
+
+    rnd = random.Random(5)
+    rows = [(7.0 if i % 2 else rnd.random() * 100, None if i % 3 else float("nan") if i % 7 == 0 else float(i % 50), None if i % 4 else "g") for i in range(20000)]
+    df = spark.createDataFrame(rows, "x double, y double, g string")
+    counted = value_counts(df, ["x", "y"])
+    assert counted.where("_x = 7.0 and column_name = 'x'").first()._n == 10000 and counted.count() < 10060
+    edges = counted.orderBy(F.xxhash64("column_name", "_x")).limit(255).agg(F.sort_array(F.collect_list("_x")).alias("b"))
+    sizes = [r["count"] for r in counted.crossJoin(edges).groupBy(count_upto("b", F.col("_x"), 255).alias("r")).count().collect()]
+    assert max(sizes) <= 0.04 * sum(sizes)
+    sc = spark.sparkContext
+    sc.setJobGroup("plan", "percentiles are planned without a job")
+    ps = [0.1, 0.5, 0.9]
+    plan = column_percentiles(df, ["x", "y"], ps)
+    assert not sc.statusTracker().getJobIdsForGroup("plan")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    got = {r.column_name: (r.p10, r.p50, r.p90) for r in plan.collect()}
+    for c in ("x", "y"):
+        ref = df.where(~F.isnan(c)).agg(*[F.percentile(c, p) for p in ps]).first()
+        assert got[c] == pytest.approx(tuple(ref))
+    g = {r.g: r.m for r in exact_percentiles(df, "x", [0.5], ["m"], group=["g"]).collect()}
+    assert g == pytest.approx({r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()})
+    none = exact_percentiles(df.limit(0), "x", [0.5]).collect()
+    assert len(none) == 1 and none[0].p50 is None and exact_percentiles(df.limit(0), "x", [0.5], group=["g"]).count() == 0
+
+
 def test_top_values_high_cardinality(spark):
     from journeyflow.operators.stats import top_values
 
