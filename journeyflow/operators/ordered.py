@@ -4,11 +4,18 @@ A plain ``Window.partitionBy(id)`` sends every event of an id to one task, so on
 id (say a third of all rows) would serialise the job. Here the order is split in two
 levels instead:
 
-1. events are windowed inside ``(key, time bucket)`` -- a hot id spreads over its buckets;
+1. events are windowed inside ``(key, bucket)``. An id with few rows is one bucket; an id with a
+   third of all rows is cut at some `BOUNDS` / 3 of its own rows, those of least hash, so its
+   buckets hold about the same number of rows wherever they lie in time, even inside one hour
+   (rows of one moment stay together);
 2. a per-bucket summary (last row, bucket sums) is windowed per key. It holds at most one
-   row per bucket, so its size is bounded by the key's time span, not by its row count;
+   row per bucket, so a key has at most `BOUNDS` + 1 of them;
 3. the summary is joined back on ``(key, bucket)`` to carry values across bucket edges.
 
+The cuts take one more narrow pass over the key and order columns, of which every task keeps the
+`BOUNDS` least hashes; they are a broadcast table of `BOUNDS` places at most. Where rows are already known to be spread evenly
+(ranks of hashes, distinct scores) callers give a fixed bucket width instead.
+
 The result equals the single-window answer for the total order ``(ts_us, *tie)``.
 """
 
@@ -19,15 +26,39 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from journeyflow.schema import US_PER_HOUR
+from journeyflow.functions.arrays import count_upto
 
-DEFAULT_BUCKET_US = 6 * US_PER_HOUR
+BOUNDS = 1023
 _NULL_BUCKET = -(1 << 62)  # rows whose order value is NULL sort first, like NULLS FIRST
 
 
-def _bucket(order: str, bucket_us, bucket_col: str | None = None):
-    b = F.col(bucket_col).cast("long") if bucket_col else F.floor(F.col(order) / F.lit(bucket_us))
-    return F.coalesce(b, F.lit(_NULL_BUCKET).cast("long"))
+def with_position(df: DataFrame, array: str, x: Column, most: int, name: str) -> DataFrame:
+    """``df`` with ``name`` in place of ``array``, a sorted array of ``most`` elements at most (or
+    NULL): how many of its elements are at most ``x``."""
+    found = F.when(F.col(array).isNull(), F.lit(0)).otherwise(count_upto(array, x, most))
+    return df.withColumn(name, found).drop(array)
+
+
+def key_cuts(df: DataFrame, keys: Sequence[str], order: str, bounds: int = BOUNDS) -> DataFrame:
+    """Rows (_ck0.., _cuts): the sorted order values at which keys with many rows are cut.
+
+    Of the ``bounds`` rows of least hash, those of keys that hold two or more: ``bounds`` values
+    in all, at most, so the table may be broadcast."""
+    own = [f"_ck{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(c) for k, c in zip(keys, own, strict=True)], F.col(order).alias("_at"))
+    sample = rows.orderBy(F.xxhash64(*own, "_at"), *own, "_at").limit(bounds)
+    return sample.groupBy(*own).agg(F.sort_array(F.collect_set("_at")).alias("_cuts")).where(F.size("_cuts") > 1)
+
+
+def _with_bucket(df: DataFrame, keys: Sequence[str], order: str, bucket_us, bucket_col: str | None = None, bounds: int = BOUNDS) -> DataFrame:
+    """``df`` with ``_bkt``, a bucket number that grows with the order inside a key; equal order values share a bucket."""
+    if bucket_col or bucket_us:
+        b = F.col(bucket_col).cast("long") if bucket_col else F.floor(F.col(order) / F.lit(bucket_us))
+        return df.withColumn("_bkt", F.coalesce(b, F.lit(_NULL_BUCKET).cast("long")))
+    cuts = key_cuts(df, keys, order, bounds)
+    on = [F.col(k).eqNullSafe(F.col(f"_ck{i}")) for i, k in enumerate(keys)]
+    d = df.join(F.broadcast(cuts), on, "left").drop(*[f"_ck{i}" for i in range(len(keys))])
+    return with_position(d, "_cuts", F.col(order), bounds, "_bkt")
 
 
 def _join_back(d: DataFrame, summ: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,10 +80,11 @@ def ordered_scan(
     prev: Sequence[str] = (),
     running: Mapping[str, Column] | None = None,
     index: str | None = None,
-    bucket_us: int = DEFAULT_BUCKET_US,
+    bucket_us: int | None = None,
     key_bounds: bool = False,
     key_totals: bool = False,
     bucket_col: str | None = None,
+    bounds: int = BOUNDS,
 ) -> DataFrame:
     """Add ``prev_<c>`` for each column in ``prev`` (value on the previous row of the key,
     NULL on the first), one inclusive running sum per ``running`` entry, and optionally a
@@ -60,15 +92,15 @@ def ordered_scan(
     ``key_bounds`` also adds ``key_first`` / ``key_last`` (min / max of ``order_us`` over the
     key), taken from the per-bucket summary at no extra shuffle; ``key_totals`` adds
     ``<name>_total`` (the key's total of each running sum) the same way. ``bucket_col`` replaces
-    the fixed-width buckets by a given bucket number that must grow with ``order_us`` (e.g.
-    approximate-quantile buckets, balanced for any value distribution)."""
+    the balanced buckets by a given bucket number that must grow with ``order_us``, ``bucket_us``
+    by buckets of a fixed width."""
     keys = [key] if isinstance(key, str) else list(key)
     running = dict(running or {})
     if index:
         running[index] = F.lit(1)
     order = [order_us, *tie]
 
-    d = df.withColumn("_bkt", _bucket(order_us, bucket_us, bucket_col))
+    d = _with_bucket(df, keys, order_us, bucket_us, bucket_col, bounds)
     w1 = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     w1c = w1.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = [F.lag(c).over(w1).alias(f"_lp_{c}") for c in prev]
@@ -115,7 +147,7 @@ def running_flag_groups(
     tie: Sequence[str],
     flag: Column,
     name: str,
-    bucket_us: int = DEFAULT_BUCKET_US,
+    bucket_us: int | None = None,
 ) -> DataFrame:
     """Running count of ``flag`` (a 0/1 Column) per key: a group number that starts a new
     group wherever the flag is 1 (sessionisation)."""
@@ -129,7 +161,7 @@ def session_numbers(
     tie: Sequence[str],
     gap_us: int,
     name: str = "session",
-    bucket_us: int = DEFAULT_BUCKET_US,
+    bucket_us: int | None = None,
 ) -> DataFrame:
     """1-based session number per key: a new session starts at the first event and after every
     gap strictly above ``gap_us``. One fused two-level scan (no chained scans):
@@ -149,7 +181,7 @@ def session_numbers(
         return frame.withColumn("_in", flag).withColumn(
             "_in_cum", F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-    d = inside(df.withColumn("_bkt", _bucket(order_us, bucket_us)))
+    d = inside(_with_bucket(df, keys, order_us, bucket_us))
     summ = d.groupBy(*keys, "_bkt").agg(F.min(order_us).alias("_f"), F.max(order_us).alias("_l"), F.sum("_in").alias("_n_in"))
     w2 = Window.partitionBy(*keys).orderBy("_bkt")
     prev_last = F.lag("_l").over(w2)

@@ -24,9 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from journeyflow.functions.arrays import count_upto
-
-BOUNDS = 1023
+from journeyflow.operators.ordered import BOUNDS, with_position
 
 
 def percentile_names(ps: Sequence[float]) -> list[str]:
@@ -55,7 +53,7 @@ def counted_percentiles(counted: DataFrame, keys: Sequence[str], ps: Sequence[fl
     keys = list(keys)
     chosen = counted.select("_x", F.xxhash64(*keys, "_x").alias("_h")).orderBy("_h", "_x").limit(bounds)
     edges = chosen.agg(F.sort_array(F.collect_list("_x")).alias("_bounds"))
-    dealt = counted.crossJoin(F.broadcast(edges)).withColumn("_range", count_upto("_bounds", F.col("_x"), bounds)).drop("_bounds")  # one row
+    dealt = with_position(counted.crossJoin(F.broadcast(edges)), "_bounds", F.col("_x"), bounds, "_range")  # one row
 
     sums = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rn"))
     own = Window.partitionBy(*keys)  # a row per range

@@ -118,9 +118,38 @@ def test_exact_percentiles_match_spark(spark):
     assert g == pytest.approx(rg)
 
 
+def test_hot_id_inside_one_hour(spark):
+    """Half of the rows are one id's, all inside an hour: they spread over buckets and equal the plain window."""
+    from pyspark.sql import Window
+
+    from journeyflow.operators.ordered import BOUNDS, _with_bucket, ordered_scan, session_numbers
+
+    rnd = random.Random(9)
+    hour = 3_600_000_000
+    rows = [("hot", rnd.randrange(hour), rnd.randrange(3)) for _ in range(20000)] + [(f"i{k % 700}", rnd.randrange(10**13), rnd.randrange(30)) for k in range(20000)]
+    rows += [("hot", None, 1), (None, 5, 2), (None, 7, 2)] + [("same", 10, 1)] * 50
+    df = spark.createDataFrame(rows, "id string, us long, ed int")
+    cut = _with_bucket(df, ["id"], "us", None)
+    sizes = {(r.id, r._bkt): r["count"] for r in cut.groupBy("id", "_bkt").count().collect()}
+    assert max(sizes.values()) < 0.012 * len(rows) and sum(k[0] == "hot" for k in sizes) > BOUNDS // 3
+    assert len(sizes) < 750 + BOUNDS  # small ids are not cut
+    w = Window.partitionBy("id").orderBy("us", "ed")
+    got = ordered_scan(df, "id", "us", ["ed"], prev=["us"], index="step", running={"cum": F.col("ed")}, key_bounds=True)
+    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("id")
+    want = df.select("*", F.lag("us").over(w).alias("prev_us"), F.sum("ed").over(up).alias("cum"), F.row_number().over(w).cast("long").alias("step"),
+                     F.min("us").over(own).alias("key_first"), F.max("us").over(own).alias("key_last")).select(got.columns)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    lag = F.lag("us").over(w)
+    starts = df.where("us is not null").withColumn("_s", F.when(lag.isNull() | (F.col("us") - lag > 2_000_000), 1).otherwise(0))
+    want = starts.select("id", "us", "ed", F.sum("_s").over(up).alias("session"))
+    got = session_numbers(df.where("us is not null"), "id", "us", ["ed"], 2_000_000).select("id", "us", "ed", "session")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
 def test_percentiles_of_a_half_equal_column(spark):
     """Half of all rows share a value: it is one counted row, ranges stay even, and no job runs while the plan is built."""
-    from journeyflow.functions.arrays import count_upto
+    from journeyflow.operators.ordered import with_position
     from journeyflow.operators.quantiles import column_percentiles, exact_percentiles, value_counts
 
     rnd = random.Random(5)
@@ -129,7 +158,7 @@ def test_percentiles_of_a_half_equal_column(spark):
     counted = value_counts(df, ["x", "y"])
     assert counted.where("_x = 7.0 and column_name = 'x'").first()._n == 10000 and counted.count() < 10060
     edges = counted.orderBy(F.xxhash64("column_name", "_x")).limit(255).agg(F.sort_array(F.collect_list("_x")).alias("b"))
-    sizes = [r["count"] for r in counted.crossJoin(edges).groupBy(count_upto("b", F.col("_x"), 255).alias("r")).count().collect()]
+    sizes = [r["count"] for r in with_position(counted.crossJoin(edges), "b", F.col("_x"), 255, "r").groupBy("r").count().collect()]
     assert max(sizes) <= 0.04 * sum(sizes)
     sc = spark.sparkContext
     sc.setJobGroup("plan", "percentiles are planned without a job")
