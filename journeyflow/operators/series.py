@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeyflow.functions.scalar import hash_uniform_pair
@@ -57,32 +57,28 @@ def acf(df: DataFrame, max_lag: int = 30, value: str = "y") -> DataFrame:
 def pacf(df: DataFrame, max_lag: int = 30, value: str = "y") -> DataFrame:
     """T4: partial autocorrelation by Durbin-Levinson on the ACF (Yule-Walker on the biased ACF).
 
-    The recursion runs per series on the (max_lag + 1)-row ACF table in pandas: bounded input."""
-    a = acf(df, max_lag, value)
+    The recursion is a fold over the lags of each series' array of ``max_lag`` + 1 values; its
+    state are the coefficients so far, the error variance and the partial autocorrelations. NULL
+    where the variance is 0."""
+    r = acf(df, max_lag, value).groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("lag", "acf"))), lambda x: x["acf"]).alias("r"))
+    none = F.array().cast("array<double>")
+    one = F.lit(1.0)
 
-    def dl(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("lag")
-        r = pdf["acf"].to_numpy()
-        k = len(r) - 1
-        out = [1.0]
-        phi_prev = np.zeros(0)
-        for n in range(1, k + 1):
-            if n == 1:
-                phi_nn = r[1]
-                phi = np.array([phi_nn])
-            else:
-                num = r[n] - np.dot(phi_prev, r[1:n][::-1])
-                den = 1.0 - np.dot(phi_prev, r[1:n])
-                phi_nn = num / den if den != 0 else float("nan")
-                phi = np.concatenate([phi_prev - phi_nn * phi_prev[::-1], [phi_nn]])
-            out.append(float(phi_nn))
-            phi_prev = phi
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "lag": np.arange(k + 1, dtype="int32"), "pacf": out})
-
-    return a.groupBy("series").applyInPandas(dl, "series string, lag int, pacf double")
+    def step(state: Column, k: Column) -> Column:
+        phi = state["phi"]
+        known = F.aggregate(F.zip_with(phi, F.reverse(F.slice("r", 2, k - 1)), lambda p, q: p * q), F.lit(0.0), lambda t, x: t + x)
+        new = F.try_divide(F.get("r", k) - known, state["v"])
+
+        def with_new(p: Column) -> Column:
+            kept = F.zip_with(phi, F.reverse(phi), lambda x, y: x - p * y)
+            return F.struct(F.concat(kept, F.array(p)).alias("phi"), (state["v"] * (1 - p * p)).alias("v"), F.concat(state["out"], F.array(p)).alias("out"))
+
+        return F.get(F.transform(F.array(new), with_new), F.lit(0))  # names the new coefficient once
+
+    start = F.struct(none.alias("phi"), one.alias("v"), F.array(one).alias("out"))
+    lags = F.slice(F.sequence(F.lit(0), F.size("r") - 1), 2, F.greatest(F.size("r") - 1, F.lit(0)))
+    folded = r.select("series", F.posexplode(F.aggregate(lags, start, step)["out"]).alias("lag", "pacf"))
+    return folded.select("series", F.col("lag").cast("int").alias("lag"), "pacf")
 
 
 def seasonal_additive(df: DataFrame, k: int, trend: str = "trend", value: str = "y", name: str | None = None) -> DataFrame:
@@ -206,39 +202,73 @@ def garch_grid(df: DataFrame, horizon: int, alphas: Sequence[float] = (0.05, 0.1
     return h.select("series", "a", "b", "loglik", F.col("h").cast("int").alias("h"), var_h.alias("variance"), F.sqrt(var_h).alias("sd"))
 
 
+_EPOCH = "1970-01-01"
+
+
+def calendar_design(df: DataFrame, holidays: DataFrame | None = None, fourier: int = 3) -> tuple[DataFrame, list[str]]:
+    """The calendar inputs of each day: constant, trend, weekday, yearly Fourier terms and, if
+    ``holidays`` (date) are given, whether it is one. Returns the table and the inputs' names."""
+    day = F.timestamp_diff("DAY", F.lit(_EPOCH).cast("timestamp_ntz"), F.col("date")).cast("double")
+    angle = 2 * math.pi * F.dayofyear("date").cast("double") / 365.25
+    made = {"const": F.lit(1.0), "trend": (day - 10957.0) / 3652.5}  # decades since 2000
+    made |= {f"wd{i}": (F.weekday("date") == i).cast("double") for i in range(1, 5)}
+    made |= {f"{name}{k}": f(k * angle) for k in range(1, fourier + 1) for name, f in (("fs", F.sin), ("fc", F.cos))}
+    out = df.withColumns(made)
+    if holidays is not None:
+        out = out.join(holidays.select("date", F.lit(1.0).alias("holiday")).distinct(), "date", "left").fillna(0.0, ["holiday"])
+    return out, [*made, *(["holiday"] if holidays is not None else [])]
+
+
+def least_squares(df: DataFrame, inputs: Sequence[str], target: str, key: str = "series") -> DataFrame:
+    """Least squares per key: rows (key, n, coef), coef in order of ``inputs``.
+
+    The sums of products of every two inputs and of the target are partial aggregates, so a key's
+    rows are never together; each key's normal equations are solved from its one row of sums (the
+    shortest solution where inputs depend on each other)."""
+    names = [*inputs, target]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names) - (i == len(names) - 1))]
+    sums = df.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in pairs])
+    flat = sums.select(key, "n", F.array(*[F.col(f"s{i}_{j}") for i, j in pairs]).alias("s"))
+
+    def solve(batches):
+        import numpy as np
+
+        m = len(inputs)
+        for pdf in batches:
+            out = []
+            for s in pdf["s"]:
+                gram, right = np.zeros((m, m)), np.zeros(m)
+                for (i, j), v in zip(pairs, s, strict=True):
+                    if j == m:
+                        right[i] = v
+                    else:
+                        gram[i, j] = gram[j, i] = v
+                scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+                x = np.linalg.lstsq(gram / np.outer(scale, scale), right / scale, rcond=1e-12)[0] / scale
+                out.append([float(v) for v in x])
+            yield pdf[[key, "n"]].assign(coef=out)
+
+    kind = dict(df.dtypes)[key]
+    return flat.mapInPandas(solve, f"`{key}` {kind}, n long, coef array<double>")
+
+
+def fitted(df: DataFrame, coefs: DataFrame, inputs: Sequence[str], key: str = "series", name: str = "fitted") -> DataFrame:
+    """``df`` with the value that its key's coefficients give."""
+    value = sum((F.col("coef")[i] * F.col(c) for i, c in enumerate(inputs)), F.lit(0.0))
+    return df.join(coefs, key).withColumn(name, value).drop("coef", "n")
+
+
 def calendar_forecast(df: DataFrame, horizon: int, holidays: DataFrame | None = None, fourier: int = 3) -> DataFrame:
-    """Business-day forecast on log scale with trend, weekday, yearly Fourier and holiday
-    terms (Spark ML linear regression on the daily table); mean, lower, upper (+-1.96 residual
-    sd); weekend days are 0. Returns (series, date, mean, lower, upper) for the next days."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    def design(d: DataFrame) -> DataFrame:
-        t0 = F.lit("1970-01-01").cast("timestamp_ntz")
-        day = F.timestamp_diff("DAY", t0, F.col("date")).cast("double")
-        wd = F.weekday("date")
-        doy = F.dayofyear("date").cast("double")
-        cols = [(day / 365.25).alias("trend")]
-        cols += [(wd == i).cast("double").alias(f"wd{i}") for i in range(1, 5)]
-        for k in range(1, fourier + 1):
-            cols += [F.sin(2 * math.pi * k * doy / 365.25).alias(f"fs{k}"), F.cos(2 * math.pi * k * doy / 365.25).alias(f"fc{k}")]
-        out = d.select("*", *cols)
-        if holidays is not None:
-            out = out.join(F.broadcast(holidays.select(F.col("date").alias("date"), F.lit(1.0).alias("holiday"))), "date", "left")
-            out = out.withColumn("holiday", F.coalesce("holiday", F.lit(0.0)))
-        else:
-            out = out.withColumn("holiday", F.lit(0.0))
-        return out
-
-    feats = ["trend", *[f"wd{i}" for i in range(1, 5)], *[f"{s}{k}" for k in range(1, fourier + 1) for s in ("fs", "fc")], "holiday"]
-    train = design(df.where(F.weekday("date") < 5)).withColumn("label", F.log1p("y"))
-    va = VectorAssembler(inputCols=feats, outputCol="features")
-    model = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0).fit(va.transform(train))
-    rmse = model.summary.rootMeanSquaredError
-    fut = future_index(df, horizon, (7,)).select("series", "date")
-    pred = model.transform(va.transform(design(fut)))
-    business = F.weekday("date") < 5
-    mean = F.when(business, F.expm1(F.col("prediction"))).otherwise(0.0)
-    return pred.select("series", "date", F.greatest(mean, F.lit(0.0)).alias("mean"),
-                       F.when(business, F.greatest(F.expm1(F.col("prediction") - 1.96 * rmse), F.lit(0.0))).otherwise(0.0).alias("lower"),
-                       F.when(business, F.expm1(F.col("prediction") + 1.96 * rmse)).otherwise(0.0).alias("upper"))
+    """Business-day forecast on log scale from calendar inputs, one least-squares fit per
+    series; mean, lower, upper (+-1.96 residual sd of the series); weekend days are 0. Returns
+    (series, date, mean, lower, upper) for the next days."""
+    train, inputs = calendar_design(df.where(F.weekday("date") < 5).withColumn("_log", F.log1p("y")), holidays, fourier)
+    coefs = least_squares(train, inputs, "_log")
+    spread = fitted(train, coefs, inputs).groupBy("series").agg(F.sqrt(F.avg((F.col("_log") - F.col("fitted")) ** 2)).alias("_sd"))
+    future, _ = calendar_design(future_index(df, horizon, (7,)).select("series", "date"), holidays, fourier)
+    pred = fitted(future, coefs, inputs).join(spread, "series")
+
+    def level(shift: float) -> Column:
+        return F.when(F.weekday("date") < 5, F.greatest(F.expm1(F.col("fitted") + shift * F.col("_sd")), F.lit(0.0))).otherwise(0.0)
+
+    return pred.select("series", "date", level(0.0).alias("mean"), level(-1.96).alias("lower"), level(1.96).alias("upper"))

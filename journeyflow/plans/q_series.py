@@ -46,15 +46,26 @@ def t2(spark, sf):
     return ts.standardize(daily_lines(spark, sf, by_flag=True))
 
 
-@query("t3_acf", sql=with_ctes("s1") + """, d AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY date) AS pos, y - avg(y) OVER (PARTITION BY series) AS d FROM s1)
+_ACF = with_ctes("s1") + """, d AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY date) AS pos, y - avg(y) OVER (PARTITION BY series) AS d FROM s1)
 SELECT a.series, CAST(k AS INTEGER) AS lag, sum(a.d * b.d) / any_value(den.v) AS acf
 FROM d a, range(0, 31) r(k), d b, (SELECT series, sum(d * d) AS v FROM d GROUP BY series) den
-WHERE b.series = a.series AND b.pos = a.pos + k AND den.series = a.series GROUP BY a.series, k""")
+WHERE b.series = a.series AND b.pos = a.pos + k AND den.series = a.series GROUP BY a.series, k"""
+
+
+@query("t3_acf", sql=_ACF)
 def t3(spark, sf):
     return ts.acf(_s1(spark, sf), 30)
 
 
-@query("t4_pacf")
+@query("t4_pacf", sql=f"""WITH RECURSIVE a AS MATERIALIZED (SELECT * FROM ({_ACF}) AS acf_rows),
+r AS MATERIALIZED (SELECT series, list(acf ORDER BY lag) AS r FROM a GROUP BY series),
+x(series, k, phi, v, pk) AS (
+  SELECT series, 0, CAST([] AS DOUBLE[]), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE) FROM r
+  UNION ALL
+  SELECT series, k + 1, list_append(list_transform(generate_series(1, k), lambda j: phi[j] - p * phi[k + 1 - j]), p), v * (1 - p * p), p
+  FROM (SELECT x.*, (r.r[k + 2] - coalesce(list_sum(list_transform(generate_series(1, k), lambda j: x.phi[j] * r.r[k + 2 - j])), 0)) / x.v AS p
+        FROM x JOIN r ON r.series = x.series WHERE x.k < 30) AS s)
+SELECT series, CAST(k AS INTEGER) AS lag, pk AS pacf FROM x""")
 def t4(spark, sf):
     return ts.pacf(_s1(spark, sf), 30)
 
@@ -128,6 +139,43 @@ def t15(spark, sf):
     return ts.calendar_forecast(_s1(spark, sf), 90)
 
 
+def _fixed_holidays(spark, df, horizon):
+    """New Year, Independence Day and Christmas from the first day of ``df`` to ``horizon`` days after its last."""
+    ends = df.agg(F.min("date").alias("a"), F.timestamp_add("DAY", F.lit(horizon), F.max("date")).alias("b"))  # one row
+    days = ends.select(F.explode(F.sequence(F.to_date("a"), F.to_date("b"))).alias("d"))
+    return days.where(F.date_format("d", "MM-dd").isin("01-01", "07-04", "12-25")).select(F.col("d").cast("timestamp_ntz").alias("date"))
+
+
+_T15_INPUTS = ["const", "trend", "wd1", "wd2", "wd3", "wd4", "fs1", "fc1", "fs2", "fc2", "fs3", "fc3", "holiday"]
+
+
+@query("t15_normal_equations", sql=with_ctes("s1f") + f"""SELECT s.series, v.x AS input, CAST(count(*) AS BIGINT) AS n_days, TRUE AS orthogonal
+FROM s1f s, (VALUES {", ".join(f"('{x}')" for x in _T15_INPUTS)}) v(x) WHERE isodow(date) < 6 GROUP BY s.series, v.x""")
+def t15e(spark, sf):
+    """The residuals of every series' own fit are orthogonal to each calendar input."""
+    df = daily_lines(spark, sf, by_flag=True)
+    d, inputs = ts.calendar_design(df.where(F.weekday("date") < 5).withColumn("v", F.log1p("y")), _fixed_holidays(spark, df, 90))
+    r = ts.fitted(d, ts.least_squares(d, inputs, "v"), inputs)
+    sums = r.groupBy("series").agg(F.count("*").alias("n_days"), *[F.avg((F.col("v") - F.col("fitted")) * F.col(x)).alias(x) for x in inputs])
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("input"), (F.abs(F.col(x)) < 1e-8).alias("orthogonal")) for x in inputs])).alias("e")
+    return sums.select("series", "n_days", each).select("series", "e.input", "n_days", "e.orthogonal")
+
+
+@query("t15_forecast_by_series", sql=with_ctes("s1f") + """, l AS (SELECT series, max(date) AS mx FROM s1f GROUP BY series)
+SELECT series, mx + to_days(CAST(h AS INTEGER)) AS date, isodow(mx + to_days(CAST(h AS INTEGER))) < 6 AS business, TRUE AS in_order, TRUE AS zero_on_weekends, TRUE AS own_level
+FROM l, range(1, 91) r(h)""")
+def t15s(spark, sf):
+    df = daily_lines(spark, sf, by_flag=True)
+    f = ts.calendar_forecast(df, 90, _fixed_holidays(spark, df, 90))
+    levels = f.where("mean > 0").groupBy("series").agg(F.avg("mean").alias("m"))  # a row per series
+    other = levels.select(F.col("series").alias("s2"), F.col("m").alias("m2"))
+    alike = levels.join(other, (F.col("series") < F.col("s2")) & (F.abs(F.col("m") - F.col("m2")) < 1e-6)).agg(F.count("*").alias("n_alike"))
+    business = F.weekday("date") < 5
+    return f.crossJoin(alike).select(
+        "series", "date", business.alias("business"), ((F.col("lower") <= F.col("mean")) & (F.col("mean") <= F.col("upper"))).alias("in_order"),
+        (business | (F.col("mean") == 0)).alias("zero_on_weekends"), (F.col("n_alike") == 0).alias("own_level"))
+
+
 @query("q13_holdout_mse", sql=with_ctes("s1") + """, tr AS (SELECT * FROM s1 QUALIFY row_number() OVER (PARTITION BY series ORDER BY date) <= 2000),
 te AS (SELECT series, date, y, row_number() OVER (PARTITION BY series ORDER BY date) - 2000 AS h FROM s1
        QUALIFY row_number() OVER (PARTITION BY series ORDER BY date) > 2000),
