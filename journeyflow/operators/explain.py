@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from journeyflow.functions.arrays import count_upto
 from journeyflow.functions.scalar import linspace
 from journeyflow.operators.sampling import sample_n
 
@@ -139,15 +140,19 @@ def shapley_permutation(rows: DataFrame, background: DataFrame, scorer: Scorer,
 def interpolate(curve: DataFrame, points: DataFrame, key: str, x: str = "feature_value", y: str = "predicted_success_probability",
                 at: str = "x") -> DataFrame:
     """Y of each query point on a piecewise-linear curve (per key); ends are clamped.
-    The curve of a key is small (a profile grid), so the key join is bounded per point."""
-    j = points.select(key, F.col(at).alias("_x")).join(curve.select(key, F.col(x).alias("_cx"), F.col(y).alias("_cy")), key)
-    g = j.groupBy(key, "_x").agg(
-        F.max(F.when(F.col("_cx") <= F.col("_x"), F.struct("_cx", "_cy"))).alias("lo"),
-        F.min(F.when(F.col("_cx") >= F.col("_x"), F.struct("_cx", "_cy"))).alias("hi"))
-    lo_x, lo_y, hi_x, hi_y = F.col("lo._cx"), F.col("lo._cy"), F.col("hi._cx"), F.col("hi._cy")
-    val = (F.when(F.col("lo").isNull(), hi_y).when(F.col("hi").isNull(), lo_y).when(hi_x == lo_x, lo_y)
-           .otherwise(lo_y + (F.col("_x") - lo_x) * (hi_y - lo_y) / (hi_x - lo_x)))
-    return g.select(key, F.col("_x").alias(at), val.alias("interpolated"))
+
+    A key's curve is one sorted array (a profile grid), and a point finds its place in it by
+    binary search in an expression: points are neither multiplied by the grid nor grouped."""
+    at_x = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    curves = curve.where(F.col(x).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(at_x)).alias("_c"))
+    j = points.select(key, F.col(at).alias("_x")).join(curves, key)
+    n = F.size("_c")
+    pos = count_upto(F.transform("_c", lambda c: c["x"]), F.col("_x"), 1 << 20)
+    j = j.withColumn("_pos", pos).withColumn("_lo", F.get("_c", F.greatest(F.col("_pos"), F.lit(1)) - 1)).withColumn("_hi", F.get("_c", F.least(F.col("_pos"), n - 1)))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    val = F.when((F.col("_pos") == 0) | (F.col("_pos") == n) | (lo["x"] == F.col("_x")), lo["y"]).otherwise(
+        lo["y"] + (F.col("_x") - lo["x"]) * (hi["y"] - lo["y"]) / (hi["x"] - lo["x"]))
+    return j.select(key, F.col("_x").alias(at), val.alias("interpolated"))
 
 
 def observation_report(df: DataFrame, row_key, features: Sequence[str], curve: DataFrame | None = None, key: str = "id") -> DataFrame:

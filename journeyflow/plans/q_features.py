@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from journeyflow.operators import features as fe
 from journeyflow.operators import snapshot as snap
-from journeyflow.operators.ordered import ordered_scan
+from journeyflow.operators import timeline as tl
 from journeyflow.plans.common import defs, ev
 from journeyflow.plans.registry import query
 from journeyflow.plans.sql import with_ctes
@@ -130,29 +130,19 @@ def l15(spark, sf):
     return fe.markov_features(ev(spark, sf, "j2"))
 
 
-_MS_LEVELS = {1: (12, 15), 2: (7, 18), 3: (29,), 4: (8, 25), 5: (27,), 6: (28,)}
+def _fixed_scorer(model: str = "m1"):
+    """A fixed-coefficient model of the timeline's state (binding P)."""
+    def score(states):
+        intent = F.col("count_ed_11") + F.col("count_ed_6") + F.col("count_ed_5")
+        x = [F.log1p(F.col("n_events_observed").cast("double")), F.log1p("days_since_last_event"), F.coalesce("max_milestone_seen", F.lit(0.0)),
+             F.log1p(intent.cast("double")), F.col("observed_duration_days") / 365.0]
+        b0, w = FIXED_MODELS[model]
+        z = F.lit(b0)
+        for wi, xi in zip(w, x, strict=True):
+            z = z + F.lit(wi) * xi
+        return states.withColumn("p", F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 6))
 
-
-def score_timeline(events, model: str = "m1"):
-    """Re-snapshot each journey at every event time (the prefix up to and including that
-    event) and score it with a fixed-coefficient model. Running counts come from the ordered
-    scan; the milestone so far is the largest level whose running count is positive."""
-    e = snap.with_us(events)
-    start = e.groupBy("id").agg(F.min("us").alias("_start"))
-    running = {f"_m{k}": F.col("ed_id").isin(list(v)).cast("long") for k, v in _MS_LEVELS.items()}
-    running["_intent"] = F.col("ed_id").isin([11, 6, 5]).cast("long")
-    s = ordered_scan(e, "id", "us", ["ed_id"], index="step", running=running).join(start, "id")
-    ms = F.lit(0.0)
-    for k in sorted(_MS_LEVELS):
-        ms = F.when(F.col(f"_m{k}") > 0, F.lit(float(k))).otherwise(ms)
-    x = [F.log1p(F.col("step").cast("double")), F.lit(0.0), ms, F.log1p(F.col("_intent").cast("double")),
-         (F.col("us") - F.col("_start")) / 86400e6 / 365.0]
-    b0, w = FIXED_MODELS[model]
-    z = F.lit(b0)
-    for wi, xi in zip(w, x):
-        z = z + F.lit(wi) * xi
-    return s.select("id", F.col("step").cast("long").alias("step"), F.col("event_timestamp").cast("timestamp_ntz").alias("event_timestamp"),
-                    "ed_id", ms.alias("milestone_so_far"), F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 6).alias("p"))
+    return score
 
 
 @query("k12_score_timeline", sql=with_ctes("j1") + """, r AS (
@@ -170,7 +160,26 @@ SELECT id, step, event_timestamp, ed_id, milestone_so_far,
        round(1 / (1 + exp(-(-2.0 + 0.8 * ln(1 + step) - 0.5 * 0.0 + 0.4 * milestone_so_far + 0.6 * ln(1 + intent) - 0.3 * (el / 86400e6 / 365.0)))), 6) AS p
 FROM r""")
 def k12(spark, sf):
-    return score_timeline(ev(spark, sf, "j1"))
+    t = tl.score_timeline(ev(spark, sf, "j1"), _fixed_scorer(), event_ids=(5, 6, 11))
+    return t.select("id", "step", F.col("cutoff_time").alias("event_timestamp"), F.col("last_ed_id").alias("ed_id"),
+                    F.coalesce("max_milestone_seen", F.lit(0.0)).alias("milestone_so_far"), "p")
+
+
+@query("k12_timeline_states", sql=with_ctes("j1") + """, c AS (SELECT id FROM j1 GROUP BY id HAVING count(*) >= 4),
+t AS (SELECT j1.*, CAST(row_number() OVER (PARTITION BY id, ed_id ORDER BY us) = 1 AS INTEGER) AS fresh FROM j1 WHERE id IN (SELECT id FROM c))
+SELECT id, row_number() OVER w AS step, event_timestamp AS cutoff_time, CAST(sum(fresh) OVER w AS BIGINT) AS n_unique_event_types_observed,
+       (us - min(us) OVER (PARTITION BY id)) / 86400e6 AS observed_duration_days, CAST(hour(event_timestamp) AS INTEGER) AS cutoff_hour_utc,
+       first_value(ed_id) OVER w AS first_ed_id, ed_id AS last_ed_id,
+       max(CASE WHEN ed_id = 28 THEN 6.0 WHEN ed_id = 27 THEN 5.0 WHEN ed_id IN (8, 25) THEN 4.0 WHEN ed_id = 29 THEN 3.0 WHEN ed_id IN (7, 18) THEN 2.0
+                WHEN ed_id IN (12, 15) THEN 1.0 END) OVER w AS max_milestone_seen,
+       CAST(sum(CASE WHEN ed_id = 4 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS count_ed_4, sum(CASE WHEN ed_id = 28 THEN 1 ELSE 0 END) OVER w > 0 AS seen_ed_28
+FROM t WINDOW w AS (PARTITION BY id ORDER BY us, ed_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def k12s(spark, sf):
+    """The states of chosen journeys: those with four events or more."""
+    e = ev(spark, sf, "j1")
+    chosen = e.groupBy("id").agg(F.count("*").alias("n")).where("n >= 4")
+    return tl.timeline_states(e, chosen).select("id", "step", "cutoff_time", "n_unique_event_types_observed", "observed_duration_days", "cutoff_hour_utc", "first_ed_id",
+                                                "last_ed_id", "max_milestone_seen", "count_ed_4", "seen_ed_28")
 
 
 # The parts of the static vector (same single aggregate, column subsets)
