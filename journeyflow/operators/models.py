@@ -16,7 +16,7 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,6 +199,34 @@ def markov_transitions(status: DataFrame, segment: str | None = None) -> DataFra
                     lu.alias("rate_unsuccessful"), F.try_divide(ls, ls + lu).alias("p_absorb_success"))
 
 
+def fit_hazard(status: DataFrame, features: Sequence[str], event: str, max_iter: int = 50) -> PipelineModel:
+    """Rate of moving to ``event`` (success / unsuccessful) by features: an exponential hazard,
+    fitted as a Poisson regression of the event's indicator with the log of the active days as offset.
+
+    The fit's equations make expected and observed events equal in total and along every feature.
+    A dwell time under a second counts as one second."""
+    d = _exposed(status).withColumn("_event", (F.col("status") == event).cast("double"))
+    glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol="_event", offsetCol="_offset", featuresCol="features",
+                                      predictionCol="_expected", maxIter=max_iter, tol=1e-10)
+    return Pipeline(stages=[_assembler(features), glm]).fit(d)
+
+
+def _exposed(status: DataFrame) -> DataFrame:
+    return status.withColumn("_offset", F.log(F.greatest(F.col("active_us"), F.lit(1_000_000)).cast("double") / 86400e6))
+
+
+def hazard_rates(status: DataFrame, features: Sequence[str], events: Sequence[str] = ("success", "unsuccessful")) -> DataFrame:
+    """``status`` with each event's rate per active day and expected count (``rate_<event>``,
+    ``expected_<event>``), and ``p_absorb_<event>``, its rate's share: the chance that a journey
+    with these features ends there."""
+    out, own = _exposed(status), list(status.columns)
+    for event in events:
+        scored = fit_hazard(status, features, event).transform(out)
+        out = scored.withColumn(f"expected_{event}", F.col("_expected")).withColumn(f"rate_{event}", F.col("_expected") / F.exp("_offset")).drop("features", "_expected")
+    total = sum((F.col(f"rate_{e}") for e in events[1:]), F.col(f"rate_{events[0]}"))
+    return out.select(*own, *[c for e in events for c in (F.col(f"expected_{e}"), F.col(f"rate_{e}"), F.try_divide(F.col(f"rate_{e}"), total).alias(f"p_absorb_{e}"))])
+
+
 def stage_transition_matrix(events: DataFrame, defs: DataFrame, cols=None) -> DataFrame:
     """P14 (discrete): stage -> next stage transition probabilities from consecutive events
     before the first success; the last of them moves to 'success' (the journey reaches the

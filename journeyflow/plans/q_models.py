@@ -121,12 +121,15 @@ def _status(spark, sf, b):
                     F.when(F.col("n_actions") >= 10, "long").otherwise("short").alias("segment"))
 
 
-@query("p14_markov_transitions", sql=with_ctes("j2") + """, f AS (SELECT id, min(us) AS s, max(us) AS l, min(CASE WHEN ed_id = 28 THEN us END) AS su, count(*) AS n
+_CHAIN = with_ctes("j2") + """, f AS (SELECT id, min(us) AS s, max(us) AS l, min(CASE WHEN ed_id = 28 THEN us END) AS su, count(*) AS n
   FROM j2 GROUP BY id),
 e AS (SELECT max(us) AS end_us FROM j2),
 st AS (SELECT id, CASE WHEN su IS NOT NULL THEN 'success' WHEN end_us - l >= 60 * 86400000000 THEN 'unsuccessful' ELSE 'ongoing' END AS status,
        s, l, su, end_us, CASE WHEN n >= 10 THEN 'long' ELSE 'short' END AS segment FROM f, e),
-a AS (SELECT segment, status, CASE status WHEN 'success' THEN su WHEN 'unsuccessful' THEN l + 60 * 86400000000 ELSE end_us END - s AS active_us FROM st)
+a AS (SELECT segment, status, CASE status WHEN 'success' THEN su WHEN 'unsuccessful' THEN l + 60 * 86400000000 ELSE end_us END - s AS active_us FROM st)"""
+
+
+@query("p14_markov_transitions", sql=_CHAIN + """
 SELECT segment, CAST(count(*) AS BIGINT) AS n_journeys, CAST(count(*) FILTER (WHERE status = 'success') AS BIGINT) AS n_to_success,
        CAST(count(*) FILTER (WHERE status = 'unsuccessful') AS BIGINT) AS n_to_unsuccessful, CAST(sum(active_us) AS DOUBLE) / 86400e6 AS exposure_days,
        count(*) FILTER (WHERE status = 'success') / (CAST(sum(active_us) AS DOUBLE) / 86400e6) AS rate_success,
@@ -137,6 +140,22 @@ def p14(spark, sf):
     return md.markov_transitions(_status(spark, sf, "j2"), "segment")
 
 
+@query("p14_hazard_by_features", sql=_CHAIN + """
+SELECT segment, CAST(count(*) AS BIGINT) AS n_journeys, CAST(count(*) FILTER (WHERE status = 'success') AS BIGINT) AS n_success,
+       CAST(count(*) FILTER (WHERE status = 'unsuccessful') AS BIGINT) AS n_unsuccessful, TRUE AS success_as_expected, TRUE AS unsuccessful_as_expected, TRUE AS shares_add_up
+FROM a GROUP BY segment""")
+def p14h(spark, sf):
+    """Rates by segment and journey length: in every segment as many events are expected as observed."""
+    size = snap.journey_frame(ev(spark, sf, "j2")).select("id", F.log("n_actions").alias("log_actions"))
+    st = _status(spark, sf, "j2").join(size, "id").withColumn("is_long", (F.col("segment") == "long").cast("double"))
+    r = md.hazard_rates(st, ["is_long", "log_actions"])
+    close = {e: F.abs(F.sum(f"expected_{e}") - F.count_if(F.col("status") == e)) < 1e-4 * (F.count("*") + 1) for e in ("success", "unsuccessful")}
+    return r.groupBy("segment").agg(
+        F.count("*").alias("n_journeys"), F.count_if(F.col("status") == "success").alias("n_success"), F.count_if(F.col("status") == "unsuccessful").alias("n_unsuccessful"),
+        close["success"].alias("success_as_expected"), close["unsuccessful"].alias("unsuccessful_as_expected"),
+        F.bool_and(F.abs(F.col("p_absorb_success") + F.col("p_absorb_unsuccessful") - 1) < 1e-9).alias("shares_add_up"))
+
+
 _STAGE_MOVES = with_ctes("j1", "defs") + _OPEN.format(b="j1") + """, s AS (SELECT e.id, e.us, e.ed_id, coalesce(d.stage, 'Unknown') AS stage FROM pe e LEFT JOIN defs d ON e.ed_id = d.ed_id),
 f AS (SELECT id, bool_or(ed_id = 28) AS succ FROM j1 GROUP BY id),
 n AS (SELECT s.stage AS from_stage, coalesce(lead(s.stage) OVER (PARTITION BY s.id ORDER BY s.us, s.ed_id), CASE WHEN f.succ THEN 'success' ELSE 'ended' END) AS to_stage

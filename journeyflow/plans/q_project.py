@@ -208,3 +208,29 @@ def a10(spark, sf):
     meta.coalesce(1).write.mode("overwrite").text(path)
     del json, files
     return spark.read.text(path).select(F.from_json("value", "tier1_threshold double, tier2_threshold double, tier3_threshold double, tiered_logloss double").alias("m")).select("m.*")
+
+
+@query("a10_metadata_facts", sql=with_ctes("m1") + "SELECT CAST(1 AS BIGINT) AS n_lines, TRUE AS same_after_read, TRUE AS best_of_grid FROM (SELECT count(*) FROM m1)")
+def a10f(spark, sf):
+    """A10: the best configuration is the grid's first row, and reads back as it was written."""
+    from journeyflow.operators import metrics as mt
+    from journeyflow.sources.bindings import scores
+
+    grid = mt.tier_grid_search(scores(spark, sf, ("m1",)), (0.1, 0.2), (0.3, 0.4), (0.5, 0.6))
+    path = _csv_path(spark, "meta")
+    grid.orderBy("tiered_logloss", "tier1_threshold", "tier2_threshold", "tier3_threshold").limit(1).select(F.to_json(F.struct("*")).alias("meta")).coalesce(1).write.mode("overwrite").text(path)
+    kind = "tier1_threshold double, tier2_threshold double, tier3_threshold double, tiered_logloss double"
+    back = spark.read.text(path).select(F.from_json("value", kind).alias("m")).select("m.*")
+    least = grid.agg(F.min("tiered_logloss").alias("least"), F.min_by(F.struct("tier1_threshold", "tier2_threshold", "tier3_threshold"), F.struct("tiered_logloss", "tier1_threshold", "tier2_threshold", "tier3_threshold")).alias("at"))
+    same = (F.col("at.tier1_threshold") == F.col("tier1_threshold")) & (F.col("at.tier2_threshold") == F.col("tier2_threshold")) & (F.col("at.tier3_threshold") == F.col("tier3_threshold"))
+    return back.crossJoin(least).agg(F.count("*").alias("n_lines"), F.bool_and(same).alias("same_after_read"), F.bool_and(F.col("tiered_logloss") == F.col("least")).alias("best_of_grid"))
+
+
+@query("h2_align_two_sources", sql=with_ctes("j1", "j2") + """SELECT id, ed_id, 0.0 AS weight, 'j1' AS origin FROM j1 UNION ALL
+SELECT id, ed_id, CAST(us % 7 AS DOUBLE) AS weight, 'j2' AS origin FROM j2""")
+def h2(spark, sf):
+    """H2: sources with different columns are aligned to one schema and stacked."""
+    columns = ["id", "ed_id", "weight", "origin"]
+    one = ev(spark, sf, "j1").withColumn("origin", F.lit("j1"))
+    two = ev(spark, sf, "j2").withColumn("weight", (F.col("us") % 7).cast("double")).withColumn("origin", F.lit("j2"))
+    return pj.align_schema(one, columns).unionByName(pj.align_schema(two, columns))
