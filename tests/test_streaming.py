@@ -25,3 +25,53 @@ def test_stream_matches_batch(spark):
     # sessions still open at the end of the stream are not emitted yet in append mode
     assert got.count() > 0
     assert got.exceptAll(batch).count() == 0
+
+
+def test_closed_sessions_equal_batch_both_ways(spark, tmp_path):
+    """A user with half of all rows, a late row and one that comes in time: every closed session and no other."""
+    import random
+
+    from journeyflow.streaming.sessions import EVENTS_SCHEMA
+
+    rnd = random.Random(4)
+    t0 = 1_700_000_000
+    rows = [[(t0 + rnd.randrange(i * 3600, (i + 1) * 3600), 1 if rnd.random() < 0.5 else rnd.randrange(2, 60)) for _ in range(1500)] for i in range(4)]
+    late = (t0 + 60, 77)  # long before the watermark of the second file
+    rows[1].append((t0 + 3590, 78))  # older than the file, but in time
+    rows[3].append(late)
+    rows.append([(t0 + 10 * 86400, 99)])  # moves the watermark past every session
+    rows.append([(t0 + 20 * 86400, 99)])
+    number = iter(range(10**6))
+
+    def events(part):
+        out = spark.createDataFrame([(next(number), t, u, rnd.choice(["view", "purchase", "click"])) for t, u in part], "event_id long, t long, user_id long, event_type string")
+        out = out.select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id", "event_type", F.lit(0.0).alias("value"), F.lit("").alias("props"))
+        return out.select(*[F.col(f.name).cast(f.dataType) for f in EVENTS_SCHEMA.fields])
+
+    parts = []
+    for i, part in enumerate(rows):
+        parts.append(events(part).persist())
+        parts[-1].coalesce(1).write.mode("append").parquet(str(tmp_path / f"raw{i}"))
+    import os
+    import shutil
+    import time
+
+    os.makedirs(tmp_path / "in")
+    for i in range(len(rows)):  # one file a batch, in order of their times
+        name = next(f for f in os.listdir(tmp_path / f"raw{i}") if f.endswith(".parquet"))
+        shutil.copy(tmp_path / f"raw{i}" / name, tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (time.time() - 1000 + i, time.time() - 1000 + i))
+    stream = stream_journeys(spark, str(tmp_path / "in"), "10 minutes", watermark="5 minutes", max_files_per_trigger=1)
+    q = stream.writeStream.format("memory").queryName("jf_closed").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    plan = q._jsq.explainInternal(False)
+    q.stop()
+    assert "MergingSessions" in plan[plan.index("Exchange hashpartitioning(user_id"):]  # a hot user's rows meet before the shuffle
+    got = spark.sql("SELECT * FROM jf_closed")
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    want = journey_sessions(union.where("user_id not in (77, 99)"), "user_id", "ts", "10 minutes", F.col("event_type") == "purchase")
+    got = got.where("user_id != 99")
+    assert want.where("user_id = 1").count() >= 1 and want.where("user_id = 78").count() == 1
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
