@@ -170,7 +170,7 @@ def inverse_brier_blend(scores: DataFrame, model: str = "model", key: str = "id"
     b = brier(scores, p, y, [model]).withColumn("_inv", 1.0 / F.col("brier"))
     tot = b.agg(F.sum("_inv").alias("_t"))
     w = b.crossJoin(tot).select(model, (F.col("_inv") / F.col("_t")).alias("weight"))
-    j = scores.join(F.broadcast(w), model)
+    j = scores.join(w, model)
     return j.groupBy(key).agg(F.sum(F.col("weight") * F.col(p)).alias("p_blend"), F.sum("weight").alias("weight_sum"))
 
 

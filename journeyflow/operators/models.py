@@ -29,11 +29,11 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
 
 
 def class_weights(df: DataFrame, label: str = "y", out: str = "w") -> DataFrame:
-    """Balanced class weights n / (2 n_class) as a column (class totals: a 2-row broadcast)."""
+    """Balanced class weights n / (2 n_class) as a column (a join with the class totals)."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     t = c.agg(F.sum("_nc").alias("_n"))
     w = c.crossJoin(t).select(label, (F.col("_n") / (2.0 * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str = "y", weight: str | None = None,
@@ -232,10 +232,11 @@ def stage_transition_matrix(events: DataFrame, defs: DataFrame, cols=None) -> Da
     before the first success; the last of them moves to 'success' (the journey reaches the
     success event) or 'ended'. Both are absorbing (self-loop 1)."""
     from journeyflow.operators.ordered import ordered_scan
+    from journeyflow.operators.project import bounded_broadcast
     from journeyflow.operators.snapshot import journey_frame, open_prefix, with_us
 
     e = open_prefix(with_us(events))
-    st = e.join(F.broadcast(defs.select("ed_id", F.coalesce("stage", F.lit("Unknown")).alias("stage"))), "ed_id", "left")
+    st = e.join(bounded_broadcast(defs).select("ed_id", F.coalesce("stage", F.lit("Unknown")).alias("stage")), "ed_id", "left")
     st = st.withColumn("stage", F.coalesce("stage", F.lit("Unknown")))
     st = st.withColumn("_neg", -F.col("us")).withColumn("_nev", -F.col("ed_id"))
     nx = ordered_scan(st, "id", "_neg", ["_nev"], prev=["stage"])  # previous in reverse order = next step

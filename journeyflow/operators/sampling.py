@@ -50,7 +50,7 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFram
 
 def stratified_split(df: DataFrame, label: str = "y", test: float = 0.2, seed: int = 42, key: str = "id") -> DataFrame:
     """Adds ``split`` ('train' / 'valid'); each class gets ceil(test * class size) valid rows."""
-    r = rank_by_hash(df, key, seed, [label], "_r").join(F.broadcast(_class_sizes(df, [label])), label)
+    r = rank_by_hash(df, key, seed, [label], "_r").join(_class_sizes(df, [label]), label)
     valid = F.col("_r") <= F.ceil(F.col("_n") * test)
     return r.withColumn("split", F.when(valid, "valid").otherwise("train")).drop("_r", "_n")
 
@@ -108,7 +108,7 @@ def resample_to_rate(df: DataFrame, label: str = "y", rate: float = 0.05, seed:
 
 
 def _quota_sample(df: DataFrame, quotas: DataFrame, label: str, seed: int, key: str) -> DataFrame:
-    r = rank_by_hash(df, key, seed, [label], "_r").join(F.broadcast(quotas), label)
+    r = rank_by_hash(df, key, seed, [label], "_r").join(quotas, label)
     return r.where(F.col("_r") <= F.col("_q")).drop("_r", "_q")
 
 

@@ -44,7 +44,7 @@ def acf(df: DataFrame, max_lag: int = 30, value: str = "y") -> DataFrame:
     Each day is joined with the day k positions later (equi-join on series and position)."""
     p = with_position(df)
     m = p.groupBy("series").agg(F.avg(value).alias("_m"))
-    d = p.join(F.broadcast(m), "series").select("series", "pos", (F.col(value) - F.col("_m")).alias("d"))
+    d = p.join(m, "series").select("series", "pos", (F.col(value) - F.col("_m")).alias("d"))
     den = d.groupBy("series").agg(F.sum(F.col("d") * F.col("d")).alias("_den"))
     lags = d.select("series", F.col("pos").alias("pos0"), F.col("d").alias("d0"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
     ahead = d.select(F.col("series").alias("s1"), F.col("pos").alias("pos1"), F.col("d").alias("d1"))
@@ -102,9 +102,9 @@ def decompose(df: DataFrame, window: int = 365, periods: Sequence[int] = (7, 12)
     out = p
     for k in periods:
         s = seasonal_additive(p, k)
-        out = out.withColumn("phase", ((F.col("pos") - 1) % k).cast("int")).join(F.broadcast(s), ["series", "phase"]).drop("phase")
+        out = out.withColumn("phase", ((F.col("pos") - 1) % k).cast("int")).join(s, ["series", "phase"]).drop("phase")
     m = seasonal_multiplicative(p, periods[0])
-    out = out.withColumn("phase", ((F.col("pos") - 1) % periods[0]).cast("int")).join(F.broadcast(m), ["series", "phase"]).drop("phase")
+    out = out.withColumn("phase", ((F.col("pos") - 1) % periods[0]).cast("int")).join(m, ["series", "phase"]).drop("phase")
     rem = F.col("y") - F.col("trend")
     for k in periods:
         rem = rem - F.col(f"s{k}")
@@ -142,14 +142,14 @@ def forecast(df: DataFrame, horizon: int, window: int = 365, periods: Sequence[i
     out = fut.join(linear_trend(dec, horizon).select("series", "h", "trend_forecast"), ["series", "h"])
     for k in periods:
         s = seasonal_additive(dec, k).withColumnRenamed("phase", f"phase{k}")
-        out = out.join(F.broadcast(s), ["series", f"phase{k}"], "left")
+        out = out.join(s, ["series", f"phase{k}"], "left")
     val = F.col("trend_forecast")
     for k in periods:
         val = val + F.coalesce(F.col(f"s{k}"), F.lit(0.0))
     if noise_seed is not None:
         if isinstance(noise_sd, str) and noise_sd == "remainder":
             sd = dec.groupBy("series").agg(F.stddev_samp("remainder_add").alias("_sd"))
-            out = out.join(F.broadcast(sd), "series")
+            out = out.join(sd, "series")
             sd_c = F.col("_sd")
         else:
             sd_c = F.lit(float(noise_sd or 0.0))

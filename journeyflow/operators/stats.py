@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeyflow.operators.ordered import ordered_scan
+from journeyflow.operators.project import bounded_broadcast
 from journeyflow.operators.quantiles import column_percentiles, counted_percentiles, exact_percentiles, medians, percentile_names, value_counts
 from journeyflow.operators.snapshot import journey_frame, with_us
 from journeyflow.schema import DEFAULT_COLS, MOMENTUM_WINDOWS, SUCCESS_ID, US_PER_DAY, US_PER_HOUR, US_PER_SEC, JourneyCols, from_us
@@ -91,13 +92,13 @@ def event_counts(df: DataFrame, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
 
 def event_shares(df: DataFrame, defs: DataFrame | None = None, how: str = "left", cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
     """Event counts with their share of all events, optionally named via the
-    (broadcast) definitions -- ``how='inner'`` drops ids without a definition."""
+    definitions -- ``how='inner'`` drops ids without a definition."""
     c = event_counts(df, cols)
     tot = c.agg(F.sum("n").alias("_tot"))  # one row
     c = c.crossJoin(F.broadcast(tot)).withColumn("share", F.col("n") / F.col("_tot")).drop("_tot")
     if defs is not None:
-        d = defs.select(F.col("ed_id").alias(cols.event), "event_name", "stage")
-        c = c.join(F.broadcast(d), cols.event, how)
+        d = bounded_broadcast(defs).select(F.col("ed_id").alias(cols.event), "event_name", "stage")
+        c = c.join(d, cols.event, how)
     return c
 
 
@@ -323,7 +324,7 @@ def first_last(df: DataFrame, defs: DataFrame, cols: JourneyCols = DEFAULT_COLS)
     g = df.groupBy(cols.id).agg(F.min(F.struct("us", cols.event)).alias("f"), F.max(F.struct("us", cols.event)).alias("l"))
     g = g.select(cols.id, F.col("f")[cols.event].alias("first_ed_id"), from_us(F.col("f.us")).alias("first_time"),
                  F.col("l")[cols.event].alias("last_ed_id"), from_us(F.col("l.us")).alias("last_time"))
-    d = F.broadcast(defs.select("ed_id", "event_name", "stage"))
+    d = bounded_broadcast(defs).select("ed_id", "event_name", "stage")
     g = g.join(d.select(F.col("ed_id").alias("first_ed_id"), F.col("event_name").alias("first_event_name"), F.col("stage").alias("first_stage")), "first_ed_id", "left")
     return g.join(d.select(F.col("ed_id").alias("last_ed_id"), F.col("event_name").alias("last_event_name"), F.col("stage").alias("last_stage")), "last_ed_id", "left")
 

@@ -28,6 +28,13 @@ RUNTIME_CONF = {
 }
 
 
+def require_utc(spark: SparkSession) -> SparkSession:
+    """Make UTC the session's time zone: calendar fields are wrong in any other. Nothing else is touched."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def tune_session(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators need; returns the session."""
     for k, v in RUNTIME_CONF.items():
@@ -58,16 +65,19 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "jour
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; only when the session has none (local tests) set a fresh one."""
+    """Return the session's checkpoint folder. Only a local session without one gets a fresh folder; on
+    a cluster, where it would not be shared, that is an error."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:  # each call would add a new sub-folder
             spark.sparkContext.setCheckpointDir(current)
         return current
+    given = spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="journeyflow-ckpt-")
-    try:
-        spark.conf.set("spark.checkpoint.dir", local)
-    except Exception:  # static conf on some deployments; the context setting below is what counts
-        pass
+    spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -11,32 +11,31 @@ Every binding returns ``(id STRING, event_timestamp TIMESTAMP, ed_id INT)`` plus
 
 from __future__ import annotations
 
-from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from journeyflow.operators.ordered import session_numbers
 from journeyflow.schema import US_PER_HOUR, US_PER_SEC, from_us, to_us
-from journeyflow.session import tune_session
+from journeyflow.session import require_utc
 
 SESSION_GAP_US = 12 * US_PER_HOUR
 
 
-_TABLES: dict = {}
+_TABLES: WeakKeyDictionary = WeakKeyDictionary()  # by session object, so a new session never meets an old one's tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A provided table. The scan DataFrame is reused within a session while the file is
     unchanged (saves the listing and footer read; the plan itself is immutable)."""
-    tune_session(spark)
+    require_utc(spark)
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path, _fs_stamp(spark, path))
-    df = _TABLES.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _TABLES[key] = df
-    return df
+    key = (path, _fs_stamp(spark, path))
+    held = _TABLES.setdefault(spark, {})
+    if key not in held:
+        held[key] = spark.read.parquet(path)
+    return held[key]
 
 
 def _j1_event_id(event_type: Column, event_id: Column) -> Column:
