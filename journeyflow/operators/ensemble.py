@@ -1,4 +1,4 @@
-"""Calibrated ensembles and cross-validation as Spark ML stages (inventory P6, P7, P9, Q11).
+"""Calibrated ensembles, cross-validation and search as Spark ML stages (inventory P6-P9, Q11).
 
 `CalibratedEnsemble` is an Estimator over any Spark ML classifier or pipeline. For every seed and
 fold it fits the base on the other folds and a calibration map (Platt's sigmoid or an isotonic
@@ -13,11 +13,12 @@ out of can be found again: `held_out` scores every training row by the pair that
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -231,3 +232,58 @@ def cross_validate(df: DataFrame, base: Estimator, folds: int = 5, label: str =
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+#: Search ranges of the boosted trees: (least, most, whole numbers, log scale).
+SEARCH = {
+    "maxDepth": (3, 10, True, False),
+    "subsamplingRate": (0.5, 1.0, False, False),
+    "featureShare": (0.5, 1.0, False, False),
+    "minInstancesPerNode": (1, 10, True, False),
+    "maxIter": (50, 300, True, False),
+    "stepSize": (0.01, 0.2, False, True),
+}
+
+
+def draw_trials(n: int, seed: int = 42, ranges: dict | None = None) -> list[dict]:
+    """``n`` settings drawn by a stable hash of (parameter, trial, seed)."""
+    out = []
+    for trial in range(n):
+        one = {}
+        for name, (lo, hi, whole, log) in (SEARCH | (ranges or {})).items():
+            u = int(hashlib.md5(f"{name}|{trial}|{seed}".encode()).hexdigest()[:8], 16) / 2**32
+            v = lo * (hi / lo) ** u if log else lo + u * (hi - lo + (1 if whole else 0))
+            one[name] = min(int(v), hi) if whole else v
+        out.append(one)
+    return out
+
+
+def search_gbt(df: DataFrame, features: Sequence[str], trials: Sequence[dict], rounds: int = 3, label: str = "y", seed: int = 42, key: str = "id") -> DataFrame:
+    """Search over all six parameters of boosted trees, minimising the Brier score of calibrated
+    probabilities. Returns (trial, the parameters, n_rounds, brier, best), a row per trial.
+
+    All trials share one fold table: a last fold to be judged on, and one per round for the
+    calibration map, the base being fitted on the others. After each round the better half of the
+    trials go on (successive halving), so poor settings cost one fit; a trial's score is its mean,
+    and the best is the one of least score among those that went all the way."""
+    dealt = fold_table(df, label, rounds + 1, seed, key)
+    judged = dealt.where(F.col("fold") == rounds)
+    found: dict[int, list[float]] = {i: [] for i in range(len(trials))}
+    alive = list(found)
+    for r in range(rounds):
+        for i in alive:
+            t = trials[i]
+            gbt = GBTClassifier(labelCol=label, maxDepth=t["maxDepth"], subsamplingRate=t["subsamplingRate"], featureSubsetStrategy=str(round(t["featureShare"], 6)),
+                                minInstancesPerNode=t["minInstancesPerNode"], maxIter=t["maxIter"], stepSize=t["stepSize"], seed=seed)
+            base = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), gbt])
+            fitted = base.fit(dealt.where((F.col("fold") != r) & (F.col("fold") != rounds)))
+            one = CalibratedEnsemble(base=base, labelCol=label, keyCol=key)
+            cal = one._calibration(positive_probability(fitted, dealt.where(F.col("fold") == r), "_raw"))
+            scored = one._copyValues(CalibratedEnsembleModel([(seed, r, fitted, cal)])).transform(judged)
+            found[i].append(scored.agg(F.avg((F.col("p") - F.col(label)) ** 2)).first()[0])
+        if r < rounds - 1:
+            alive = sorted(alive, key=lambda i: (sum(found[i]) / len(found[i]), i))[: (len(alive) + 1) // 2]
+    best = min(alive, key=lambda i: (sum(found[i]) / len(found[i]), i))
+    names = list(SEARCH)
+    rows = [(i, *[float(trials[i][n]) for n in names], len(s), sum(s) / len(s), i == best) for i, s in found.items()]
+    return df.sparkSession.createDataFrame(rows, "trial int, " + ", ".join(f"{n} double" for n in names) + ", n_rounds int, brier double, best boolean")

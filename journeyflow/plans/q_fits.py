@@ -190,6 +190,21 @@ def p5q(spark, sf):
     return _quality(md.score(md.fit_mlp(d, _X, hidden=(16, 8), iters=50), d, keep=["y"]))
 
 
+@query("p8_search_six_parameters", sql=with_ctes("m1") + """SELECT CAST(v.t AS INTEGER) AS trial, TRUE AS in_range, TRUE AS scored, TRUE AS best_is_least
+FROM (VALUES (0), (1), (2), (3)) v(t), (SELECT count(*) FROM m1)""")
+def p8s(spark, sf):
+    """Four trials over all six parameters (few trees each), two rounds of halving on the whole table."""
+    trials = en.draw_trials(4, ranges={"maxIter": (2, 6, True, False), "maxDepth": (3, 5, True, False)})
+    t = en.search_gbt(_train(spark, sf), _X, trials, rounds=2)
+    top = t.agg(F.max("n_rounds").alias("most"), F.min(F.when(F.col("n_rounds") == 2, F.col("brier"))).alias("least"), F.count_if("best").alias("n_best"))  # one row
+    held = F.lit(True)
+    for name, (lo, hi, _, _) in en.SEARCH.items():
+        if name != "maxIter":
+            held = held & F.col(name).between(lo, hi)
+    return t.crossJoin(top).select("trial", held.alias("in_range"), F.col("brier").between(0, 1).alias("scored"),
+                                   ((F.col("n_best") == 1) & (~F.col("best") | ((F.col("brier") == F.col("least")) & (F.col("n_rounds") == F.col("most"))))).alias("best_is_least"))
+
+
 @query("p13_saved_equals_memory", sql=with_ctes("m1") + "SELECT id, TRUE AS same FROM m1")
 def p13e(spark, sf):
     """A11 + P13: a saved and loaded pipeline scores every row as the one in memory."""
