@@ -136,8 +136,9 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCUMENTS) -> Model:
     """Fit a model on at most ``sample`` labelled documents (least hashes of doc_id).
 
-    ``labels`` has doc_id and quality; of several labels of a document the largest counts. Only
-    the sample's rows are broadcast, and only its texts are encoded.
+    ``labels`` has doc_id and quality; of several labels of a document the largest counts, of
+    several rows with a doc_id the one whose text has the least hash. So at most ``sample`` rows
+    are broadcast, encoded and brought to the driver.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("l_id"), (F.col("quality") > 0).cast("int").alias("y"))
@@ -148,7 +149,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCUMENTS) ->
             at = np.concatenate((_segments(n), [len(x)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[at[i]:at[i + 1]].tobytes() for i in range(c.n)], pa.binary())], names=["y", "x"])
 
-    taken = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("l_id")).select("y", "text")  # `sample` rows at most
+    joined = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("l_id"))
+    one = joined.groupBy("l_id").agg(F.min(F.struct(F.xxhash64("text"), "y", "text")).alias("row"))  # `sample` rows at most
+    taken = one.select("row.y", "row.text")
     rows = taken.mapInArrow(run, "y int, x binary").collect()
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, SHAPE + HASHED) for r in rows]
     return Model(np.concatenate(x).astype(float) if x else np.zeros((0, SHAPE + HASHED)), np.array([len(k) for k in x], np.int64), np.array([r["y"] for r in rows], float))

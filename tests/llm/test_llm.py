@@ -315,6 +315,19 @@ def test_minimum_cut_against_all_cuts():
         assert price(mincut_html.minimum_cut(cost, edges)) == pytest.approx(best, abs=0.02)
 
 
+def test_repeated_labelled_ids_stay_in_the_sample(s):
+    docs = s.createDataFrame([(7, f"{words(70, i)}") for i in range(300)] + [(i, words(70, 1000 + i)) for i in range(20, 60)], "doc_id long, text string")
+    labels = s.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(20, 60)], "doc_id long, quality int")
+    seen = []
+    model = passage_mil.Model
+    passage_mil.Model = lambda x, n, y: seen.append(len(y)) or model(x, n, y)
+    try:
+        passage_mil.learn(docs, labels)
+    finally:
+        passage_mil.Model = model
+    assert seen == [41]
+
+
 def test_contexts_of_null_ids(s):
     """Rows without an id cost what others cost."""
     shared = words(60, 1)
