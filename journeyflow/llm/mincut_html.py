@@ -8,15 +8,19 @@ are the terminal capacities of a graph; edges between neighbours in page order a
 that share a container make them smooth. The minimum cut, found by maximum flow, parts content
 from boilerplate.
 
-A null or empty page has an empty text. Broken markup is read as it comes: unclosed elements end
-with their container. Blocks keep page order, repeated blocks stay, nothing is cut short.
+A null or empty page has an empty text. Broken markup is read as it comes: unclosed elements,
+also those that are left out (buttons, drawings, choices), end with their container or where an
+article, main part or navigation begins; a stray quote ends nothing. Formulas are text, buttons
+are not. Names judge the wrapper they stand on; one that only says what a page has or has not
+(`has-sidebar`, `no-comments`) judges nothing, and a page's main part, or an article in a wrapper
+named for furniture, counts for itself. Blocks keep page order, repeated blocks and rows stay,
+nothing is cut short. Null ids pass through; columns but page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 SAMPLE_PAGES = 1000  # pages that the text part of the classifier is trained on, at most
 
 #: Elements by what they mean for the text.
-SKIPPED = set("script style noscript template iframe svg canvas object select textarea button head title math video audio map".split())
+SKIPPED = set("script style noscript template iframe svg canvas object select textarea button head title video audio map".split())
 RAW = set("script style noscript template iframe textarea title".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,7 +40,13 @@ BAD = set("nav footer aside form menu dialog search".split())
 BAD_WORDS = set("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog disclaimer disqus footer gdpr header legal links login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar tracking widget alert banner contentinfo complementary".split())
 GOOD_WORDS = set("article articlebody body content entry main post story text".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+ENDS_SKIP = set("article main nav section footer".split())
+#: Names of wrappers that may stand around a whole page, and class words that make a name say nothing.
+AROUND = set("banner breadcrumb breadcrumbs footer header legal login masthead menu nav navbar navigation search sidebar skip social toc toolbar topbar widget".split())
+SAYS_NOTHING = set("has no with without not is off on".split())
+
+# a quote counts where a value begins, and nothing is tried twice
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -59,7 +69,8 @@ class Block:
 
 
 def _element(name: str, attributes: str, above: tuple) -> tuple:
-    """Evidence of an element from its parent's: log-odds so far, in an article, in boilerplate."""
+    """Evidence of an element from its parent's: log-odds so far, in an article, in boilerplate (2: only by a
+    name that may stand around a page)."""
     evidence, article, bad = above
     words: set[str] = set()
     hidden = False
@@ -70,17 +81,24 @@ def _element(name: str, attributes: str, above: tuple) -> tuple:
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                 hidden = True
             elif key in ("class", "id", "role"):
-                words.update(WORD.findall(CAMEL.sub(" ", value).lower()))
+                for one in CAMEL.sub("-", value).lower().split():
+                    own = WORD.findall(one)
+                    if not SAYS_NOTHING.intersection(own[:1] + own[-1:]):
+                        words.update(own)
     if name in ("article", "main"):
+        if bad and (name == "main" or bad == 2):
+            evidence, bad = 0.0, False
         article = True
         evidence = max(evidence, 0.0) + IN_ARTICLE if not bad else evidence
     elif name in BAD or (name in ("header",) and not article):
         evidence, bad = evidence + IN_BAD, True
     named = words & BAD_WORDS
-    if article or words & GOOD_WORDS:
+    if words & GOOD_WORDS:  # a part of the text, whatever it has besides
+        named = set()
+    elif article:
         named -= {"header"}  # an article's own heading
-    if hidden or (named and name not in ("html", "body", "article", "main")):
-        evidence, bad = evidence + BAD_NAME, True
+    if hidden or (named and name not in ("html", "body", "main")):
+        evidence, bad = evidence + BAD_NAME, bad if bad is True else True if hidden or named - AROUND else 2
     elif words & GOOD_WORDS and not bad:
         evidence += GOOD_NAME
     return evidence, article, bad
@@ -106,17 +124,18 @@ def blocks_of(page: str) -> list[Block]:
             parts, links = [], 0
 
     at, end = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends behind it
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last)
         if not skip:
-            piece = page[at:m.start() if m else end]
+            piece = page[at:m.start()] if m else page[at:].partition("<!--")[0]
             if piece:
                 parts.append(piece)
                 if in_link:
                     links += len(piece)
         if not m:
             break
-        at = m.end()
+        at = end if m[0].startswith("<!--") and not m[0].endswith("-->") else m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
@@ -125,7 +144,11 @@ def blocks_of(page: str) -> list[Block]:
                 depth += -1 if m[1] else 0 if name in RAW else 1
                 if depth <= 0:
                     skip = ""
-            continue
+                continue
+            container = m[1] and (any(s[0] == name for s in stack) if name in BLOCK else name == "a" and in_link)
+            if not container and (m[1] or name not in ENDS_SKIP):
+                continue
+            skip = ""  # it was never closed: what stands around it ends, or something larger begins
         if m[1]:
             if name == "a":
                 in_link = 0
@@ -199,48 +222,82 @@ def minimum_cut(cost: list[float], edges: list[tuple[int, int, float]]) -> list[
     """Whether each node is on the source side of a minimum cut.
 
     A positive cost is the capacity from the source, a negative one that to the sink; edges hold
-    both ways. Shortest augmenting paths from nodes with source capacity left.
+    both ways. A node whose cost is at least all its edges together is on its own side in some
+    minimum cut: it is settled, its edges move its neighbours' costs, and so on. What is left is
+    solved by blocking flows over levels.
     """
     n = len(cost)
     spare = [round(c * 1000) for c in cost]
     head: list[list[int]] = [[] for _ in range(n)]
     to, room = [], []
+    around = [0] * n
     for i, j, w in edges:
         c = round(w * 1000)
         head[i].append(len(to))
         head[j].append(len(to) + 1)
         to += [j, i]
         room += [c, c]
-    while True:
-        came: list[int] = [-2] * n  # -1: a start
-        queue = deque(i for i in range(n) if spare[i] > 0)
-        for i in queue:
-            came[i] = -1
-        hit = -1
-        while queue and hit < 0:
-            i = queue.popleft()
-            for e in head[i]:
-                j = to[e]
-                if room[e] > 0 and came[j] == -2:
-                    came[j] = e
-                    if spare[j] < 0:
-                        hit = j
+        around[i] += c
+        around[j] += c
+    side: list[bool | None] = [None] * n
+    ready = list(range(n))
+    while ready:
+        i = ready.pop()
+        if side[i] is not None or abs(spare[i]) < around[i]:
+            continue
+        side[i] = spare[i] > 0
+        for e in head[i]:
+            j = to[e]
+            if side[j] is None:
+                around[j] -= room[e]
+                spare[j] += room[e] if side[i] else -room[e]
+                ready.append(j)
+    left = [i for i in range(n) if side[i] is None]
+    head = [[e for e in head[i] if side[to[e]] is None] if side[i] is None else [] for i in range(n)]
+    while left:
+        sources = [i for i in left if spare[i] > 0]
+        level, frontier, found = dict.fromkeys(sources, 0), sources, False
+        while frontier and not found:
+            further = []
+            for i in frontier:
+                for e in head[i]:
+                    j = to[e]
+                    if room[e] > 0 and j not in level:
+                        level[j] = level[i] + 1
+                        further.append(j)
+                        found = found or spare[j] < 0
+            frontier = further
+        if not found:
+            for i in left:
+                side[i] = i in level
+            break
+        tried = dict.fromkeys(level, 0)
+        for source in sources:
+            path, i = [], source
+            while spare[source] > 0:
+                if spare[i] < 0:
+                    flow = min(spare[source], -spare[i], *(room[e] for e in path))
+                    spare[source] -= flow
+                    spare[i] += flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    path, i = [], source
+                    continue
+                while tried[i] < len(head[i]):
+                    e = head[i][tried[i]]
+                    if room[e] > 0 and level.get(to[e]) == level[i] + 1:
                         break
-                    queue.append(j)
-        if hit < 0:
-            return [c != -2 for c in came]
-        flow, j = -spare[hit], hit
-        while came[j] >= 0:
-            flow, j = min(flow, room[came[j]]), to[came[j] ^ 1]
-        flow = min(flow, spare[j])
-        spare[j] -= flow
-        spare[hit] += flow
-        j = hit
-        while came[j] >= 0:
-            e = came[j]
-            room[e] -= flow
-            room[e ^ 1] += flow
-            j = to[e ^ 1]
+                    tried[i] += 1
+                if tried[i] < len(head[i]):
+                    path.append(head[i][tried[i]])
+                    i = to[path[-1]]
+                elif path:
+                    i = to[path.pop() ^ 1]
+                    tried[i] += 1
+                else:
+                    break
+    return [bool(x) for x in side]
 
 
 def main_text(page: str, weights: np.ndarray) -> str:

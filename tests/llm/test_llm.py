@@ -301,6 +301,47 @@ def test_pages(s):
     assert text[2] == text[3] == text[4] == "" and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+STORY = "<p>First long paragraph of the story, which goes on and says something.</p><p>Second one ends it, after a while.</p>"
+TOLD = "First long paragraph of the story, which goes on and says something.\nSecond one ends it, after a while."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<nav><button>Menu</nav><article>{STORY}</article>", TOLD),
+    (f"<form><select><option>one</form><article>{STORY}</article>", TOLD),
+    (f"<div><a href=x><svg><path></a></div><article>{STORY}</article>", TOLD),
+    (f"<div><button>Menu<article>{STORY}</article></div>", TOLD),
+    (f'<div class="content has-sidebar"><article>{STORY}</article></div>', TOLD),
+    (f'<div class="page no-comments social-on"><article>{STORY}</article></div>', TOLD),
+    (f'<div class="with-header with-footer"><article>{STORY}</article></div>', TOLD),
+    (f'<div class="sidebar"><main>{STORY}</main></div>', TOLD),
+    (f'<div id="navigation-wrap" class="navigation"><article>{STORY}</article></div>', TOLD),
+    (f'<article>{STORY}<p class="story tags">Third one is a story about tags, and says so.</p></article>', TOLD + "\nThird one is a story about tags, and says so."),
+    ("<article><p>The value of <math><mi>x</mi></math> is known to all of us, and not small.</p></article>", "The value of x is known to all of us, and not small."),
+    (f'<article><p title="5" screen">First long paragraph of the story, which goes on and says something.</p><p>Second one ends it, after a while.</p></article>', TOLD),
+    (f'<article>{STORY}</article><article class="related"><p>Another story that looks like a real one, really.</p></article>', TOLD),
+    (f'<article>{STORY}</article><div class="comments"><article class="comment"><p>I think that this is a great and long story.</p></article></div>', TOLD),
+])
+def test_pages_with_odd_markup(page, want):
+    assert mincut_html.main_text(page, mincut_html.PRIOR) == want
+
+
+def test_large_pages_in_linear_time():
+    import time
+
+    body = "".join(f"<div class=x{i % 7}><p>Paragraph {i} {'goes on and on.' if i % 3 else 'Short'}</p></div>" for i in range(16000))
+    start = time.perf_counter()
+    assert len(mincut_html.main_text(f"<article>{body}</article>", mincut_html.PRIOR)) > 16000
+    mincut_html.main_text(body, mincut_html.PRIOR)
+    mincut_html.main_text('<p title="x>' * 8000, mincut_html.PRIOR)
+    mincut_html.main_text("<a " * 30000 + "<!--" * 3000, mincut_html.PRIOR)
+    assert time.perf_counter() - start < 8
+    r = random.Random(1)
+    cost = [r.uniform(-0.5, 0.5) for _ in range(16000)]
+    start = time.perf_counter()
+    mincut_html.minimum_cut(cost, [(i - 1, i, 0.6) for i in range(1, 16000)] + [(i - 3, i, 0.5) for i in range(3, 16000)])
+    assert time.perf_counter() - start < 8
+
+
 def test_minimum_cut_against_all_cuts():
     r = random.Random(6)
     for _ in range(60):
