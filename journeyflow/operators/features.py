@@ -207,7 +207,7 @@ def static_features(
         "log1p_seconds_since_last_event_at_cutoff": F.log1p(F.when(sl.isNull() | F.isnan(sl), F.lit(0.0)).otherwise(F.greatest(sl, F.lit(0.0)))),
     }
     extra = ["length", "total_elapsed", "mean_gap", "application_count", "order_intent_count", "downpayment_count",
-             "prospecting_count"] if raw else []
+             "prospecting_count", "unique_count"] if raw else []
     res = g.select(cols.id, *[e.cast("double").alias(n) for n, e in out.items()], *extra)
     if ids is not None:
         res = ids.select(cols.id).join(res, cols.id, "left").select(
@@ -260,14 +260,16 @@ def observed_sequences(df: DataFrame, cols: JourneyCols = DEFAULT_COLS) -> DataF
 
 
 def markov_features(df: DataFrame, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
-    """State-transition inputs: mean gap, elapsed, counts, downpayment / prospecting
-    counts, last event, events in the last 3 days."""
+    """The nine state-transition inputs: mean gap, elapsed, events, event types, highest
+    milestone, downpayment / prospecting counts, last event, events in the last 3 days."""
     st = static_features(df, cols=cols, raw=True)
     return st.select(
         cols.id,
         F.col("mean_gap").alias("mean_gap_seconds"),
         F.col("total_elapsed").alias("elapsed_seconds"),
         F.col("length").cast("long").alias("n_events"),
+        F.col("unique_count").cast("long").alias("n_unique_events"),
+        F.col("max_milestone_seen").alias("max_milestone"),
         F.col("downpayment_count").cast("long").alias("downpayment_count"),
         F.col("prospecting_count").cast("long").alias("prospecting_count"),
         F.col("last_event_id").cast("int").alias("last_ed_id"),

@@ -124,7 +124,7 @@ def l13(spark, sf):
 
 
 @query("l15_markov_features", sql=with_ctes("j2") + _STATIC.replace("{src}", "j2") + """
-SELECT id, mean_gap AS mean_gap_seconds, T AS elapsed_seconds, CAST(L AS BIGINT) AS n_events, CAST(dp AS BIGINT) AS downpayment_count,
+SELECT id, mean_gap AS mean_gap_seconds, T AS elapsed_seconds, CAST(L AS BIGINT) AS n_events, CAST(uq AS BIGINT) AS n_unique_events, ms AS max_milestone, CAST(dp AS BIGINT) AS downpayment_count,
        CAST(pr AS BIGINT) AS prospecting_count, CAST(le AS INTEGER) AS last_ed_id, CAST(e3d AS BIGINT) AS events_last_3d FROM sg""")
 def l15(spark, sf):
     return fe.markov_features(ev(spark, sf, "j2"))

@@ -117,19 +117,24 @@ def a6(spark, sf):
     return files.read_table(spark, path)
 
 
-@query("a3_read_event_defs", sql=with_ctes("defs") + "SELECT event_name, journey_id, ed_id, milestone_number, stage FROM defs")
+@query("a3_read_event_defs", sql="""SELECT event_type || ' of user ' || user_id AS event_name, CAST(user_id % 3 AS INTEGER) AS journey_id, CAST(max(event_id) AS INTEGER) AS ed_id,
+       CASE WHEN count(*) % 4 > 1 THEN CAST(count(*) AS DOUBLE) END AS milestone_number, CASE WHEN event_type <> 'view' THEN event_type END AS stage
+FROM events GROUP BY event_type, user_id""")
 def a3(spark, sf):
-    """A3: round trip of the event dimension through CSV (with a UTF-8 BOM and blank milestones)."""
+    """A3: definitions derived from the events (one per type and user), written as CSV files with a
+    UTF-8 BOM, blank and malformed milestones and blank stages, and read back."""
     import uuid
 
-    from journeyflow.schema import EVENT_DEFINITIONS
     from journeyflow.session import ensure_checkpoint_dir
     from journeyflow.sources import files
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/jf-defs-{uuid.uuid4().hex}"
-    lines = ["﻿event_name,journey_id,event_definition_id,milestone_number,stage"]
-    lines += [f"{n},{j},{e},{'' if m is None else m},{s}" for n, j, e, m, s in EVENT_DEFINITIONS]
-    spark.createDataFrame([(l_,) for l_ in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+    n = F.count("*")
+    milestone = F.when(n % 4 > 1, n.cast("string")).when(n % 4 == 1, F.lit("n/a"))
+    made = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.max("event_id").alias("event_definition_id"), milestone.alias("milestone_number"))
+    out = made.select(F.concat("event_type", F.lit(" of user "), "user_id").alias("\ufeffevent_name"), (F.col("user_id") % 3).alias("journey_id"), "event_definition_id",
+                      "milestone_number", F.when(F.col("event_type") != "view", F.col("event_type")).alias("stage"))
+    out.write.mode("overwrite").option("header", True).csv(path)
     return files.read_event_defs(spark, path)
 
 
