@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from journeyflow.operators.ordered import ordered_scan
+from journeyflow.operators.snapshot import with_us
 from journeyflow.schema import DEFAULT_COLS, SUCCESS_ID, JourneyCols
 
 
@@ -76,6 +78,32 @@ def nest_journeys(df: DataFrame, success_id: int | None = None, cols: JourneyCol
     return df.groupBy(cols.id).agg(*aggs)
 
 
+CHUNK_STEPS = 4096
+
+
+def nest_chunks(df: DataFrame, steps: int = CHUNK_STEPS, success_id: int | None = None, gaps: bool = False, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
+    """B9/B10/L13 for journeys of any length: rows (id, chunk, n_before, journey), arrays of ``steps``
+    events at most, in order.
+
+    A chunk's number follows from the places of its events in (timestamp, event) order, found by
+    the ordered scan, so it does not depend on partitions, a journey that holds a third of all
+    rows is many rows, and appending events changes no earlier chunk. ``success_id`` adds
+    ``is_success`` (of the whole journey), ``gaps`` the seconds since the event before, across
+    chunks too.
+    """
+    e = with_us(df, cols)
+    totals = {"_hits": (F.col(cols.event) == success_id).cast("long")} if success_id is not None else {}
+    s = ordered_scan(e, cols.id, "us", [cols.event], prev=["us"] if gaps else [], running=totals, index="_step", key_totals=bool(totals))
+    at = F.col("_step") - 1
+    step = [F.col("_step"), F.col(cols.ts).alias(cols.ts), F.col(cols.event).alias(cols.event)]
+    step += [F.coalesce(F.floor((F.col("us") - F.col("prev_us")) / 1_000_000), F.lit(0)).alias("gap_s")] if gaps else []
+    grouped = s.groupBy(cols.id, F.floor(at / steps).cast("long").alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct(*step))).alias("_a"), *([F.max("_hits_total").alias("_total")] if totals else []))
+    names = [cols.ts, cols.event, *(["gap_s"] if gaps else [])]
+    return grouped.select(cols.id, "chunk", (F.col("chunk") * steps).alias("n_before"), F.transform("_a", lambda x: F.struct(*[x[n].alias(n) for n in names])).alias("journey"),
+                          *([(F.col("_total") > 0).alias("is_success")] if totals else []))
+
+
 def unnest_journeys(df: DataFrame, cols: JourneyCols = DEFAULT_COLS) -> DataFrame:
     """Journey array back to one row per event."""
     rest = [c for c in df.columns if c != "journey"]

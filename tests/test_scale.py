@@ -147,6 +147,27 @@ def test_hot_id_inside_one_hour(spark):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
+def test_chunked_journeys_round_trip(spark):
+    """An id with a third of all rows becomes many bounded arrays, and back the same rows."""
+    import datetime as dt
+
+    from journeyflow.operators.clean import nest_chunks, unnest_journeys
+
+    rnd = random.Random(2)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("hot" if i % 3 == 0 else f"j{i % 211}", t0 + dt.timedelta(seconds=rnd.randrange(4000)), rnd.choice([4, 5, 6])) for i in range(9000)]
+    df = spark.createDataFrame(rows, "id string, event_timestamp timestamp, ed_id int")
+    n = nest_chunks(df, 100).cache()
+    assert n.where("size(journey) > 100").count() == 0 and n.where("id = 'hot'").count() == 30
+    assert n.where("id = 'hot' and size(journey) = 100 and n_before = chunk * 100").count() == 30
+    back = unnest_journeys(n).select(*df.columns)
+    assert back.exceptAll(df).count() == df.exceptAll(back).count() == 0
+    # in order inside and across chunks
+    ends = n.select("id", "chunk", F.col("journey")[0].alias("a"), F.element_at("journey", -1).alias("b"), (F.array_sort("journey") == F.col("journey")).alias("sorted"))
+    nxt = ends.select("id", (F.col("chunk") - 1).alias("chunk"), F.col("a").alias("c"))
+    assert ends.where("not sorted").count() == 0 and ends.join(nxt, ["id", "chunk"]).where("b > c").count() == 0
+
+
 def test_percentiles_of_a_half_equal_column(spark):
     """Half of all rows share a value: it is one counted row, ranges stay even, and no job runs while the plan is built."""
     from journeyflow.operators.ordered import with_position
