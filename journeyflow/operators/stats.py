@@ -343,12 +343,12 @@ def gap_stats(df: DataFrame, by_outcome: bool = False, cols: JourneyCols = DEFAU
         lab = journey_frame(df, cols).select(cols.id, F.col("success_us").isNotNull().alias("is_success"))
         g, keys = g.join(lab, cols.id), ["is_success"]
     # gaps are whole seconds, so a few distinct values stand for all of them: every figure comes from the counts
-    counted = value_counts(g, ["gap_seconds"], keys)
+    counted, kind = value_counts(g, ["gap_seconds"], keys), dict(g.dtypes)["gap_seconds"]
     base = counted.groupBy(*keys).agg(
         F.sum("_n").alias("n_gaps"),
         (F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("mean_gap_seconds"),
-        F.max("_x").alias("max_gap_seconds"),
-        F.min("_x").alias("min_gap_seconds"),
+        F.max("_x").cast(kind).alias("max_gap_seconds"),
+        F.min("_x").cast(kind).alias("min_gap_seconds"),
     )
     med = counted_percentiles(counted, [*keys, "column_name"], [0.5], ["median_gap_seconds"]).drop("column_name")
     joined = base.join(med, keys, "left") if keys else base.crossJoin(med)

@@ -134,11 +134,11 @@ def b10(spark, sf):
     return n.select("id", F.size("journey").cast("long").alias("n_steps"), _journey_text(n).alias("journey_text"), "is_success")
 
 
-@query("b9_nest_chunks", sql=with_ctes("j2") + """, s AS (SELECT *, row_number() OVER w - 1 AS at, coalesce((us - lag(us) OVER w) // 1000000, 0) AS gap FROM j2 WINDOW w AS (PARTITION BY id ORDER BY us, ed_id))
-SELECT id, CAST(at // 4 AS BIGINT) AS chunk, CAST(min(at) AS BIGINT) AS n_before, CAST(count(*) AS BIGINT) AS n_steps, min(event_timestamp) AS first_time,
-       string_agg(CAST(ed_id AS VARCHAR), ',' ORDER BY at) AS events, string_agg(CAST(gap AS VARCHAR), ',' ORDER BY at) AS gaps,
+@query("b9_nest_chunks", sql=with_ctes("j2") + """, s AS (SELECT *, row_number() OVER w - 1 AS place, coalesce((us - lag(us) OVER w) // 1000000, 0) AS gap FROM j2 WINDOW w AS (PARTITION BY id ORDER BY us, ed_id))
+SELECT id, CAST(place // 4 AS BIGINT) AS chunk, CAST(min(place) AS BIGINT) AS n_before, CAST(count(*) AS BIGINT) AS n_steps, min(event_timestamp) AS first_time,
+       string_agg(CAST(ed_id AS VARCHAR), ',' ORDER BY place) AS events, string_agg(CAST(gap AS VARCHAR), ',' ORDER BY place) AS gaps,
        any_value(hit) AS is_success
-FROM (SELECT s.*, max(CASE WHEN ed_id = 28 THEN 1 ELSE 0 END) OVER (PARTITION BY id) > 0 AS hit FROM s) GROUP BY id, at // 4""")
+FROM (SELECT s.*, max(CASE WHEN ed_id = 28 THEN 1 ELSE 0 END) OVER (PARTITION BY id) > 0 AS hit FROM s) GROUP BY id, place // 4""")
 def b9c(spark, sf):
     n = clean.nest_chunks(ev(spark, sf, "j2"), 4, success_id=28, gaps=True)
     text = {k: F.array_join(F.col("journey")[k].cast("array<string>"), ",") for k in ("ed_id", "gap_s")}
