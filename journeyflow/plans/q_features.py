@@ -160,7 +160,7 @@ SELECT id, step, event_timestamp, ed_id, milestone_so_far,
        round(1 / (1 + exp(-(-2.0 + 0.8 * ln(1 + step) - 0.5 * 0.0 + 0.4 * milestone_so_far + 0.6 * ln(1 + intent) - 0.3 * (el / 86400e6 / 365.0)))), 6) AS p
 FROM r""")
 def k12(spark, sf):
-    t = tl.score_timeline(ev(spark, sf, "j1"), _fixed_scorer(), event_ids=(5, 6, 11))
+    t = tl.score_timeline(ev(spark, sf, "j1"), _fixed_scorer(), event_ids=(5, 6, 11), unique=False)
     return t.select("id", "step", F.col("cutoff_time").alias("event_timestamp"), F.col("last_ed_id").alias("ed_id"),
                     F.coalesce("max_milestone_seen", F.lit(0.0)).alias("milestone_so_far"), "p")
 
