@@ -185,13 +185,14 @@ def markov_transitions(status: DataFrame, segment: str | None = None) -> DataFra
     ``status`` has per journey: status (success / unsuccessful / ongoing) and the dwell time in
     the active state in microseconds (``active_us``; censored for ongoing journeys). Rates are
     transitions per active day; absorption probability into success = l_s / (l_s + l_u).
-    Exposure is summed in exact integer microseconds, then converted once."""
+    Exposure is summed in exact integer microseconds, then converted once; the sum is a decimal of
+    38 digits, as a long holds no more than 292,000 years of dwell time."""
     keys = [segment] if segment else []
     g = status.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_journeys"),
         F.count_if(F.col("status") == "success").alias("n_to_success"),
         F.count_if(F.col("status") == "unsuccessful").alias("n_to_unsuccessful"),
-        (F.sum("active_us").cast("double") / 86400e6).alias("exposure_days"),
+        (F.sum(F.col("active_us").cast("decimal(28,0)")).cast("double") / 86400e6).alias("exposure_days"),
     )
     ls = F.col("n_to_success") / F.col("exposure_days")
     lu = F.col("n_to_unsuccessful") / F.col("exposure_days")

@@ -1,4 +1,4 @@
-"""Ranks of whole ids in balanced ranges, correlation with NULLs, exact absorption."""
+"""Ranks of whole ids in balanced ranges, correlation with NULLs, exact absorption, wide sums."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +52,13 @@ def test_absorption_of_a_slow_stage_is_complete(spark):
     got = {(r.from_stage, r.absorbed_in): r.probability for r in md.absorption(m).collect()}
     assert got["s", "success"] == pytest.approx(0.75) and got["s", "ended"] == pytest.approx(0.25)
     assert got["stuck", "success"] == 0.0 and got["ended", "ended"] == 1.0 and got["ended", "success"] == 0.0
+
+
+def test_exposure_beyond_a_long(spark):
+    us = 5 * 10**18  # two of them are more than a long holds
+    st = spark.createDataFrame([("a", "success", us), ("a", "unsuccessful", us), ("a", "ongoing", us), ("b", "success", 86_400_000_000)],
+                               "segment string, status string, active_us long")
+    got = {r.segment: r for r in md.markov_transitions(st, "segment").collect()}
+    assert got["a"].exposure_days == 3 * us / 86400e6 and got["a"].rate_success == 1 / (3 * us / 86400e6)
+    assert got["a"].p_absorb_success == pytest.approx(0.5)
+    assert (got["b"].n_journeys, got["b"].exposure_days) == (1, 1.0)
