@@ -8,13 +8,13 @@ ranked by many tasks; per-class totals are a tiny aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeyflow.functions.scalar import hash_uniform
-from journeyflow.operators.ordered import ordered_scan
+from journeyflow.operators.ordered import BOUNDS, ordered_scan, with_position
 
 _U_SCALE = 4294967296  # 2^32: hash_uniform is k / 2^32 exactly
 _U_BUCKET = _U_SCALE // 4096
@@ -63,33 +63,55 @@ def split(df: DataFrame, test: float = 0.2, seed: int = 42, key: str = "id") ->
     return r.withColumn("split", F.when(F.col("_r") <= F.ceil(F.col("_n") * test), "valid").otherwise("train")).drop("_r", "_n")
 
 
-def rank_distinct(values: DataFrame, key: str, name: str, fan: int = 32) -> DataFrame:
-    """1-based rank of each row of ``values`` (distinct values of ``key``) in sorted order.
+def _in_ranges(values: DataFrame, key: str, bounds: int) -> tuple[DataFrame, DataFrame]:
+    """``values`` (distinct values of ``key``) with ``_range``, a number that grows with the value, and
+    the one-row frame of ``_bounds``, the sorted values that cut the ranges.
 
-    The values are cut into balanced ranges at the ``fan ** 2 - 1`` values of least hash (a one-row
-    broadcast of that size), ranked inside each range, and the ranges' counts carried over. A
-    value's range is the number of bounds up to it, found in two steps of ``fan`` comparisons."""
-    chosen = values.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(fan * fan - 1)
-    bounds = chosen.agg(F.sort_array(F.collect_list(key)).alias("_bounds"))
-    v = F.col(key)
-    d = values.crossJoin(F.broadcast(bounds))  # one row
-    d = d.withColumn("_outer", F.size(F.filter("_bounds", lambda x, i: (i % fan == 0) & (x <= v))))
-    inner = F.slice("_bounds", (F.col("_outer") - 1) * fan + 2, F.lit(fan - 1))
-    low = (F.col("_outer") - 1) * fan + 1 + F.size(F.filter(inner, lambda x: x <= v))
-    d = d.withColumn("_range", F.when(F.col("_outer") == 0, F.lit(0)).otherwise(low)).drop("_bounds", "_outer")
+    The bounds are the ``bounds`` values of least hash, so the ranges are balanced however the
+    values are spelled; a value's range is the number of bounds up to it, found by binary search.
+    NULL is in range 0."""
+    chosen = values.select(key).orderBy(F.xxhash64(key), key).limit(bounds)
+    cuts = chosen.agg(F.sort_array(F.collect_list(key)).alias("_bounds"))  # one row, without NULL
+    return with_position(values.crossJoin(F.broadcast(cuts)), "_bounds", F.col(key), bounds, "_range"), cuts
+
+
+def rank_distinct(values: DataFrame, key: str, name: str, bounds: int = BOUNDS) -> DataFrame:
+    """1-based rank of each row of ``values`` (distinct values of ``key``) in sorted order, ranked
+    inside balanced ranges with the ranges' counts carried over."""
+    d, _ = _in_ranges(values, key, bounds)
     r = ordered_scan(d.withColumn("_all", F.lit(0)), ["_all"], key, index=name, bucket_col="_range")
     return r.drop("_all", "_range")
 
 
+def kth_distinct(values: DataFrame, key: str, k: Callable[[Column], Column], name: str, bounds: int = BOUNDS) -> DataFrame:
+    """One row: the k-th smallest of ``values`` (distinct values of ``key``), ``k`` being computed from
+    their number. NULL counts as a value and comes last; beyond the others the greatest of them is
+    given, for k < 1 or without any value NULL.
+
+    The values are counted by balanced range; only the range that holds the k-th is sorted."""
+    d, cuts = _in_ranges(values, key, bounds)
+    sizes = d.groupBy("_range").agg(F.count(key).alias("_n"), F.count(F.lit(1)).alias("_rows")).withColumn("_all", F.lit(0))
+    w = Window.partitionBy("_all")  # over at most ``bounds`` + 1 rows
+    upto = F.sum("_n").over(w.orderBy("_range"))
+    kth = F.least(k(F.sum("_rows").over(w)), F.sum("_n").over(w))
+    at = sizes.select("_range", (kth - (upto - F.col("_n"))).alias("_at"), "_n").where(F.col("_at").between(F.lit(1), F.col("_n")))
+    at = at.crossJoin(F.broadcast(cuts)).select(
+        "_at", F.get("_bounds", F.col("_range") - 1).alias("_low"), F.get("_bounds", F.col("_range")).alias("_high"))  # one row, or none
+    v = F.col(key)
+    own = (F.col("_low").isNull() | (v >= F.col("_low"))) & (F.col("_high").isNull() | (v < F.col("_high"))) & v.isNotNull()
+    own = values.select(key).join(F.broadcast(at), own).withColumn("_r", F.row_number().over(Window.partitionBy("_at").orderBy(key)))
+    return own.where(F.col("_r") == F.col("_at")).agg(F.max(key).alias(name))
+
+
 def id_split(df: DataFrame, train: float = 0.8, key: str = "id") -> DataFrame:
     """The first ``floor(train * n_ids)`` ids in sorted order are 'train', the rest 'valid';
-    every row of an id lands on the same side. The ids are ranked in balanced ranges of whole
-    ids, never in one global window."""
-    ids = df.select(key).distinct()
-    r = rank_distinct(ids, key, "_r")
-    n = ids.agg(F.count(F.lit(1)).alias("_n"))
-    lab = r.crossJoin(F.broadcast(n)).select(key, F.when(F.col("_r") <= F.floor(F.col("_n") * train), "train").otherwise("valid").alias("split"))
-    return df.join(lab, key)
+    every row of an id lands on the same side. Rows without an id are left out, NULL still counts
+    as the last id. An id's rank is within the limit if it is at most the id at the limit, so one
+    id is looked for and the rows are compared with it where they are, without a shuffle."""
+    last = kth_distinct(df.select(key).distinct(), key, lambda n: F.floor(n * train), "_last")
+    rows = df.where(F.col(key).isNotNull()).crossJoin(F.broadcast(last))
+    split = F.when(F.col(key) <= F.col("_last"), "train").otherwise("valid").alias("split")
+    return rows.select(key, *[c for c in df.columns if c != key], split)
 
 
 def stratified_folds(df: DataFrame, label: str = "y", k: int = 5, seed: int = 42, key: str = "id") -> DataFrame:

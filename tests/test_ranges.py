@@ -35,6 +35,32 @@ def test_rank_of_few_values(spark, n):
     assert [r.id for r in got] == sorted(-3 * k for k in range(n)) and [r.r for r in got] == list(range(1, n + 1))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_are_found_by_binary_search(spark):
+    ids = spark.range(100).select(F.col("id").cast("string").alias("id"))
+    assert "filter(_bounds" not in _plan(sm.rank_distinct(ids, "id", "r"))  # looks at every bound for every value
+
+
+def test_id_split_moves_no_rows(spark):
+    d = spark.range(1000).select((F.col("id") % 90).cast("string").alias("id"), "id").toDF("id", "t")
+    plan = sm.id_split(d, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("train", [0.0, 0.37, 0.8, 1.0])
+@pytest.mark.parametrize("n, null", [(0, False), (0, True), (1, False), (5, False), (4, True), (9, True), (5000, True)])
+def test_id_split_counts_null_as_the_last_id(spark, train, n, null):
+    ids = [f"user_{k:05d}" for k in range(n)]
+    d = spark.range(2 * n + null).select(F.format_string("user_%05d", (F.col("id") / 2).cast("long")).alias("id"), F.col("id").alias("t"))
+    d = d.withColumn("id", F.when(F.col("t") < 2 * n, F.col("id")))
+    got = sm.id_split(d, train).collect()
+    limit = int((n + null) * train)
+    assert sorted((r.t, r.id, r.split) for r in got) == [(2 * i + j, v, "train" if i < limit else "valid") for i, v in enumerate(ids) for j in (0, 1)]
+
+
 def test_codes_of_numbers_and_nulls(spark):
     d = spark.createDataFrame([(5.0,), (None,), (1.5,), (5.0,)], "x double")
     assert sorted((r.x or 0, r.x_code) for r in prep.index_categories(d, ["x"]).collect()) == [(0, 0), (1.5, 1), (5.0, 2), (5.0, 2)]
